@@ -33,7 +33,7 @@ def with_base_features(df: DataFrame) -> DataFrame:
 
 def with_time_features(df: DataFrame, as_of: Column, ts: str = "request_time") -> DataFrame:
     """Calendar features, Monday = 0; an unreadable time counts as ``as_of``."""
-    at = F.coalesce(F.try_to_timestamp(F.col(ts).cast("string")), as_of)
+    at = F.coalesce(lookups.instant(df, ts), as_of)
     hour, day = F.hour(at), F.weekday(at)
     return df.withColumns({
         "event_time": at,

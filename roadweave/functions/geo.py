@@ -27,25 +27,19 @@ def district_by_box(lat: Column, lon: Column) -> Column:
 def nearest_point(lat: Column, lon: Column) -> Column:
     """Struct ``(km, position, name, district)`` of the closest known point.
 
-    The list is a constant of the plan, so this stays a projection: no join and no shuffle.
-    ``position`` decides ties in favour of the point listed first.
+    The list is a constant of the plan, so this is a projection: no join and no shuffle.
+    It stays a lambda over the list because 25 unrolled formulas exceed what code generation
+    can put into one method.  ``position`` decides ties in favour of the point listed first.
     """
-    points = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("position"), F.lit(p_lat).alias("lat"), F.lit(p_lon).alias("lon"),
-                F.lit(name).alias("name"), F.lit(district).alias("district"),
-            )
-            for i, (name, p_lat, p_lon, district) in enumerate(fv.KNOWN_POINTS)
-        ]
-    )
-    measured = F.transform(
-        points,
-        lambda p: F.struct(
-            haversine_km(lat, lon, p["lat"], p["lon"]).alias("km"),
-            p["position"].alias("position"), p["name"].alias("name"), p["district"].alias("district"),
-        ),
-    )
+    points = F.array(*[
+        F.struct(
+            F.lit(i).alias("position"), F.lit(p_lat).alias("lat"), F.lit(p_lon).alias("lon"),
+            F.lit(name).alias("name"), F.lit(district).alias("district"))
+        for i, (name, p_lat, p_lon, district) in enumerate(fv.KNOWN_POINTS)
+    ])
+    measured = F.transform(points, lambda p: F.struct(
+        haversine_km(lat, lon, p["lat"], p["lon"]).alias("km"),
+        p["position"].alias("position"), p["name"].alias("name"), p["district"].alias("district")))
     return F.when(lat.isNotNull() & lon.isNotNull(), F.array_min(measured))
 
 

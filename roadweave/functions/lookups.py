@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweave import fixed_values as fv
@@ -84,6 +84,12 @@ def time_period_code(hour: Column) -> Column:
     return between_case(hour, fv.TIME_PERIOD_CODES)
 
 
+def instant(df: DataFrame, column: str) -> Column:
+    """Timestamp of a column that may be ISO text; unreadable text gives NULL."""
+    value = F.col(column)
+    return F.try_to_timestamp(value) if df.schema[column].dataType.typeName() == "string" else value.cast("timestamp")
+
+
 def sunday_first(ts: Column) -> Column:
     """Day of week with Sunday = 0 (warehouse convention)."""
     return F.dayofweek(ts) - 1

@@ -114,10 +114,3 @@ def is_anomaly(score_column, closed, drop_pct):
     backed = (score_column < -0.05) | F.coalesce(closed, F.lit(False)) | (drop_pct > 30)
     return (score_column < 0) & backed
 
-
-def robust_score(readings: DataFrame, value: str = "speed_deviation") -> DataFrame:
-    """A cheap alternative without a model: distance from the road's mean in standard deviations.
-
-    Returns ``location_name, mean, std`` to be joined; a score below 0 lies outside three of them.
-    """
-    return readings.groupBy("location_name").agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))

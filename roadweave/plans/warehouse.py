@@ -15,10 +15,9 @@ FACT_COLUMNS = [
 
 def enrich_readings(readings: DataFrame) -> DataFrame:
     """Columns the key lookups need; an unreadable time stays NULL."""
-    at = F.try_to_timestamp(F.col("request_time").cast("string"))
     return (
         readings
-        .withColumn("event_time", at)
+        .withColumn("event_time", lookups.instant(readings, "request_time"))
         .withColumns({
             "congestion_ratio": lookups.congestion_ratio(F.col("current_speed"), F.col("free_flow_speed")),
             "hour": F.hour("event_time"),
