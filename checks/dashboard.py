@@ -47,14 +47,14 @@ def latest_predictions(spark, path):
 select {ts('detected_at')} as detected_at, location_name, anomaly_score, current_speed, free_flow_speed, congestion_ratio, reason
 from an where {ago('an.detected_at', 24)} order by an.detected_at desc, anomaly_id desc limit 100""")
 def anomalies(spark, path):
-    return dashboard.anomalies(t.anomalies(spark, path), t.AS_OF)
+    return dashboard.anomalies(t.anomalies(spark, path), t.as_of())
 
 
 @query("d03_alerts", f"""with {ALERTS}
 select {ts('triggered_at')} as triggered_at, location_name, alert_type, message, delivered
 from al where {ago('al.triggered_at', 24)} order by al.triggered_at desc, alert_id desc limit 100""")
 def alerts(spark, path):
-    return dashboard.alerts(t.alerts(spark, path), t.AS_OF)
+    return dashboard.alerts(t.alerts(spark, path), t.as_of())
 
 
 @query("d04_incidents_near_roads", f"""with {SCORED}, {INCIDENTS},
@@ -68,7 +68,7 @@ select incident_id, incident_type, cast(icon_category as bigint) as icon_categor
   {r('lat', 5)} as lat, {r('lon', 5)} as lon, near_road, {r('distance', 5)} as distance from mt where rn = 1""")
 def incidents_near_roads(spark, path):
     found = dashboard.incidents_near_roads(
-        t.readings(spark, path), t.incidents(spark, path), t.AS_OF, hours=720, road_hours=720)
+        t.readings(spark, path), t.incidents(spark, path), t.as_of(), hours=720, road_hours=720)
     return found.withColumns({c: rounded(F.col(c), 5) for c in ("lat", "lon", "distance")})
 
 
@@ -76,7 +76,7 @@ def incidents_near_roads(spark, path):
 select {ts('window_start')} as window_start, {ts('window_end')} as window_end, location_name, avg_speed, min_speed, max_speed,
   avg_free_flow_speed, avg_congestion_ratio, reading_count, closure_count from win where {ago('win.window_start', 240)}""")
 def aggregates(spark, path):
-    return dashboard.aggregates(t.aggregates(spark, path), t.AS_OF, hours=240)
+    return dashboard.aggregates(t.aggregates(spark, path), t.as_of(), hours=240)
 
 
 @query("a09_road_windows", f"""with {WINDOWS}
@@ -101,14 +101,14 @@ _HEALTH = f"""{PREDICTIONS}, hx as (select 1),
 @query("a27_accuracy", f"""with {PREDICTIONS}
 select count(*) as total, count(*) filter (where {_HIT}) as correct, {pct(_HIT)} as accuracy_pct from pr where {ago('predicted_at', 24)}""")
 def accuracy(spark, path):
-    return dashboard.accuracy(t.predictions(spark, path), t.AS_OF)
+    return dashboard.accuracy(t.predictions(spark, path), t.as_of())
 
 
 @query("a28_accuracy_by_class", f"""with {PREDICTIONS}
 select actual_congestion as level, count(*) as total, count(*) filter (where {_HIT}) as correct,
   {ri(f'count(*) filter (where {_HIT}) * 1e2 / count(*)')} as accuracy_pct from pr where {ago('predicted_at', 168)} group by 1""")
 def accuracy_by_class(spark, path):
-    return dashboard.accuracy_by_class(t.predictions(spark, path), t.AS_OF)
+    return dashboard.accuracy_by_class(t.predictions(spark, path), t.as_of())
 
 
 def _day(column, first, last=None):
@@ -130,7 +130,7 @@ select records_today, records_yesterday,
   {r('case when records_yesterday > 0 then (records_today - records_yesterday) * 1e2 / records_yesterday else 0e0 end', 1)} as records_change_pct,
   {r('acc_today - acc_yesterday', 1)} as accuracy_change_pct, {r('dq_today - dq_yesterday', 1)} as api_change_pct from dl""")
 def day_over_day(spark, path):
-    return dashboard.day_over_day(t.predictions(spark, path), t.readings(spark, path), t.quality(spark, path), t.AS_OF)
+    return dashboard.day_over_day(t.predictions(spark, path), t.readings(spark, path), t.quality(spark, path), t.as_of())
 
 
 _COUNTS = [("raw_events", "rd", "request_time"), ("predictions", "pr", "predicted_at"), ("anomalies", "an", "detected_at"),
@@ -152,14 +152,14 @@ def recent_row_counts(spark, path):
         "ai_summaries": (t.summaries(spark, path), "generated_at"), "data_quality_events": (t.quality(spark, path), "checked_at"),
         "fact_traffic": (t.fact(spark, path), "event_time"),
     }
-    return dashboard.recent_row_counts(tables, t.AS_OF, 6)
+    return dashboard.recent_row_counts(tables, t.as_of(), 6)
 
 
 @query("a32_freshness", f"""with {SCORED}
 select location_name, {ts('max(request_time)')} as last_reading, (epoch_us({AS_OF}) - epoch_us(max(request_time))) / 1e6 as age_seconds
 from sc group by 1""")
 def freshness(spark, path):
-    return dashboard.freshness(t.readings(spark, path), t.AS_OF)
+    return dashboard.freshness(t.readings(spark, path), t.as_of())
 
 
 _LEVEL_COLUMNS = ", ".join(
@@ -177,7 +177,7 @@ def health(spark, path):
     return dashboard.health({
         "raw_events": t.readings(spark, path), "predictions": t.predictions(spark, path),
         "anomalies": t.anomalies(spark, path), "traffic_aggregates": t.aggregates(spark, path),
-        "data_quality_events": t.quality(spark, path)}, t.AS_OF)
+        "data_quality_events": t.quality(spark, path)}, t.as_of())
 
 
 @query("d08_latest_readings", f"""with {SCORED}, {_LATEST}
@@ -191,13 +191,13 @@ def latest_readings(spark, path):
 select {ts('request_time')} as request_time, current_speed, free_flow_speed, confidence, road_closure from sc
 where location_name = 'Road 07' and {ago('sc.request_time', 240)}""")
 def speed_history(spark, path):
-    return dashboard.speed_history(t.readings(spark, path), "Road 07", t.AS_OF, hours=240)
+    return dashboard.speed_history(t.readings(spark, path), "Road 07", t.as_of(), hours=240)
 
 
 @query("d10_congestion_distribution", f"""with {PREDICTIONS}
 select extract(hour from predicted_at) as hour, predicted_congestion as level, count(*) as count from pr where {ago('predicted_at', 168)} group by 1, 2""")
 def congestion_distribution(spark, path):
-    return dashboard.congestion_distribution(t.predictions(spark, path), t.AS_OF)
+    return dashboard.congestion_distribution(t.predictions(spark, path), t.as_of())
 
 
 _FRESH = f"""lf as (select distinct on (location_name, horizon) * from fc where {ago('forecast_made_at', 6)}
@@ -211,7 +211,7 @@ _FRESH = f"""lf as (select distinct on (location_name, horizon) * from fc where
 
 
 def forecast_list(spark, path):
-    return dashboard.latest_forecasts(t.readings(spark, path), t.forecasts(spark, path), t.AS_OF, reading_hours=12, forecast_hours=6)
+    return dashboard.latest_forecasts(t.readings(spark, path), t.forecasts(spark, path), t.as_of(), reading_hours=12, forecast_hours=6)
 
 
 @query("d11_latest_forecasts", f"with {FORECASTS}, {_FRESH} select *, horizons > 0 as has_forecasts from fl")
@@ -226,7 +226,7 @@ def latest_forecasts(spark, path):
 
 @query("a37_forecast_coverage", f"with {FORECASTS} select horizon, count(distinct location_name) as locations from fc where {ago('forecast_made_at', 6)} group by 1")
 def forecast_coverage(spark, path):
-    return dashboard.forecast_coverage(t.forecasts(spark, path), t.AS_OF, hours=6)
+    return dashboard.forecast_coverage(t.forecasts(spark, path), t.as_of(), hours=6)
 
 
 @query("a41_warm_up_share", f"""with {FORECASTS}, {_FRESH}
@@ -293,7 +293,7 @@ _FEED = f"""{ANOMALIES}{ALERTS[ALERTS.index(", al as"):]}, fd as (
 
 
 def feed(spark, path):
-    recent = dashboard.since("detected_at", t.AS_OF, 240), dashboard.since("triggered_at", t.AS_OF, 240)
+    recent = dashboard.since("detected_at", t.as_of(), 240), dashboard.since("triggered_at", t.as_of(), 240)
     return dashboard.combined_feed(t.anomalies(spark, path).filter(recent[0]), t.alerts(spark, path).filter(recent[1]))
 
 
@@ -316,10 +316,10 @@ _LEVELS = ["Free Flow", "Moderate", "Heavy", "Severe", "Closed"]
     r(f"avg(current_speed) filter (where location_name = '{n}')", 1) + f' as "{n}"' for n in _ROADS)
     + f" from sc where {ago('request_time', 240)} and location_name in ('Road 01', 'Road 07', 'Road 20') group by 1")
 def hourly_speed_pivot(spark, path):
-    return dashboard.hourly_speed_pivot(t.readings(spark, path), _ROADS, t.AS_OF, hours=240)
+    return dashboard.hourly_speed_pivot(t.readings(spark, path), _ROADS, t.as_of(), hours=240)
 
 
 @query("a45_hourly_level_pivot", f"with {SCORED} select hour, " + ", ".join(
     f"count(*) filter (where congestion_level = '{n}') as \"{n}\"" for n in _LEVELS) + f" from sc where {ago('request_time', 240)} group by 1")
 def hourly_level_pivot(spark, path):
-    return dashboard.hourly_level_pivot(t.with_ratio(t.readings(spark, path)), t.AS_OF, hours=240)
+    return dashboard.hourly_level_pivot(t.with_ratio(t.readings(spark, path)), t.as_of(), hours=240)

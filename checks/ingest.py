@@ -219,7 +219,7 @@ def traffic_features(spark, path):
 
 def feature_rows(spark, path):
     readings = t.plain_readings(spark, path)
-    return features.traffic_features(readings, statistics(spark, path), features.class_index(readings, "frc"), t.AS_OF)
+    return features.traffic_features(readings, statistics(spark, path), features.class_index(readings, "frc"), t.as_of())
 
 
 @query("p21_district_lookup", f"""with {READINGS}, {DISTRICTS}
@@ -292,7 +292,7 @@ def weather_advisory(spark, path):
 @query("p32_relative_age", f"""with {READINGS}, ag as (select reading_id, cast(floor((epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(request_time)) / 6e7) as bigint) as m from rd)
 select reading_id, case when m < 1 then 'just now' when m < 60 then concat(m, ' min ago') else concat(m // 60, 'h ', m % 60, 'm ago') end as age from ag""")
 def relative_age(spark, path):
-    return t.readings(spark, path).select("reading_id", texts.relative_age(F.col("request_time"), t.AS_OF).alias("age"))
+    return t.readings(spark, path).select("reading_id", texts.relative_age(F.col("request_time"), t.as_of()).alias("age"))
 
 
 @query("p28_target_times", f"""with {READINGS}

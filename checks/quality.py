@@ -63,20 +63,20 @@ select count(*) as total_messages, count(*) filter (where passed) as passed, cou
   coalesce(nullif({ri('avg(quality_score)')}, 0), 100) as avg_score, coalesce(nullif(cast(min(quality_score) as bigint), 0), 100) as min_score,
   coalesce(nullif(cast(max(quality_score) as bigint), 0), 100) as max_score from ql where {_RECENT}""")
 def quality_overview(spark, path):
-    return dashboard.quality_overview(t.quality(spark, path), t.AS_OF, hours=240)
+    return dashboard.quality_overview(t.quality(spark, path), t.as_of(), hours=240)
 
 
 @query("a34_top_issues", f"""with {QUALITY}, un as (select unnest(issues) as i from ql where {_RECENT})
 select i.check as check_name, i.severity as severity, count(*) as count from un group by 1, 2 order by 3 desc, 1, 2 limit 5""")
 def top_issues(spark, path):
-    return dashboard.top_issues(t.quality(spark, path), t.AS_OF, hours=240)
+    return dashboard.top_issues(t.quality(spark, path), t.as_of(), hours=240)
 
 
 @query("a35_top_problem_roads", f"""with {QUALITY}
 select location_name, count(*) as check_count, cast(sum(issues_count) as bigint) as total_issues, {ri('avg(quality_score)')} as avg_score
 from ql where {_RECENT} and issues_count > 0 group by 1 order by 3 desc, 1 nulls first limit 5""")
 def top_problem_roads(spark, path):
-    return dashboard.top_problem_roads(t.quality(spark, path), t.AS_OF, hours=240)
+    return dashboard.top_problem_roads(t.quality(spark, path), t.as_of(), hours=240)
 
 
 _EVENTS = f"""{ts('checked_at')} as checked_at, location_name, cast(quality_score as bigint) as quality_score, passed,
@@ -85,19 +85,19 @@ _EVENTS = f"""{ts('checked_at')} as checked_at, location_name, cast(quality_scor
 
 @query("d14_quality_events", f"with {QUALITY} select {_EVENTS} from ql where {_RECENT} order by checked_at desc, event_id desc limit 100")
 def quality_events(spark, path):
-    return dashboard.quality_events(t.quality(spark, path), t.AS_OF, hours=240)
+    return dashboard.quality_events(t.quality(spark, path), t.as_of(), hours=240)
 
 
 @query("d14_quality_events_with_issues",
        f"with {QUALITY} select {_EVENTS} from ql where {_RECENT} and issues_count > 0 order by ql.checked_at desc, event_id desc limit 100")
 def quality_events_with_issues(spark, path):
-    return dashboard.quality_events(t.quality(spark, path), t.AS_OF, hours=240, only_issues=True)
+    return dashboard.quality_events(t.quality(spark, path), t.as_of(), hours=240, only_issues=True)
 
 
 @query("a29_quality_pass_rate", f"""with {QUALITY}
 select count(*) as total, count(*) filter (where passed) as passed, {pct('passed')} as pass_rate from ql where {_RECENT}""")
 def quality_pass_rate(spark, path):
-    return dashboard.quality_pass_rate(t.quality(spark, path), t.AS_OF, hours=240)
+    return dashboard.quality_pass_rate(t.quality(spark, path), t.as_of(), hours=240)
 
 
 _COLUMNS = ["reading_id", "request_time", "location_name", "requested_lat", "requested_lon", "current_speed", "free_flow_speed"]

@@ -85,12 +85,12 @@ def forecast_input(spark, path, extra=None):
 select {ts('request_time')} as request_time, location_name, current_speed, free_flow_speed, {r('congestion_ratio', 4)} as congestion_ratio, road_closure,
   requested_lat, requested_lon from rk where recency <= 150""")
 def recent_readings(spark, path):
-    return forecast.buffer_records(forecast.recent_readings(t.plain_readings(spark, path), t.AS_OF, hours=480))
+    return forecast.buffer_records(forecast.recent_readings(t.plain_readings(spark, path), t.as_of(), hours=480))
 
 
 @query("w06_active_roads", f"with {SCORED} select distinct location_name from sc where request_time > {AS_OF} - interval 168 hours")
 def active_roads(spark, path):
-    return forecast.active_roads(t.plain_readings(spark, path), t.AS_OF)
+    return forecast.active_roads(t.plain_readings(spark, path), t.as_of())
 
 
 _READY = f"""{SCORED}, rb as (select location_name, least(150, count(*) filter (where request_time > {AS_OF} - interval 336 hours and free_flow_speed > 0)) as loaded
@@ -101,13 +101,13 @@ _STATUS = "case when loaded = 0 then 'empty' when loaded >= 144 then 'warm' else
 
 @query("w07_buffer_readiness", f"with {_READY} select location_name, loaded, {_STATUS} as status from rb")
 def buffer_readiness(spark, path):
-    return forecast.buffer_readiness(t.plain_readings(spark, path), t.AS_OF, days=30, hours=336)
+    return forecast.buffer_readiness(t.plain_readings(spark, path), t.as_of(), days=30, hours=336)
 
 
 @query("w07_readiness_totals", f"""with {_READY} select cast(sum(loaded) as bigint) as total_pushed, count(*) as roads, count(*) filter (where {_STATUS} = 'warm') as warm,
   count(*) filter (where {_STATUS} = 'partial') as partial, count(*) filter (where {_STATUS} = 'empty') as empty from rb""")
 def readiness_totals(spark, path):
-    return forecast.readiness_totals(forecast.buffer_readiness(t.plain_readings(spark, path), t.AS_OF, days=30, hours=336))
+    return forecast.readiness_totals(forecast.buffer_readiness(t.plain_readings(spark, path), t.as_of(), days=30, hours=336))
 
 
 @query("m06_forecast_table", f"""with {FORECASTS} select {ts('forecast_made_at')} as forecast_made_at, location_name, horizon, {ts('target_time')} as target_time,
@@ -199,7 +199,7 @@ def sent_alerts_long(spark, path):
 select cast(sum(n) as bigint) as total_alerts, count(*) filter (where epoch({AS_OF}) - floor(epoch(last)) <= 2 * 21600) as active_cooldowns from ky""")
 def alert_statistics(spark, path):
     sent = alerts.sent_alerts(t.scored(spark, path), 3600, cooldown_seconds=6 * 3600)
-    return alerts.alert_statistics(sent, t.AS_OF, 6 * 3600)
+    return alerts.alert_statistics(sent, t.as_of(), 6 * 3600)
 
 
 # snapshot ----------------------------------------------------------------------------

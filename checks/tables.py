@@ -6,7 +6,7 @@ weather and coordinates from its own columns, so the queries grow with the table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions.lookups import congestion_level, congestion_ratio, incident_type, target_time
@@ -18,11 +18,24 @@ from roadweave.plans.warehouse import fact_rows
 from roadweave.sources.dimensions import seed_times, seed_weather
 from roadweave.streaming.windows import road_windows
 
-AS_OF = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+def as_of() -> Column:
+    """The moment the queries look back from: just after the last event."""
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
 
 
 def readings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/events.parquet").selectExpr(
+    return as_readings(spark.read.parquet(f"{path}/events.parquet"))
+
+
+def reading_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The same readings as a stream over the event files."""
+    schema = spark.read.parquet(f"{path}/events.parquet").schema
+    return as_readings(spark.readStream.schema(schema).parquet(f"{path}/events.parquet*"))
+
+
+def as_readings(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id AS reading_id",
         "CAST(ts AS timestamp) AS request_time",
         "concat('Road ', lpad(CAST(user_id % 25 AS string), 2, '0')) AS location_name",
@@ -58,11 +71,18 @@ def with_ratio(df: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, path: str) -> DataFrame:
+    return as_messages(plain_readings(spark, path))
+
+
+def message_stream(spark: SparkSession, path: str) -> DataFrame:
+    return as_messages(reading_stream(spark, path).drop("event_type", "user_id"))
+
+
+def as_messages(df: DataFrame) -> DataFrame:
     """Readings as they arrive: text times, and every kind of defect the checks look for."""
     def defect(every, value, column):
         return F.when(F.col("reading_id") % every == 0, value).otherwise(F.col(column))
 
-    df = plain_readings(spark, path)
     sent = F.date_format("request_time", "yyyy-MM-dd HH:mm:ss")
     return df.withColumns({
         "arrived_at": F.col("request_time") + F.make_interval(mins=(F.col("reading_id") % 20).cast("int")),
@@ -120,8 +140,16 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, path: str) -> DataFrame:
+    return as_scored(readings(spark, path))
+
+
+def scored_stream(spark: SparkSession, path: str) -> DataFrame:
+    return as_scored(reading_stream(spark, path))
+
+
+def as_scored(df: DataFrame) -> DataFrame:
     """Readings with a model's verdict: errors are anomalies, the score comes from the id."""
-    df = with_ratio(readings(spark, path))
+    df = with_ratio(df)
     drop = (1 - F.col("congestion_ratio")) * 100
     hour = F.hour("request_time")
     return df.withColumns({

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -19,6 +23,16 @@ from roadweave.operators.lags import with_lags
 LEAD_ROWS = {"20min": 2, "30min": 3, "60min": 6}
 
 
+@contextmanager
+def _kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep the training rows (spilling to disk) while several passes read them."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def _numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
 
@@ -49,8 +63,9 @@ def train_congestion(features: DataFrame, trees: int = 20, depth: int = 8, seed:
     """Forest over the 23 features.  Closed roads follow a rule and are not learned."""
     open_roads = features.filter(~F.coalesce("road_closure", F.lit(False)))
     labelled = open_roads.withColumn("actual_congestion", congestion_level(F.col("congestion_ratio"), F.lit(False)))
-    return _classifier(fv.CONGESTION_FEATURES, "actual_congestion", trees, depth, seed).fit(
-        _numeric(labelled, fv.CONGESTION_FEATURES))
+    columns = [*fv.CONGESTION_FEATURES, "actual_congestion"]
+    with _kept(_numeric(labelled, fv.CONGESTION_FEATURES).select(*columns)) as rows:
+        return _classifier(fv.CONGESTION_FEATURES, "actual_congestion", trees, depth, seed).fit(rows)
 
 
 def predict_congestion(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -77,19 +92,20 @@ def with_targets(readings: DataFrame, ts: str = "event_time") -> DataFrame:
 
 def train_forecasts(rows: DataFrame, trees: int = 20, depth: int = 5, seed: int = 42) -> dict:
     """Per horizon a speed regressor and a class forest over the 32 features."""
-    prepared = _numeric(rows, fv.FORECAST_FEATURES)
+    targets = [f"target_{kind}_{horizon}" for horizon in fv.HORIZON_MINUTES for kind in ("speed", "class")]
     models = {}
-    for horizon in fv.HORIZON_MINUTES:
-        speed, level = f"target_speed_{horizon}", f"target_class_{horizon}"
-        regressor = Pipeline(stages=[
-            VectorAssembler(inputCols=fv.FORECAST_FEATURES, outputCol="_features"),
-            GBTRegressor(featuresCol="_features", labelCol=speed, predictionCol="_speed",
-                         maxIter=trees, maxDepth=depth, seed=seed),
-        ])
-        models[horizon] = (
-            regressor.fit(prepared.filter(F.col(speed).isNotNull())),
-            _classifier(fv.FORECAST_FEATURES, level, trees, depth, seed).fit(prepared.filter(F.col(level).isNotNull())),
-        )
+    with _kept(_numeric(rows, fv.FORECAST_FEATURES).select(*fv.FORECAST_FEATURES, *targets)) as prepared:
+        for horizon in fv.HORIZON_MINUTES:
+            speed, level = f"target_speed_{horizon}", f"target_class_{horizon}"
+            regressor = Pipeline(stages=[
+                VectorAssembler(inputCols=fv.FORECAST_FEATURES, outputCol="_features"),
+                GBTRegressor(featuresCol="_features", labelCol=speed, predictionCol="_speed",
+                             maxIter=trees, maxDepth=depth, seed=seed),
+            ])
+            models[horizon] = (
+                regressor.fit(prepared.filter(F.col(speed).isNotNull())),
+                _classifier(fv.FORECAST_FEATURES, level, trees, depth, seed).fit(prepared.filter(F.col(level).isNotNull())),
+            )
     return models
 
 

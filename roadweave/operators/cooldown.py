@@ -8,24 +8,51 @@ chain.  To keep a key from running in one task, its time line is cut into blocks
 2. the small functions of a key are applied one after the other;
 3. every block is replayed from its now known starting point.
 
-Steps 1 and 3 run per (key, block); step 2 sees a handful of numbers per block.  Alerts of a
-key at the same instant are reduced to the first one beforehand, as the others can never be sent.
+Steps 1 and 3 are spread by (key, block); step 2 sees a handful of numbers per block.  Alerts
+of a key at the same instant are reduced to the first one beforehand, as the others can never
+be sent.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadweave.session import checkpoint_dir
+
 NEVER = -(1 << 62)
 
 
-def _follow(times: np.ndarray, start: np.ndarray, cooldown: int) -> np.ndarray:
-    """Last position reached when starting at each position in ``start``."""
-    step = np.searchsorted(times, times + cooldown)
-    at = start.copy()
+def runs(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Cut sorted batches into runs of equal ``columns``; a run is never split.
+
+    Yields a frame together with the positions at which its runs begin (and its length).
+    """
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        whole = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        new = np.zeros(len(whole), dtype=bool)
+        new[0] = True
+        for c in columns:
+            values = whole[c].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(new)
+        rest = whole.iloc[starts[-1]:].reset_index(drop=True)
+        if len(starts) > 1:
+            yield whole, [int(s) for s in starts]
+    if rest is not None:
+        yield rest, [0, len(rest)]
+
+
+def _last_reached(times: np.ndarray, entries: int, cooldown: int) -> np.ndarray:
+    """Position at which the chain from each of the first ``entries`` positions ends."""
+    step, at = np.searchsorted(times, times + cooldown), np.arange(entries)
     moving = step[at] < len(times)
     while moving.any():
         at[moving] = step[at[moving]]
@@ -36,51 +63,76 @@ def _follow(times: np.ndarray, start: np.ndarray, cooldown: int) -> np.ndarray:
 def suppress_repeats(
     alerts: DataFrame, keys: list[str], ts: str, tie: str, cooldown_seconds: int, block_seconds: int = 86_400
 ) -> DataFrame:
-    """The alerts that are sent.  ``tie`` is a unique id that orders alerts of one instant."""
+    """The alerts that are sent.  ``tie`` is a unique id that orders alerts of one instant.
+
+    The slim table of instants is checkpointed: it is read by two of the steps, and computing
+    it may mean a pass over all readings.
+    """
+    checkpoint_dir(alerts.sparkSession)
     cooldown, block = cooldown_seconds * 1_000_000, block_seconds * 1_000_000
-    key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alerts.select(*keys).schema)
+    slot = [*keys, "_block"]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in alerts.select(*keys).schema)
     tie_type = alerts.schema[tie].dataType.simpleString()
 
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts in runs(batches, slot):
+            all_times, blocks = frame["_t"].to_numpy(), frame["_block"].to_numpy()
+            rows, until, leave = [], [], []
+            for begin, end in zip(starts, starts[1:]):
+                times = all_times[begin:end]
+                # a block can be entered at any alert of its first cooldown span or the one after
+                reach = np.searchsorted(times, blocks[begin] * block + cooldown) + 1
+                exits = times[_last_reached(times, min(reach, len(times)), cooldown)] + cooldown
+                last_of_step = np.flatnonzero(np.append(exits[1:] != exits[:-1], True))
+                rows += [begin] * len(last_of_step)
+                until.append(times[last_of_step])
+                leave.append(exits[last_of_step])
+            yield frame.iloc[rows][slot].assign(_until=np.concatenate(until), _leave=np.concatenate(leave))
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts in runs(batches, keys):
+            blocks, until, leave = (frame[c].to_numpy() for c in ("_block", "_until", "_leave"))
+            rows, begins = [], []
+            for begin, end in zip(starts, starts[1:]):
+                allowed, i = NEVER, begin
+                while i < end:
+                    rows.append(i)
+                    begins.append(allowed)
+                    after = i + np.searchsorted(blocks[i:end], blocks[i], side="right")
+                    step = i + np.searchsorted(until[i:after], allowed)
+                    allowed = int(leave[step]) if step < after else allowed
+                    i = after
+            yield frame.iloc[rows][slot].assign(_allowed=begins)
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts in runs(batches, slot):
+            all_times, allowed = frame["_t"].to_numpy(), frame["_allowed"].to_numpy()
+            sent = []
+            for begin, end in zip(starts, starts[1:]):
+                times = all_times[begin:end]
+                at = np.searchsorted(times, allowed[begin])
+                while at < len(times):
+                    sent.append(begin + at)
+                    at = np.searchsorted(times, times[at] + cooldown)
+            yield pd.DataFrame({tie: frame["_first"].to_numpy()[sent]})
+
     instants = (
         alerts.withColumn("_t", F.unix_micros(F.col(ts)))
-        .groupBy(*keys, "_t").agg(F.min(tie).alias("_first"))
         .withColumn("_block", F.floor(F.col("_t") / block))
+        .groupBy(*slot, "_t").agg(F.min(tie).alias("_first"))
+        .checkpoint()
+    )
+    steps = (
+        instants.select(*slot, "_t").repartition(*slot).sortWithinPartitions(*slot, "_t")
+        .mapInPandas(summarise, f"{types}, _block bigint, _until bigint, _leave bigint")
+    )
+    starts_of_blocks = (
+        steps.repartition(*keys).sortWithinPartitions(*slot, "_until")
+        .mapInPandas(chain, f"{types}, _block bigint, _allowed bigint")
     )
-
-    def summarise(group: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(group["_t"].to_numpy())
-        first_free = int(group["_block"].iloc[0]) * block + cooldown
-        entries = np.arange(min(np.searchsorted(times, first_free) + 1, len(times)))
-        leave = times[_follow(times, entries, cooldown)] + cooldown
-        last_of_run = np.append(leave[1:] != leave[:-1], True)
-        head = {k: group[k].iloc[0] for k in (*keys, "_block")}
-        return pd.DataFrame({"_until": times[entries][last_of_run], "_leave": leave[last_of_run]}).assign(**head)
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_block", "_until"])
-        allowed, out = NEVER, []
-        for number, pieces in group.groupby("_block", sort=True):
-            out.append((number, allowed))
-            piece = np.searchsorted(pieces["_until"].to_numpy(), allowed)
-            if piece < len(pieces):
-                allowed = int(pieces["_leave"].iloc[piece])
-        head = {k: group[k].iloc[0] for k in keys}
-        return pd.DataFrame(out, columns=["_block", "_allowed"]).assign(**head)
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_t")
-        times, sent = group["_t"].to_numpy(), []
-        at = np.searchsorted(times, group["_allowed"].iloc[0])
-        while at < len(times):
-            sent.append(at)
-            at = np.searchsorted(times, times[at] + cooldown)
-        return pd.DataFrame({tie: group["_first"].to_numpy()[sent]})
-
-    pieces = instants.select(*keys, "_block", "_t").groupBy(*keys, "_block").applyInPandas(
-        summarise, f"{key_types}, _block bigint, _until bigint, _leave bigint")
-    starts = pieces.groupBy(*keys).applyInPandas(chain, f"{key_types}, _block bigint, _allowed bigint")
     sent = (
-        instants.join(starts, [*keys, "_block"])
-        .groupBy(*keys, "_block").applyInPandas(replay, f"`{tie}` {tie_type}")
+        instants.join(starts_of_blocks, slot)
+        .repartition(*slot).sortWithinPartitions(*slot, "_t")
+        .mapInPandas(replay, f"`{tie}` {tie_type}")
     )
     return alerts.join(sent, tie, "left_semi")

@@ -32,13 +32,21 @@ def with_round(readings: DataFrame, seconds: int | None = None, ts: str = "reque
     return readings.withColumn("round_start", round_start(F.col(ts), seconds))
 
 
-def new_closures(rounds: DataFrame, seconds: int | None = None) -> DataFrame:
+def closed_rounds(rounds: DataFrame) -> DataFrame:
+    """(road, round) pairs in which the road was closed."""
+    return rounds.filter(F.col("road_closure")).select("location_name", "round_start").distinct()
+
+
+def new_closures(rounds: DataFrame, seconds: int | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Closed readings of roads that were not closed in the round before (absent = not closed).
 
-    Only closed readings take part, so the join moves a small share of the data.
+    Only closed readings take part, so the join moves a small share of the data.  ``earlier``
+    adds pairs of ``closed_rounds`` that were seen before this batch.
     """
     closed = rounds.filter(F.col("road_closure"))
-    before = closed.select("location_name", F.col("round_start").alias("_previous")).distinct()
+    known = closed_rounds(rounds)
+    known = known if earlier is None else known.unionByName(earlier.select("location_name", "round_start"))
+    before = known.withColumnRenamed("round_start", "_previous")
     return (
         closed.withColumn("_previous", previous_round(F.col("round_start"), seconds))
         .join(before, ["location_name", "_previous"], "left_anti").drop("_previous")
@@ -71,7 +79,13 @@ def _rows(df: DataFrame, alerts: list[Column], place: Column) -> DataFrame:
     )
 
 
-def raised_alerts(scored: DataFrame, seconds: int | None = None) -> DataFrame:
+def reading_alerts(scored: DataFrame) -> DataFrame:
+    """Alerts that depend on one reading alone: anomaly and congestion."""
+    place = F.coalesce("location_name", F.lit("Unknown"))
+    return _rows(scored, [rules.anomaly_alert(), rules.congestion_alert()], place)
+
+
+def raised_alerts(scored: DataFrame, seconds: int | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """Every alert condition met, before repeats are suppressed.
 
     Needs the scored reading: ``reading_id, request_time, location_name, predicted_congestion,
@@ -80,8 +94,8 @@ def raised_alerts(scored: DataFrame, seconds: int | None = None) -> DataFrame:
     none = F.lit(None)
     place = F.coalesce("location_name", F.lit("Unknown"))
     rounds = with_round(scored, seconds)
-    per_row = _rows(scored, [rules.anomaly_alert(), rules.congestion_alert()], place)
-    closures = _rows(new_closures(rounds, seconds).withColumn("is_new_closure", F.lit(True)),
+    per_row = reading_alerts(scored)
+    closures = _rows(new_closures(rounds, seconds, earlier).withColumn("is_new_closure", F.lit(True)),
                      [none, none, rules.closure_alert()], place)
     city = _rows(city_rounds(rounds), [none, none, none, rules.city_alert()], F.lit(fv.CITY_ALERT_PLACE))
     return per_row.unionByName(closures).unionByName(city)

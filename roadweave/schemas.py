@@ -47,4 +47,8 @@ TABLE_TIME = {
     "ai_summaries": "generated_at",
     "data_quality_events": "checked_at",
     "fact_traffic": "event_time",
+    "raised_alerts": "triggered_at",
+    "closed_rounds": "round_start",
+    "road_lags": "event_time",
+    "latest_records": "request_time",
 }

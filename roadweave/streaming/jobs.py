@@ -9,9 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from roadweave import fixed_values as fv
 from roadweave.functions.quality import route, with_quality
+from roadweave.plans import alerts
 from roadweave.plans.warehouse import fact_rows
 from roadweave.sources.tables import replace_batch
+from roadweave.streaming.state import stream_cooldown
+
+# columns of a raised alert, in the order they are stored
+RAISED = ("alert_id bigint, triggered_at timestamp, location_name string, kind string, severity string, "
+          "alert_type string, message string, event_date date, batch_id int")
+CLOSED = "location_name string, round_start timestamp, event_date date, batch_id int"
 
 
 def start(df: DataFrame, root: str, table: str, checkpoint: str, mode: str = "append",
@@ -63,3 +71,34 @@ def fan_out(
 
     writer = readings.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def raise_alerts(scored: DataFrame, root: str, checkpoint: str, round_seconds: int | None = None,
+                 once: bool = False, every: str = "30 seconds") -> StreamingQuery:
+    """Scored reading stream -> ``raised_alerts``, evaluated batch by batch.
+
+    Roads closed in earlier batches are kept in ``closed_rounds``.  The round before a batch's
+    rounds is at most one polling interval away, so only the batch's own days and the day
+    before are read back.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rounds = alerts.with_round(batch, round_seconds)
+        replace_batch(alerts.closed_rounds(rounds), root, "closed_rounds", batch_id)
+        days = rounds.select(F.to_date("round_start").alias("d")).distinct().select(
+            F.explode(F.array("d", F.date_sub("d", 1))).alias("event_date")).distinct()
+        earlier = (
+            spark.read.schema(CLOSED).parquet(f"{root}/closed_rounds")
+            .filter(F.col("batch_id") != batch_id).join(days, "event_date", "left_semi")
+        )
+        replace_batch(alerts.raised_alerts(batch, round_seconds, earlier), root, "raised_alerts", batch_id)
+
+    writer = scored.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def send_alerts(spark, root: str, checkpoint: str, cooldown_seconds: int = fv.COOLDOWN_MINUTES * 60,
+                lateness: str = "10 minutes", once: bool = False, every: str = "30 seconds") -> StreamingQuery:
+    """``raised_alerts`` as a stream -> ``alerts``, with repeats suppressed by keyed state."""
+    raised = spark.readStream.schema(RAISED).parquet(f"{root}/raised_alerts")
+    return start(stream_cooldown(raised, cooldown_seconds, lateness), root, "alerts", checkpoint, once=once, every=every)
