@@ -228,11 +228,13 @@ select reading_id, box as box_district, nearest as nearest_district, {r('km', 3)
 from rd join ds on lat = requested_lat and lon = requested_lon""")
 def district_lookup(spark, path):
     lat, lon = F.col("requested_lat"), F.col("requested_lon")
-    nearest = geo.nearest_point(lat, lon)
-    return t.readings(spark, path).select(
-        "reading_id", geo.district_by_box(lat, lon).alias("box_district"), nearest["district"].alias("nearest_district"),
-        rounded(nearest["km"], 3).alias("nearest_km"), geo.district(lat, lon).alias("district"),
-        rounded(geo.haversine_km(lat, lon, F.lit(30.0444), F.lit(31.2357)), 4).alias("km_to_centre"))
+    rows = geo.with_district(geo.with_nearest_point(t.readings(spark, path), "requested_lat", "requested_lon"))
+    nearest = F.col("nearest")
+    return rows.select(
+        "reading_id", geo.district_by_box("requested_lat", "requested_lon").alias("box_district"),
+        geo.point_value(nearest, 3).alias("nearest_district"),
+        rounded(geo.haversine_km(lat, lon, geo.point_value(nearest, 1), geo.point_value(nearest, 2)), 3).alias("nearest_km"),
+        "district", rounded(geo.haversine_km(lat, lon, F.lit(30.0444), F.lit(31.2357)), 4).alias("km_to_centre"))
 
 
 @query("p27_poll_interval", f"""with {READINGS}, lo as (select reading_id, cast(extract(hour from request_time) as bigint) as h,
@@ -326,5 +328,4 @@ select ms.reading_id, case when reading_id % 4 = 0 then 'Given' when requested_l
 from ms left join ds on lat = requested_lat and lon = requested_lon""")
 def message_districts(spark, path):
     given = F.when(F.col("reading_id") % 4 == 0, F.lit("Given")).when(F.col("reading_id") % 4 == 1, F.lit(""))
-    return t.messages(spark, path).select(
-        "reading_id", geo.message_district(given, F.col("requested_lat"), F.col("requested_lon")).alias("district"))
+    return geo.with_message_district(t.messages(spark, path).withColumn("district", given)).select("reading_id", "district")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from roadweave import fixed_values as fv
 from roadweave.functions import lookups
-from roadweave.functions.geo import message_district
 from roadweave.functions.numeric import rounded
 
 
@@ -58,11 +57,6 @@ def with_weather_features(df: DataFrame) -> DataFrame:
     })
 
 
-def with_message_district(df: DataFrame) -> DataFrame:
-    given = F.col("district") if "district" in df.columns else F.lit(None).cast("string")
-    return df.withColumn("district", message_district(given, F.col("requested_lat"), F.col("requested_lon")))
-
-
 def with_rounded_features(df: DataFrame) -> DataFrame:
     digits = {
         "congestion_ratio": 4, "speed_drop_pct": 2, "speed_deviation": 2,

@@ -1,8 +1,15 @@
-"""Distances and district lookup."""
+"""Distances and district lookup.
+
+The lookups add columns in steps (unit vector, squared chords to the known points, position
+of the smallest), because each step is used several times by the next one.  Everything stays
+a projection: the known points are constants of the plan, so there is no join and no shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweave import fixed_values as fv
@@ -15,41 +22,55 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * fv.EARTH_RADIUS_KM) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
-def district_by_box(lat: Column, lon: Column) -> Column:
+def district_by_box(lat: str, lon: str) -> Column:
     """First rectangle (in declared order) containing the point, NULL when there is none."""
-    case = None
-    for name, south, north, west, east in fv.DISTRICT_BOXES:
-        inside = lat.between(south, north) & lon.between(west, east)
-        case = F.when(inside, F.lit(name)) if case is None else case.when(inside, F.lit(name))
-    return case
+    cases = " ".join(
+        f"WHEN {lat} BETWEEN {south}D AND {north}D AND {lon} BETWEEN {west}D AND {east}D THEN '{name}'"
+        for name, south, north, west, east in fv.DISTRICT_BOXES)
+    return F.expr(f"CASE {cases} END")
 
 
-def nearest_point(lat: Column, lon: Column) -> Column:
-    """Struct ``(km, position, name, district)`` of the closest known point.
+def with_nearest_point(df: DataFrame, lat: str, lon: str, output: str = "nearest") -> DataFrame:
+    """Add the 0-based position of the closest known point (NULL without coordinates).
 
-    The list is a constant of the plan, so this is a projection: no join and no shuffle.
-    It stays a lambda over the list because 25 unrolled formulas exceed what code generation
-    can put into one method.  ``position`` decides ties in favour of the point listed first.
+    The chord through the sphere grows with the great-circle distance, so comparing squared
+    chords finds the same point without a trigonometric function per point.  The first listed
+    of equally near points wins.
     """
-    points = F.array(*[
-        F.struct(
-            F.lit(i).alias("position"), F.lit(p_lat).alias("lat"), F.lit(p_lon).alias("lon"),
-            F.lit(name).alias("name"), F.lit(district).alias("district"))
-        for i, (name, p_lat, p_lon, district) in enumerate(fv.KNOWN_POINTS)
-    ])
-    measured = F.transform(points, lambda p: F.struct(
-        haversine_km(lat, lon, p["lat"], p["lon"]).alias("km"),
-        p["position"].alias("position"), p["name"].alias("name"), p["district"].alias("district")))
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.array_min(measured))
-
-
-def district(lat: Column, lon: Column) -> Column:
+    # without coordinates the vector is zero rather than NULL: the 25 formulas below then need
+    # no NULL handling, which keeps the generated method small enough to be compiled
+    phi, lam = F.radians(F.col(lat)), F.radians(F.col(lon))
+    vector = {"_x": F.cos(phi) * F.cos(lam), "_y": F.cos(phi) * F.sin(lam), "_z": F.sin(phi)}
+    chords = []
+    for _, p_lat, p_lon, _ in fv.KNOWN_POINTS:
+        p, q = math.radians(p_lat), math.radians(p_lon)
+        offsets = (f"(_x - {math.cos(p) * math.cos(q)}D)", f"(_y - {math.cos(p) * math.sin(q)}D)", f"(_z - {math.sin(p)}D)")
+        chords.append(" + ".join(f"{d} * {d}" for d in offsets))
+    closest = F.array_position("_chords", F.array_min("_chords")).cast("int") - 1
+    return (
+        df.withColumns({name: F.coalesce(value, F.lit(0.0)) for name, value in vector.items()})
+        .withColumn("_chords", F.expr(f"array({', '.join(chords)})"))
+        .withColumn(output, F.when(F.col(lat).isNotNull() & F.col(lon).isNotNull(), closest))
+        .drop("_x", "_y", "_z", "_chords")
+    )
+
+
+def point_value(position: Column, field: int) -> Column:
+    """Field of the known point at a position: 0 name, 1 latitude, 2 longitude, 3 district."""
+    values = ", ".join(f"'{p[field]}'" if isinstance(p[field], str) else f"{p[field]}D" for p in fv.KNOWN_POINTS)
+    return F.get(F.expr(f"array({values})"), position)
+
+
+def with_district(df: DataFrame, lat: str = "requested_lat", lon: str = "requested_lon",
+                  output: str = "district") -> DataFrame:
     """Rectangle first; outside every rectangle, or far from the city, the nearest known point."""
     south, north, west, east = fv.METRO_AREA
-    in_metro = lat.between(south, north) & lon.between(west, east)
-    return F.coalesce(
-        F.when(in_metro, district_by_box(lat, lon)),
-        nearest_point(lat, lon)["district"],
+    in_metro = F.col(lat).between(south, north) & F.col(lon).between(west, east)
+    return (
+        with_nearest_point(df, lat, lon, "_nearest")
+        .withColumn(output, F.coalesce(
+            F.when(in_metro, district_by_box(lat, lon)), point_value(F.col("_nearest"), 3)))
+        .drop("_nearest")
     )
 
 
@@ -57,8 +78,13 @@ def list_districts() -> list[str]:
     return [box[0] for box in fv.DISTRICT_BOXES]
 
 
-def message_district(given: Column, lat: Column, lon: Column) -> Column:
-    """District named by the message, else from non-zero coordinates, else ``Unknown``."""
-    located = F.when(F.nullif(lat, F.lit(0.0)).isNotNull() & F.nullif(lon, F.lit(0.0)).isNotNull(),
-                     district(lat, lon))
-    return F.coalesce(F.nullif(given, F.lit("")), located, F.lit("Unknown"))
+def with_message_district(df: DataFrame, given: str = "district", place: str = "_place") -> DataFrame:
+    """``district``: named by the message, else from non-zero coordinates, else ``Unknown``.
+
+    A column ``place`` that already holds the district of the coordinates is used and kept.
+    """
+    named = F.nullif(F.col(given), F.lit("")) if given in df.columns else F.lit(None).cast("string")
+    usable = (F.coalesce("requested_lat", F.lit(0.0)) != 0) & (F.coalesce("requested_lon", F.lit(0.0)) != 0)
+    placed = df if place in df.columns else with_district(df, output=place)
+    found = placed.withColumn("district", F.coalesce(named, F.when(usable, F.col(place)), F.lit("Unknown")))
+    return found if place in df.columns else found.drop(place)

@@ -244,17 +244,21 @@ def closure_share(readings: DataFrame) -> DataFrame:
 
 
 def correlations(readings: DataFrame, columns: list[str] | None = None, digits: int = 2) -> DataFrame:
-    """Pearson matrix in long form; each pair ignores only rows where one of *its* columns is NULL."""
+    """Pearson matrix in long form; each pair ignores only rows where one of *its* columns is NULL.
+
+    Every reading is paired with each of its own values in turn, so one grouping by column
+    name needs one correlation per column; all pairs in a single row would be too many
+    aggregates for generated code.
+    """
     columns = columns or NUMERIC
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = readings.select(*[F.col(c).cast("double").alias(c) for c in columns]).agg(
-        F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), rounded(F.corr(a, b), digits).alias("r"))
-            for a, b in pairs]).alias("pairs"))
-    both = F.flatten(F.transform("pairs", lambda p: F.array_distinct(F.array(
-        F.struct(p["a"].alias("column_a"), p["b"].alias("column_b"), p["r"].alias("correlation")),
-        F.struct(p["b"].alias("column_a"), p["a"].alias("column_b"), p["r"].alias("correlation"))))))
-    return wide.select(F.inline(both))
+    values = readings.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    paired = values.withColumn("_a", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns])))
+    return (
+        paired.groupBy(F.col("_a.name").alias("column_a"))
+        .agg(*[rounded(F.corr("_a.value", c), digits).alias(c) for c in columns])
+        .unpivot("column_a", columns, "column_b", "correlation")
+    )
 
 
 def ranked_correlations(readings: DataFrame, target: str = "current_speed") -> DataFrame:

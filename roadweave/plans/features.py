@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions import features as ft
+from roadweave.functions.geo import with_district, with_message_district
 from roadweave.operators.sizing import broadcast_if_small
 from roadweave.plans import stats as st
 
@@ -28,7 +29,7 @@ def traffic_features(readings: DataFrame, stats: DataFrame, frc_index: DataFrame
     readings themselves as long as those tables stay within the checked broadcast size.
     """
     df = ft.with_weather_features(ft.with_time_features(ft.with_base_features(readings), as_of))
-    df = st.with_location_stats(ft.with_message_district(df), stats)
+    df = st.with_location_stats(with_message_district(with_district(df, output="_place")), stats)
     df = df.withColumns({
         "loc_avg_speed": F.col("stats.avg_speed"),
         "loc_avg_congestion": F.col("stats.avg_congestion_ratio"),

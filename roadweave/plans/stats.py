@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave import fixed_values as fv
-from roadweave.functions.geo import district as district_of
+from roadweave.functions.geo import with_district
 from roadweave.functions.numeric import rounded
 from roadweave.operators.sizing import broadcast_if_small
 
@@ -27,7 +27,7 @@ def location_statistics(history: DataFrame, first_by: list[str]) -> DataFrame:
     reading gives the road's district, coordinates and class.
     """
     if "district" not in history.columns:
-        history = history.withColumn("district", district_of(F.col("requested_lat"), F.col("requested_lon")))
+        history = with_district(history)
     sums = [x for name, c in MEASURES.items()
             for x in (F.sum(c).alias(f"{name}_sum"), F.count(c).alias(f"{name}_n"))]
     first = F.struct(
@@ -65,7 +65,8 @@ def with_location_stats(readings: DataFrame, stats: DataFrame) -> DataFrame:
     """Add ``stats`` = struct of the four means, ``district`` and ``source``.
 
     Road row, else the row of the district at the coordinates, else the city.  Without
-    coordinates there is no district and the answer is city-wide.
+    coordinates there is no district and the answer is city-wide.  A column ``_place`` with
+    the district of the coordinates is used up if the readings have one.
     """
     means = F.struct(*MEASURES)
     roads = broadcast_if_small(stats.filter(F.col("level") == "location").select(
@@ -73,7 +74,7 @@ def with_location_stats(readings: DataFrame, stats: DataFrame) -> DataFrame:
         F.coalesce("district", F.lit("Unknown")).alias("_road_district")))
     districts = broadcast_if_small(stats.filter(F.col("level") == "district").select(
         F.col("key").alias("_place"), means.alias("_area")))
-    placed = readings.withColumn("_place", district_of(F.col("requested_lat"), F.col("requested_lon")))
+    placed = readings if "_place" in readings.columns else with_district(readings, output="_place")
     city = city_row(stats).scalar()
 
     def answer(numbers, place, source):
