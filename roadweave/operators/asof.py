@@ -3,7 +3,9 @@
 Time is cut into slots.  A slot holds its left rows, its right rows and one carry row per
 series (the newest right row of the slots before it that the tolerance can still reach), so
 slots are independent and the work is one linear sort per slot.  Slots that hold a large
-share of the left rows are salted; their few right rows are repeated for every salt.
+share of the left rows are salted and their right rows repeated for every salt.  Right rows
+are reduced to one per instant first, so what is repeated is bounded by the length of a slot
+and the resolution of the clock, not by the size of the right side.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def asof_join(
     columns: list[str],
     tolerance_seconds: int,
     by: list[str] | None = None,
-    slot_seconds: int = 300,
+    slot_seconds: int = 60,
 ) -> DataFrame:
     """Left rows plus ``columns`` of the matched right row (NULL without a match).
 
@@ -40,18 +42,19 @@ def asof_join(
         return F.floor(F.unix_seconds(F.col(column)) / slot_seconds)
 
     lefts = left.withColumn("_slot", slot(left_ts))
-    rights = right.select(
-        *by, slot(right_ts).alias("_slot"), F.col(right_ts).alias("_at"), F.lit(1).alias("_kind"),
-        F.col(right_id).alias("_tie"), F.struct(F.col(right_ts).alias("_right_at"), *columns).alias("_right"),
+    values = F.struct(F.col(right_ts).alias("_right_at"), *columns)
+    rights = (
+        right.withColumn("_slot", slot(right_ts))
+        .groupBy(*key, F.col(right_ts).alias("_at")).agg(F.max_by(values, F.col(right_id)).alias("_right"))
+        .withColumn("_kind", F.lit(1))
     )
-    newest = F.max_by(F.struct("_at", "_tie", "_right"), F.struct("_at", "_tie"))
-    last_of_slot = rights.groupBy(*key).agg(newest.alias("_last"))
+    last_of_slot = rights.groupBy(*key).agg(F.max_by(F.struct("_at", "_right"), F.col("_at")).alias("_last"))
     carried = (
         last_of_slot
         .withColumn("_slot", F.explode(F.sequence(F.col("_slot") + 1, F.col("_slot") + reach)))
         .groupBy(*key)
-        .agg(F.max_by("_last", F.struct("_last._at", "_last._tie")).alias("_last"))
-        .select(*key, "_last._at", F.lit(0).alias("_kind"), "_last._tie", "_last._right")
+        .agg(F.max_by("_last", F.col("_last._at")).alias("_last"))
+        .select(*key, "_last._at", F.lit(0).alias("_kind"), "_last._right")
     )
     hot = F.broadcast(hot_keys(lefts.select(*key), key))
     salted_lefts = (
@@ -67,11 +70,11 @@ def asof_join(
         salted_lefts.select(
             *key, "_salt", F.col(left_ts).alias("_at"), F.lit(2).alias("_kind"),
             F.struct(*left.columns).alias("_left"))
-        .unionByName(salted_rights.select(*key, "_salt", "_at", "_kind", "_tie", "_right"),
+        .unionByName(salted_rights.select(*key, "_salt", "_at", "_kind", "_right"),
                      allowMissingColumns=True)
     )
     window = (
-        Window.partitionBy(*key, "_salt").orderBy("_at", "_kind", "_tie")
+        Window.partitionBy(*key, "_salt").orderBy("_at", "_kind")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     found = F.last("_right", ignorenulls=True).over(window)

@@ -19,7 +19,8 @@ def nearest_in_band(
 
     Both sides carry ``lat`` and ``lon``; ``event_order`` breaks ties between equally near
     events (smallest first) and must be unique.  Only the winner per exact event coordinate
-    takes part, since events on one spot differ for no place; a place looks into the nine
+    takes part, since events on one spot differ for no place, and places on one spot share
+    their answer; so a crowded spot costs no more than any other.  A spot looks into the nine
     cells around it, and candidates fold into a running minimum instead of being kept.
     """
 
@@ -34,21 +35,22 @@ def nearest_in_band(
         .select(F.col("lat").alias("event_lat"), F.col("lon").alias("event_lon"), "event",
                 cell("lat").alias("cell_y"), cell("lon").alias("cell_x"))
     )
+    located = places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(place_key, "lat", "lon")
     around = (
-        places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .select(place_key, "lat", "lon", cell("lat").alias("y"), cell("lon").alias("x"))
-        .withColumn("cell_y", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)))
+        located.select("lat", "lon").distinct()
+        .withColumns({"cell_y": F.explode(F.sequence(cell("lat") - 1, cell("lat") + 1)), "x": cell("lon")})
         .withColumn("cell_x", F.explode(F.sequence(F.col("x") - 1, F.col("x") + 1)))
     )
     off_y, off_x = F.abs(F.col("event_lat") - F.col("lat")), F.abs(F.col("event_lon") - F.col("lon"))
     order = [F.col(f"event.{c}") for c in event_order]
-    return (
+    nearest = (
         around.join(spots, ["cell_y", "cell_x"])
         .filter((off_y < radius) & (off_x < radius))
         .withColumn("distance", off_y + off_x)
-        .groupBy(place_key)
+        .groupBy("lat", "lon")
         .agg(F.min_by(F.struct("event", "event_lat", "event_lon", "distance"),
                       F.struct("distance", *order)).alias("best"))
-        .select("best.event.*", F.col("best.event_lat").alias("lat"), F.col("best.event_lon").alias("lon"),
-                F.col(place_key).alias("near_road"), F.col("best.distance").alias("distance"))
     )
+    return located.join(nearest, ["lat", "lon"]).select(
+        "best.event.*", F.col("best.event_lat").alias("lat"), F.col("best.event_lon").alias("lon"),
+        F.col(place_key).alias("near_road"), F.col("best.distance").alias("distance"))

@@ -1,9 +1,11 @@
 """Row lags over long per-key series.
 
 A window over the key alone would put a key's whole history into one task.  Here a row is
-first given its position in the series (from per-hour counts, so no task sees more than an
-hour of one key), then the series is cut into equal chunks by position and the last rows of
-a chunk are copied into the next one.  The lags are exactly those of the uncut series.
+first given its position in the series: time is cut into slots (a day, but a minute where one
+key's day holds a large share of all rows), the rows of a slot are numbered on their own and
+shifted by the rows of the slots before.  Then the series is cut into equal chunks by position
+and the last rows of a chunk are copied into the next one.  The lags are exactly those of the
+uncut series.
 """
 
 from __future__ import annotations
@@ -11,10 +13,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.operators.sizing import hot_keys
 
-def with_position(df: DataFrame, keys: list[str], ts: str, tie: str, slot: str = "hour") -> DataFrame:
-    """Add ``position``: 1, 2, 3 ... in time order within the key."""
-    sliced = df.withColumn("_slot", F.date_trunc(slot, F.col(ts)))
+HOT_SLOTS = 8192
+
+
+def with_position(df: DataFrame, keys: list[str], ts: str, tie: str, slot: str = "day",
+                  fine_slot: str = "minute", parts: int = HOT_SLOTS) -> DataFrame:
+    """Add ``position``: 1, 2, 3 ... in time order within the key.  Rows without a key are left out."""
+    coarse = df.withColumn("_slot", F.date_trunc(slot, F.col(ts)))
+    hot = F.broadcast(hot_keys(coarse.select(*keys, "_slot"), [*keys, "_slot"], parts))
+    sliced = (
+        coarse.join(hot, [*keys, "_slot"], "left")
+        .withColumn("_slot", F.when(F.col("salts").isNull(), F.col("_slot")).otherwise(F.date_trunc(fine_slot, F.col(ts))))
+        .drop("salts")
+    )
     counts = sliced.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_slot", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
@@ -32,7 +45,7 @@ def with_lags(
     ts: str,
     tie: str,
     lags: dict[str, tuple[str, int]],
-    slot: str = "hour",
+    slot: str = "day",
     chunk_rows: int = 100_000,
 ) -> DataFrame:
     """Add ``position`` and one column per ``name -> (column, rows back)``.

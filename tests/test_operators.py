@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roadweave.operators.asof import asof_join
 from roadweave.operators.band import nearest_in_band
 from roadweave.operators.cooldown import suppress_repeats
-from roadweave.operators.lags import with_lags
+from roadweave.operators.lags import with_lags, with_position
 from roadweave.operators.latest import latest_per_key, previous_period, recent_per_key, since
 from roadweave.operators.quantiles import quantiles
 from roadweave.operators.sizing import broadcast_if_small, hot_keys, salt_of
@@ -47,6 +47,16 @@ def test_lags_equal_the_uncut_series(spark, chunk_rows, slot):
     assert found == expected
 
 
+@pytest.mark.parametrize("parts", [1, 3, 5000])
+def test_positions_with_hot_slots_refined(spark, parts):
+    rows = series(500, span=300_000)
+    got = with_position(spark.createDataFrame(rows, SERIES), ["key"], "ts", "id", parts=parts)
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
+        assert [r["id"] for r in got.filter(F.col("key") == key).orderBy("position").collect()] == [r[2] for r in own]
+    assert got.agg(F.max("position")).first()[0] == max(sum(r[0] == k for r in rows) for k in {r[0] for r in rows})
+
+
 def test_lag_deeper_than_a_chunk_is_refused(spark):
     with pytest.raises(ValueError):
         with_lags(spark.createDataFrame(series(5), SERIES), ["key"], "ts", "id", {"x": ("v", 9)}, chunk_rows=9)
