@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from roadweave import fixed_values as fv
 from roadweave.functions import lookups
+from roadweave.operators.sizing import broadcast_if_small
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A small fixed list as a table whose size the planner knows, so joins with it are broadcast."""
+    def shown(value):
+        return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else (
+            f"{value}D" if isinstance(value, float) else str(value))
+
+    lines = ", ".join("(" + ", ".join(map(shown, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {lines} AS t({', '.join(columns)})")
 
 
 def seed_locations(spark: SparkSession) -> DataFrame:
     rows = [(i, *road) for i, road in enumerate(fv.SEED_ROADS, start=1)]
-    return spark.createDataFrame(
-        rows, "location_key int, location_name string, lat double, lon double, district string, road_class string")
+    return literal_table(spark, rows, ["location_key", "location_name", "lat", "lon", "district", "road_class"])
 
 
 def seed_times(spark: SparkSession) -> DataFrame:
@@ -31,27 +41,26 @@ def seed_times(spark: SparkSession) -> DataFrame:
 
 def seed_weather(spark: SparkSession) -> DataFrame:
     rows = [(i, *w) for i, w in enumerate(fv.SEED_WEATHER, start=1)]
-    return spark.createDataFrame(
-        rows, "weather_key int, condition string, temp_range string, rain_level string, visibility_impact string")
+    return literal_table(spark, rows, ["weather_key", "condition", "temp_range", "rain_level", "visibility_impact"])
+
+
+DIMENSION_KEYS = {
+    "dim_location": ["location_key", "location_name"],
+    "dim_time": ["time_key", "hour", "day_of_week"],
+    "dim_weather": ["weather_key", "condition"],
+}
 
 
 def read_dimensions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The three dimensions cut down to surrogate and natural key."""
-    columns = {
-        "dim_location": ["location_key", "location_name"],
-        "dim_time": ["time_key", "hour", "day_of_week"],
-        "dim_weather": ["weather_key", "condition"],
-    }
-    return {name: spark.read.parquet(f"{path}/{name}").select(*cols) for name, cols in columns.items()}
+    return {name: spark.read.parquet(f"{path}/{name}").select(*keys) for name, keys in DIMENSION_KEYS.items()}
 
 
 def read_dimensions_jdbc(spark: SparkSession, url: str, schema: str = "warehouse", **properties: str) -> dict[str, DataFrame]:
-    names = {"dim_location": ["location_key", "location_name"],
-             "dim_time": ["time_key", "hour", "day_of_week"],
-             "dim_weather": ["weather_key", "condition"]}
+    """The same from a database, whose tables have no size the planner knows: it is counted."""
     return {
-        name: spark.read.jdbc(url, f"{schema}.{name}", properties=properties).select(*cols)
-        for name, cols in names.items()
+        name: broadcast_if_small(spark.read.jdbc(url, f"{schema}.{name}", properties=properties).select(*keys))
+        for name, keys in DIMENSION_KEYS.items()
     }
 
 

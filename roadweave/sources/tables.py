@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave import schemas
@@ -55,16 +55,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 # exports -----------------------------------------------------------------------------
 
 
-def export_warehouse(tables: dict[str, DataFrame], database: str, day: date) -> dict[str, tuple[int, int]]:
-    """Write every table under partition ``ds`` of its export table.
+def export_warehouse(tables: dict[str, DataFrame], database: str, day: date,
+                     location: str | None = None) -> dict[str, tuple[int, int]]:
+    """Write every table under partition ``ds`` of its export table (database files at ``location``).
 
     Returns ``name -> (rows in the source, rows in the export)``; a difference raises.  The
     source count is taken while writing, so the source is read once.
     """
-    from pyspark.sql import Observation
-
     spark = next(iter(tables.values())).sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}" + (f" LOCATION '{location}'" if location else ""))
     counts = {}
     for name, df in tables.items():
         seen = Observation(f"export_{name}")

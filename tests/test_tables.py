@@ -12,7 +12,9 @@ from roadweave.sources import dimensions, messages, stats_document, tables
 
 
 def test_seeds(spark):
-    assert dimensions.seed_locations(spark).count() == 25
+    roads = dimensions.seed_locations(spark)
+    assert roads.count() == 25 and roads.filter("location_name = 'Al Manial St'").first()["district"] == "Manial"
+    assert [f.dataType.typeName() for f in roads.schema] == ["integer", "string", "double", "double", "string", "string"]
     assert dimensions.seed_weather(spark).count() == 12
     times = dimensions.seed_times(spark)
     assert times.count() == 168 and times.select("hour", "day_of_week").distinct().count() == 168
@@ -21,6 +23,13 @@ def test_seeds(spark):
     assert times.filter("time_period is null").count() == 0
 
 
+def test_star_lookup_moves_no_readings(spark, small):
+    """Fixed dimensions are broadcast at once: the only shuffle is the one of the aggregate."""
+    facts = warehouse.enriched_facts(t.fact(spark, small), t.dimensions(spark))
+    plan = marts.rush_hour_analysis(facts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 6 and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_insert_if_absent_keeps_what_is_there(spark):
     old = spark.createDataFrame([("A", 1)], "name string, v int")
     new = spark.createDataFrame([("A", 2), ("B", 3), ("B", 3)], "name string, v int")
@@ -57,11 +66,10 @@ def test_csv_round_trip(spark, small, tmp_path):
     assert back.exceptAll(df).count() == 0 and back.count() == df.count()
 
 
-def test_export_and_expiry(spark, small):
-    spark.sql("DROP DATABASE IF EXISTS exports CASCADE")
+def test_export_and_expiry(spark, small, tmp_path):
     tabs = {"dim_time": dimensions.seed_times(spark), "fact_traffic": t.fact(spark, small)}
     for day in (date(2024, 1, 1), date(2024, 1, 25), date(2024, 2, 4), date(2024, 2, 4)):
-        counts = tables.export_warehouse(tabs, "exports", day)
+        counts = tables.export_warehouse(tabs, "exports", day, str(tmp_path))
     assert counts["dim_time"] == (168, 168)
     dropped = tables.expire_exports(spark, "exports", date(2024, 2, 4))
     assert sorted(dropped) == ["dim_time/ds=2024-01-01", "fact_traffic/ds=2024-01-01"]
