@@ -8,6 +8,7 @@ from checks import tables as t
 from checks.ingest import _HISTORY, feature_rows
 from checks.sql import AS_OF, FORECASTS, SCORED, VERDICTS, r, rt, ts
 from roadweave import fixed_values as fv
+from roadweave.functions.geo import with_message_district
 from roadweave.functions.numeric import rounded
 from roadweave.models import metrics
 from roadweave.plans import alerts, features, forecast, snapshot
@@ -75,9 +76,10 @@ def forecast_rows(spark, path):
 
 
 def forecast_input(spark, path, extra=None):
-    rows = feature_rows(spark, path)
-    return forecast.forecast_rows_from(rows, features.class_index(t.readings(spark, path), "frc"),
-                                       features.class_index(rows, "district"), extra)
+    rows, plain = feature_rows(spark, path), t.readings(spark, path)
+    series = plain.select("location_name", F.col("request_time").alias("event_time"))
+    return forecast.forecast_rows_from(
+        rows, features.class_index(plain, "frc"), features.class_index(with_message_district(plain), "district"), extra, series)
 
 
 @query("w05_recent_readings", f"""with {SCORED}, rk as (select *, row_number() over (partition by location_name order by request_time desc, reading_id desc) as recency

@@ -63,7 +63,11 @@ def point_value(position: Column, field: int) -> Column:
 
 def with_district(df: DataFrame, lat: str = "requested_lat", lon: str = "requested_lon",
                   output: str = "district") -> DataFrame:
-    """Rectangle first; outside every rectangle, or far from the city, the nearest known point."""
+    """Rectangle first; outside every rectangle, or far from the city, the nearest known point.
+
+    Filter on the result only after something that keeps the filter from being pushed down
+    (an aggregate, a stored table): pushed into the scan it would repeat the formulas.
+    """
     south, north, west, east = fv.METRO_AREA
     in_metro = F.col(lat).between(south, north) & F.col(lon).between(west, east)
     return (

@@ -19,21 +19,31 @@ HOT_SLOTS = 8192
 
 
 def with_position(df: DataFrame, keys: list[str], ts: str, tie: str, slot: str = "day",
-                  fine_slot: str = "minute", parts: int = HOT_SLOTS) -> DataFrame:
-    """Add ``position``: 1, 2, 3 ... in time order within the key.  Rows without a key are left out."""
-    coarse = df.withColumn("_slot", F.date_trunc(slot, F.col(ts)))
-    hot = F.broadcast(hot_keys(coarse.select(*keys, "_slot"), [*keys, "_slot"], parts))
-    sliced = (
-        coarse.join(hot, [*keys, "_slot"], "left")
-        .withColumn("_slot", F.when(F.col("salts").isNull(), F.col("_slot")).otherwise(F.date_trunc(fine_slot, F.col(ts))))
-        .drop("salts")
-    )
-    counts = sliced.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
+                  fine_slot: str = "minute", parts: int = HOT_SLOTS, counted: DataFrame | None = None) -> DataFrame:
+    """Add ``position``: 1, 2, 3 ... in time order within the key.  Rows without a key are left out.
+
+    The rows per slot are counted beforehand.  Where ``df`` is costly to compute, ``counted``
+    names a cheaper table with the same rows as far as ``keys`` and ``ts`` are concerned.
+    """
+    counted = df if counted is None else counted
+    coarse = counted.select(*keys, F.date_trunc(slot, F.col(ts)).alias("_slot"))
+    hot = F.broadcast(hot_keys(coarse, [*keys, "_slot"], parts))
+
+    def sliced(frame: DataFrame) -> DataFrame:
+        fine = F.date_trunc(fine_slot, F.col(ts))
+        return (
+            frame.withColumn("_slot", F.date_trunc(slot, F.col(ts)))
+            .join(hot, [*keys, "_slot"], "left")
+            .withColumn("_slot", F.when(F.col("salts").isNull(), F.col("_slot")).otherwise(fine))
+            .drop("salts")
+        )
+
+    counts = sliced(counted.select(*keys, ts)).groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_slot", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_slot").orderBy(ts, tie)
     return (
-        sliced.join(offsets, [*keys, "_slot"])
+        sliced(df).join(offsets, [*keys, "_slot"])
         .withColumn("position", F.col("_before") + F.row_number().over(inside))
         .drop("_slot", "_before")
     )
@@ -47,6 +57,7 @@ def with_lags(
     lags: dict[str, tuple[str, int]],
     slot: str = "day",
     chunk_rows: int = 100_000,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``position`` and one column per ``name -> (column, rows back)``.
 
@@ -65,7 +76,7 @@ def with_lags(
         F.when(inside < ahead, chunk - 1),
     ))
     spread = (
-        with_position(df, keys, ts, tie, slot)
+        with_position(df, keys, ts, tie, slot, counted=counted)
         .withColumns({"_home": chunk, "_homes": homes})
         .withColumn("_chunk", F.explode("_homes"))
     )

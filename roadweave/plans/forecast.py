@@ -15,15 +15,15 @@ from roadweave.plans.features import encode
 SERIES_KEY = ["location_name"]
 
 
-def lag_features(readings: DataFrame, lag_rows: dict[str, int] | None = None,
-                 ts: str = "request_time", tie: str = "reading_id") -> DataFrame:
+def lag_features(readings: DataFrame, lag_rows: dict[str, int] | None = None, ts: str = "request_time",
+                 tie: str = "reading_id", counted: DataFrame | None = None) -> DataFrame:
     """``speed_lag_*`` and ``ratio_lag_*``: rows back in the road's series, current row included."""
     lag_rows = lag_rows or fv.LAG_ROWS
     wanted = {}
     for label, back in lag_rows.items():
         wanted[f"speed_lag_{label}"] = ("current_speed", back)
         wanted[f"ratio_lag_{label}"] = ("congestion_ratio", back)
-    return with_lags(readings.filter(F.col("location_name").isNotNull()), SERIES_KEY, ts, tie, wanted)
+    return with_lags(readings.filter(F.col("location_name").isNotNull()), SERIES_KEY, ts, tie, wanted, counted=counted)
 
 
 def with_trends(lagged: DataFrame) -> DataFrame:
@@ -37,13 +37,15 @@ def with_trends(lagged: DataFrame) -> DataFrame:
 
 
 def forecast_rows_from(features: DataFrame, frc_index: DataFrame, district_index: DataFrame,
-                       extra: list[str] | None = None) -> DataFrame:
+                       extra: list[str] | None = None, readings: DataFrame | None = None) -> DataFrame:
     """The 32 forecast features of every reading whose road has all lags behind it.
 
     ``features`` is the congestion feature row plus ``reading_id`` and ``event_time``.
+    ``readings`` (``location_name``, ``event_time`` of the same rows) saves computing the
+    features a second time just to count rows.
     """
     rush = is_forecast_rush_hour(F.col("hour"), F.col("is_weekend") == 1).cast("int")
-    lagged = with_trends(lag_features(features, ts="event_time")).filter(F.col("position") > fv.WARM_ROWS)
+    lagged = with_trends(lag_features(features, ts="event_time", counted=readings)).filter(F.col("position") > fv.WARM_ROWS)
     lagged = lagged.withColumn("is_rush_hour", rush).drop("frc_encoded")
     coded = encode(encode(lagged, "frc", frc_index, 0, "frc_encoded"),
                    "district", district_index, 0, "district_encoded")
