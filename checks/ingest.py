@@ -111,7 +111,7 @@ def incident_payload(spark, path):
 
 @query("s14_insert_if_absent", """select distinct user_id, true as known from events""")
 def absent_users(spark, path):
-    """Users seen up to the middle of the month, completed by those seen later."""
+    """Users seen on the first day, completed by those seen later."""
     users = t.readings(spark, path)
     early = users.filter(F.col("request_time") < F.lit("2024-01-02").cast("timestamp")).select("user_id").distinct()
     late = users.select("user_id")
