@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadweave.llm import language_id
+from roadweave.llm import language_id, toxicity
 from roadweave.llm.common import bucket_of, corpus_session, stored
 
 ORACLE_SQL = None
@@ -22,7 +22,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         f"__lang <> '{language_id.UNKNOWN}' AND __score >= {LEAST_LANGUAGE_SCORE}").select(*COLUMNS)
 
 
-STAGES = [("language_id", identify_language)]
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose most likely severity is above 0."""
+    model = toxicity.train(docs, corpus_session(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("NOT toxic").select(*COLUMNS)
+
+
+STAGES = [("language_id", identify_language), ("toxicity", drop_toxic)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

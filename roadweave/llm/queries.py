@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import language_id
+from roadweave.llm import language_id, toxicity
 from roadweave.llm.common import bucket_of, table
 
 QUERIES, ORACLE = {}, {}
@@ -24,3 +24,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where("NOT held_out"))
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select(
         "doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "severity", "grade", "toxic")
