@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadweave.llm import language_id, toxicity
+from roadweave.llm import decontaminate, language_id, toxicity
 from roadweave.llm.common import bucket_of, corpus_session, stored
 
 ORACLE_SQL = None
@@ -28,7 +28,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("NOT toxic").select(*COLUMNS)
 
 
-STAGES = [("language_id", identify_language), ("toxicity", drop_toxic)]
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item, also with some edits."""
+    items = corpus_session(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.without_leaks(docs.select(*COLUMNS), items)
+
+
+STAGES = [("language_id", identify_language), ("toxicity", drop_toxic), ("decontamination", decontaminate_benchmark)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
