@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import decontaminate, language_id, toxicity
+from roadweave.llm import decontaminate, language_id, near_duplicates, toxicity
 from roadweave.llm.common import bucket_of, table
 
 QUERIES, ORACLE = {}, {}
@@ -36,3 +36,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_near_duplicates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
