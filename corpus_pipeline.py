@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roadweave.llm import decontaminate, language_id, toxicity
+from roadweave.llm import decontaminate, language_id, mixing, near_duplicates, toxicity
 from roadweave.llm.common import bucket_of, corpus_session, stored
+from roadweave.llm.queries import DOMAIN, MIX
 
 ORACLE_SQL = None
 """The stages hold trained models and hash sampling, which SQL can't express; tests/llm compares them with brute force."""
@@ -28,13 +30,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("NOT toxic").select(*COLUMNS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the least doc_id of each class of near-duplicates."""
+    return near_duplicates.one_of_each(corpus_session(spark) and docs.select(*COLUMNS))
+
+
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, also with some edits."""
     items = corpus_session(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.without_leaks(docs.select(*COLUMNS), items)
 
 
-STAGES = [("language_id", identify_language), ("toxicity", drop_toxic), ("decontamination", decontaminate_benchmark)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document once for every epoch that its source's budget gives it; also domain, tokens and epoch."""
+    return mixing.mix(corpus_session(spark) and docs.select(*COLUMNS), F.expr(DOMAIN), MIX)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate_benchmark),
+    ("mixing", mix_sources),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import decontaminate, language_id, near_duplicates, toxicity
+from roadweave.llm import decontaminate, language_id, mixing, near_duplicates, toxicity
 from roadweave.llm.common import bucket_of, table
 
 QUERIES, ORACLE = {}, {}
@@ -33,6 +33,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "severity", "grade", "toxic")
 
 
+MIX = mixing.Settings(budget_percent=60, epochs=3, seed=17, weights={
+    "hub": 2, "forum": 4, "library": 4, "*/en": 4, "*/de": 2, "*/fr": 2, "*/es": 2, "forum/es": 3, "*/*/src1": 6, "*/*/src10": 2})
+DOMAIN = "CASE WHEN source = 'src0' THEN 'hub' WHEN source IN ({}) THEN 'forum' ELSE 'library' END".format(
+    ", ".join(f"'src{i}'" for i in range(1, 10)))
+
+
+@query("op1_source_mix", mixing.mix_sql(DOMAIN, MIX))
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, F.expr(DOMAIN), MIX).select(
+        "doc_id", "domain", F.coalesce("lang", F.lit(mixing.NONE)).alias("lang"),
+        F.coalesce("source", F.lit(mixing.NONE)).alias("source"), "tokens", F.col("epoch").cast("long").alias("epoch"))
+
+
 @query("op3_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
