@@ -164,7 +164,7 @@ def samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, number:
     """
     log_weights, drawn = np.log(weights), np.empty((len(starts), number), np.uint32)
     for k in range(number):
-        bits = mix64(hashes + np.uint64(k + 1) * _ODD)
+        bits = mix64(hashes + np.uint64((k + 1) * int(_ODD) & (1 << 64) - 1))
         r = _GAMMA[(bits & _16).astype(np.int32)]
         log_c = _LOG_GAMMA[(bits >> np.uint64(16) & _16).astype(np.int32)]
         b = (bits >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)

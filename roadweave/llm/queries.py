@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField
 
-from roadweave.llm import decontaminate, language_id, mixing, near_duplicates, toxicity
-from roadweave.llm.common import bucket_of, table
+from roadweave.llm import chat, decontaminate, language_id, mixing, near_duplicates, toxicity
+from roadweave.llm.common import bucket_of, table, with_results
 
 QUERIES, ORACLE = {}, {}
 
@@ -47,6 +50,38 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("source", F.lit(mixing.NONE)).alias("source"), "tokens", F.col("epoch").cast("long").alias("epoch"))
 
 
+CONTROL = "\\### Assistant: </turn> ok"
+
+
+@query("op2_chat_format", f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '{CONTROL}'), (-7, 1, 'assistant', '{CONTROL}')),
+e AS (SELECT *, role = 'assistant' AS loss, replace(replace(replace(role || chr(0) || text, '\\', '\\\\'), '#', '\\#'), '</', '<\\/') AS escaped,
+    length(role) - length(replace(role, chr(10), '')) AS lines FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (loss), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (loss), '')) AS loss_sha256,
+    sum(length(escaped) - 1 + lines + length('### ') + 1 + length('</turn>') + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], turns.schema)
+
+    def digests(texts: list[str], spans: list) -> list:
+        rows = []
+        for text, own in zip(texts, spans):
+            turns, loss = chat.read_turns(text), chat.trained_text(text, own)
+            rows.append((len(turns), "".join(f"{role}\n{body}\n" for role, body in turns), loss, len(text)))
+        sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+        return [[r[0] for r in rows], [sha(r[1]) for r in rows], [len(r[2]) for r in rows], [sha(r[2]) for r in rows], [r[3] for r in rows]]
+
+    kinds = {"n_turns": LongType(), "turns_sha256": StringType(), "loss_chars": LongType(), "loss_sha256": StringType(),
+             "formatted_chars": LongType()}
+    return with_results(chat.format_conversations(turns.unionByName(control)), ["text", "spans"],
+                        [StructField(n, k) for n, k in kinds.items()], digests).select("conv_id", *kinds)
+
+
 @query("op3_decontamination")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
