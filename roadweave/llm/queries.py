@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from roadweave.llm import chat, decontaminate, language_id, licences, mixing, near_duplicates, top_k, toxicity
+from roadweave.llm import chat, decontaminate, html_text, language_id, licences, mixing, near_duplicates, top_k, toxicity
 from roadweave.llm.common import bucket_of, table, with_results
 
 QUERIES, ORACLE = {}, {}
@@ -106,3 +106,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licence_scan", licences.scan_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), licences.known_licences(spark))
+
+
+@query("op5_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
