@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from roadweave.llm import chat, decontaminate, html_text, language_id, licences, mixing, near_duplicates, top_k, toxicity
+from roadweave.llm import chat, decontaminate, html_text, language_id, licences, log_bilinear, mixing, near_duplicates, top_k, toxicity
 from roadweave.llm.common import bucket_of, table, with_results
 
 QUERIES, ORACLE = {}, {}
@@ -111,3 +111,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_main_text")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op7_lm_score")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bucket_of("doc_id", 7) == 2
+    model = log_bilinear.train(docs.where(~held_out))
+    return log_bilinear.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
