@@ -3,14 +3,17 @@
 1. Shingles of five words (a shorter text is one shingle) get the weight tf x idf. Document frequencies are counted
    over all rows in a hashed table of fixed size: each task counts, a shuffle adds the pieces up.
 2. One pass draws `bands` x `rows` ICWS samples of each text; rows of equal texts become one node (by digest).
-3. Nodes that share a band are candidates. A band's nodes are not paired with each other: each is compared with one
-   node of the band; then, where a band still holds several components, the nodes outside its largest one are
-   compared with the band's other components, at most about `REPS` of them a round. When no round finds
-   an untested node, every pair that shares a band is either in one component or was compared: no link is lost.
+3. Nodes that share a band are candidates. First each is compared with one node of its band only, and links form
+   components. Where a band still holds several components, the nodes outside its largest one are compared with two
+   more of that one's nodes. What is outside then is compared with the band's nodes of other components: by pairs in
+   bands of up to SMALL nodes, in blocks of texts in larger ones; a pair is left to the first band it shares. So every
+   pair that shares a band is in one component or was compared: no link is lost, and groups of copies, whatever their
+   size, do not become pairs.
 4. Candidates are verified by the weighted Jaccard similarity of their whole texts; links form components by
    alternating large-star and small-star steps; a class is named by its least doc_id.
 
-A pair of similarity s shares no band with probability (1 - s^rows)^bands: 2e-4 at 0.8, 3e-6 at 0.87.
+A pair of similarity s shares no band with probability (1 - s^rows)^bands: 2e-4 at 0.8, 3e-6 at 0.87; that its samples
+tell it apart from a pair of 0.8 by chance has probability 3e-5.
 
 Defined cases: null texts are each their own class (named by their doc_id); empty texts are copies of each other and
 near nothing else; rows of equal text are one class, also with equal or null ids; a text is used whole. Case and the
@@ -24,16 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField
 
 from roadweave.llm.common import blocks, stored, with_results
 
 PIECES = 64
 HASH_BITS = 52
 """A sorted key holds the text's number in its block above a shingle hash of this many bits."""
-REPS = 32
+SMALL, BLOCK = 64, 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,6 +48,8 @@ class Settings:
     bands: int = 16
     rows: int = 4
     df_bits: int = 18
+    least_alike: float = 0.6
+    """Pairs with a smaller share of equal samples are not verified: of 64 samples, four standard deviations below 0.8."""
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -177,23 +183,22 @@ def samples(hashes: np.ndarray, weights: np.ndarray, starts: np.ndarray, number:
     return drawn
 
 
-def band_keys(texts: list[str], idf: np.ndarray, settings: Settings) -> list[list[int]]:
-    """One 64-bit key for each band of each text; none for a text without words."""
-    result: list[list[int]] = []
+def sketches(texts: list[str], idf: np.ndarray, settings: Settings) -> tuple[list, list]:
+    """For each text, its samples and one 64-bit key for each band; none for a text without words."""
+    drawn, keys = [[] for _ in texts], [[] for _ in texts]
     for first, last in _blocks(texts):
         owner, hashes, times = shingles(texts[first:last], settings.words)
-        keys = [[] for _ in range(first, last)]
-        if len(owner):
-            starts = np.flatnonzero(np.diff(owner, prepend=-1))
-            drawn = samples(hashes, _weights(hashes, times, idf), starts, settings.bands * settings.rows).astype(np.uint64)
-            drawn = drawn.reshape(len(starts), settings.bands, settings.rows)
-            key = np.broadcast_to(np.arange(1, settings.bands + 1, dtype=np.uint64), drawn.shape[:2])
-            for i in range(settings.rows):
-                key = mix64(key * _ODD + drawn[:, :, i])
-            for text, own in zip(owner[starts], key.view(np.int64).tolist()):
-                keys[text] = own
-        result += keys
-    return result
+        if not len(owner):
+            continue
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        own = samples(hashes, _weights(hashes, times, idf), starts, settings.bands * settings.rows)
+        parts = own.astype(np.uint64).reshape(len(starts), settings.bands, settings.rows)
+        key = np.broadcast_to(np.arange(1, settings.bands + 1, dtype=np.uint64), parts.shape[:2])
+        for i in range(settings.rows):
+            key = mix64(key * _ODD + parts[:, :, i])
+        for text, s, k in zip(owner[starts] + first, own.view(np.int32), key.view(np.int64)):
+            drawn[text], keys[text] = s, k
+    return drawn, keys
 
 
 def weighted_jaccard(left: list[str], right: list[str], idf: np.ndarray, settings: Settings) -> np.ndarray:
@@ -212,20 +217,42 @@ def weighted_jaccard(left: list[str], right: list[str], idf: np.ndarray, setting
     return result
 
 
+def similarities(left: list[str], right: list[str], idf: np.ndarray, settings: Settings) -> np.ndarray:
+    """Weighted Jaccard similarity of each left to each right text, by one matrix product.
+
+    The n-th occurrence of a shingle is a feature of its own, so the lesser of two counts is a sum of products.
+    """
+    owner, hashes, times = shingles([*left, *right], settings.words)
+    weight = idf[(hashes & np.uint64(len(idf) - 1)).astype(np.int64)].astype(np.float64)
+    sums = np.bincount(owner, weight * times, len(left) + len(right))
+    # only what both sides hold can be common
+    shared = np.intersect1d(hashes[owner < len(left)], hashes[owner >= len(left)])
+    at = np.minimum(np.searchsorted(shared, hashes), max(len(shared) - 1, 0))
+    met = np.flatnonzero(shared[at] == hashes) if len(shared) else np.empty(0, np.int64)
+    often = np.repeat(met, times[met])
+    nth = np.arange(len(often)) - np.repeat(np.cumsum(times[met]) - times[met], times[met])
+    keys, column = np.unique(np.stack([at[often], nth]), axis=1, return_inverse=True)
+    table = np.zeros((len(sums), keys.shape[1]))
+    table[owner[often], column.ravel()] = np.sqrt(weight[often])
+    common = table[: len(left)] @ table[len(left) :].T
+    union = sums[: len(left), None] + sums[None, len(left) :] - common
+    return np.where(union > 0, common / np.maximum(union, 1e-300), 0)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of `edges` (a, b), the root being the least node of its component."""
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
     while True:
-        found = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if found == state or not found[0]:
+        # done when every node points to one root, and no root points on
+        ends = edges.select(F.col("a").alias("k"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            edges.select(F.col("b").alias("k"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        open_ = ends.groupBy("k").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out + into > 1 AND out > 0")
+        if open_.isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = found
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         edges = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -243,18 +270,18 @@ class _Search:
         def sketch(texts: list[str | None]) -> list:
             """Equal texts of a batch are sampled once."""
             distinct = list(dict.fromkeys(t for t in texts if t is not None))
-            keys = dict(zip(distinct, band_keys(distinct, idf, settings)))
-            return [[None if t is None else keys[t] for t in texts]]
+            made = dict(zip(distinct, zip(*sketches(distinct, idf, settings))))
+            return [[None if t is None else made[t][i] for t in texts] for i in (0, 1)]
 
         sketched = with_results(rows.withColumn("digest", F.md5(F.col("text").cast("binary"))), ["text"],
-                                [StructField("bands", ArrayType(LongType()))], sketch)
-        self.rows = stored(sketched.select("doc_id", "digest", "bands"))
+                                [StructField("samples", ArrayType(IntegerType())), StructField("bands", ArrayType(LongType()))], sketch)
+        self.rows = stored(sketched.select("doc_id", "digest", "samples", "bands"))
         self.nodes = stored(self.rows.where("digest IS NOT NULL").groupBy("digest")
-                            .agg(F.min("doc_id").alias("holder"), F.first("bands").alias("bands"))
+                            .agg(F.min("doc_id").alias("holder"), F.first("samples").alias("samples"), F.first("bands").alias("bands"))
                             .withColumn("node", F.monotonically_increasing_id()))
-        members = self.nodes.select(F.explode("bands").alias("band"), "node")
+        members = self.nodes.select(F.posexplode("bands").alias("place", "band"), "node")
         shared = members.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
-        self.members = stored(members.join(shared, "band").select("band", "node", "least"))
+        self.members = stored(members.join(shared, "band").select("band", "place", "node", "least"))
         wanted = self.nodes.join(self.members.select("node").distinct(), "node", "left_semi").select("node", "digest", "holder")
         key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("digest", "doc_id")]
         texts = rows.withColumn("digest", F.md5(F.col("text").cast("binary"))).where("digest IS NOT NULL")
@@ -263,9 +290,14 @@ class _Search:
             .select("node", "text"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar enough."""
+        """The pairs (a, b) that are similar enough; the texts of those whose samples tell it apart are not read."""
         idf, settings = self.idf, self.settings
-        texts = pairs.join(self.texts.withColumnsRenamed({"node": "a", "text": "left"}), "a").join(
+        own = self.nodes.select("node", "samples")
+        alike = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+        likely = pairs.select("a", "b").join(own.withColumnsRenamed({"node": "a", "samples": "s"}), "a").join(
+            own.withColumnsRenamed({"node": "b", "samples": "t"}), "b").where(
+            alike >= settings.least_alike * settings.bands * settings.rows).select("a", "b")
+        texts = likely.join(self.texts.withColumnsRenamed({"node": "a", "text": "left"}), "a").join(
             self.texts.withColumnsRenamed({"node": "b", "text": "right"}), "b")
         scored = with_results(texts.select("a", "b", "left", "right"), ["left", "right"], [StructField("similarity", DoubleType())],
                               lambda left, right: [weighted_jaccard(left, right, idf, settings)])
@@ -273,33 +305,109 @@ class _Search:
 
     def classes(self) -> DataFrame:
         """(node, root) of all nodes with a link."""
-        tested = stored(self.members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-        edges, done = stored(self.links(tested)), None
-        while True:
-            roots = components(edges)
-            members = stored(self.members.join(roots, "node", "left").select(
-                "band", "node", F.coalesce("root", "node").alias("root")))
-            kinds = members.groupBy("band", "root").agg(F.count("*").alias("n"))
-            bands = kinds.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("base"), F.count("*").alias("kinds"),
-                                              F.sum("n").alias("n")).where("kinds > 1")
-            mixed = stored(members.join(bands, "band"))
-            open_ = mixed.where("root <> base")
-            if done is not None:
-                open_ = open_.join(done, ["band", "node"], "left_anti")
-            left = open_.groupBy("band").agg(F.count("*").alias("open"))
-            # about REPS nodes of a band in a round: all if they are few, else by a hash of node and number left
-            share = F.pmod(F.xxhash64("node", "open"), F.col("open"))
-            chosen = stored(open_.join(left, "band").where(share < REPS).select("band", "node", F.col("root").alias("own")))
-            if chosen.isEmpty():
-                if left.isEmpty():
-                    return roots
-                continue
-            done = chosen.select("band", "node") if done is None else done.unionByName(chosen.select("band", "node"))
-            pairs = chosen.withColumnRenamed("node", "x").join(mixed.select("band", "node", "root"), "band").where("own <> root").select(
-                F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b")).distinct()
-            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
-            tested = tested.unionByName(pairs)
-            edges = stored(edges.unionByName(self.links(pairs)))
+        stars = self.members.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+        roots = stored(components(self.links(stars)))
+        roots = self._merged(roots, self._second_stars(self._mixed(roots)))
+        mixed = self._mixed(roots)
+        return self._merged(roots, self._in_small_bands(mixed.where(F.col("n") <= SMALL)).unionByName(
+            self._in_large_bands(mixed.where(F.col("n") > SMALL))).distinct())
+
+    def _mixed(self, roots: DataFrame) -> DataFrame:
+        """Members of bands with several components: `base` is the largest, nodes outside it are `open`."""
+        members = self.members.join(roots, "node", "left").select("band", "place", "node", F.coalesce("root", "node").alias("root"))
+        kinds = members.groupBy("band", "root").agg(
+            F.count("*").alias("n"), F.max("node").alias("last"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("any"))
+        bands = kinds.groupBy("band").agg(F.max(F.struct("n", "root", "last", F.col("any.node").alias("any"))).alias("base"),
+                                          F.count("*").alias("kinds"), F.sum("n").alias("n")).where("kinds > 1")
+        bands = bands.select("band", "n", F.col("base.n").alias("most"), F.col("base.root").alias("base"), "base.last", "base.any")
+        return stored(members.join(bands, "band").withColumn("open", F.col("root") != F.col("base")))
+
+    def _merged(self, roots: DataFrame, links: DataFrame) -> DataFrame:
+        """Roots after links (a, b) between them."""
+        links = stored(links)
+        if links.isEmpty():
+            return roots
+        joined = stored(components(links)).select(F.col("node").alias("root"), F.col("root").alias("new"))
+        return stored(roots.join(joined, "root", "left").select("node", F.coalesce("new", "root").alias("root")).unionByName(
+            joined.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("new").alias("root"))))
+
+    def _second_stars(self, mixed: DataFrame) -> DataFrame:
+        """Links between roots, from comparing open nodes with two nodes of their bands' largest components."""
+        pairs = mixed.where("open").select(F.col("node").alias("a"), "root", "base", F.explode(F.array_distinct(F.array("last", "any"))).alias("b"))
+        pairs = pairs.groupBy("a", "b").agg(F.first("root").alias("root"), F.first("base").alias("base"))
+        return self.links(pairs).join(pairs, ["a", "b"]).select(F.col("root").alias("a"), F.col("base").alias("b")).distinct()
+
+    def _in_blocks(self, rows: DataFrame, fields: list[str]) -> DataFrame:
+        """(place, left, right): a band's open nodes and all its nodes, in lists of about BLOCK."""
+        def lists(side: DataFrame, size: Column, name: str) -> DataFrame:
+            block = F.pmod(F.xxhash64("node"), F.ceil(size / BLOCK)).alias("block")
+            return side.select("band", "place", block, F.struct(*fields).alias("x")).groupBy("band", "place", "block").agg(
+                F.collect_list("x").alias(name)).drop("block")
+
+        return lists(rows.where("open"), F.col("n") - F.col("most"), "left").join(
+            lists(rows, F.col("n"), "right").drop("place"), "band").select("place", "left", "right")
+
+    def _candidates(self, batch: pa.RecordBatch, i: int) -> tuple[list[pa.Array], np.ndarray, list[np.ndarray]]:
+        """Of a row of blocks: the nodes of both sides, which pairs are likely and first met in this band, their roots."""
+        settings = self.settings
+        sides = [batch.column(k)[i].values for k in (1, 2)]
+        (root, x), (other, y) = ((p.field("root").to_numpy(), p.field("samples").flatten().to_numpy().reshape(len(p), -1)) for p in sides)
+        kept = np.zeros((len(root), len(other)), bool)
+        for j in range(len(root)):
+            same = x[j] == y
+            band = same.reshape(len(other), settings.bands, settings.rows).all(axis=2)
+            kept[j] = (same.mean(axis=1) >= settings.least_alike) & (band.argmax(axis=1) == batch.column(0)[i].as_py()) & (other != root[j])
+        return sides, kept, [root, other]
+
+    def _in_small_bands(self, mixed: DataFrame) -> DataFrame:
+        """Links (a, b) between roots: likely pairs first, then their texts."""
+        candidates = _detached(self)._candidates
+        rows = mixed.join(self.nodes.select("node", "samples"), "node")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found: list[np.ndarray] = [np.empty((4, 0), np.int64)]
+                for i in range(batch.num_rows):
+                    (left, right), kept, (root, other) = candidates(batch, i)
+                    a, b = np.nonzero(kept)
+                    found.append(np.stack([left.field("node").to_numpy()[a], right.field("node").to_numpy()[b], root[a], other[b]]))
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in np.concatenate(found, axis=1)], names=["a", "b", "root", "other"])
+
+        pairs = stored(self._in_blocks(rows, ["node", "root", "samples"]).mapInArrow(
+            compare, "a long, b long, root long, other long").distinct())
+        return self.links(pairs).join(pairs, ["a", "b"]).select(F.col("root").alias("a"), F.col("other").alias("b"))
+
+    def _in_large_bands(self, mixed: DataFrame) -> DataFrame:
+        """Links (a, b) between roots: blocks of texts are compared at once, so that likely pairs need no rows."""
+        idf, settings, candidates = self.idf, self.settings, _detached(self)._candidates
+        rows = mixed.join(self.nodes.select("node", "samples"), "node").join(self.texts, "node")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found: list[np.ndarray] = [np.empty((2, 0), np.int64)]
+                for i in range(batch.num_rows):
+                    sides, kept, (root, other) = candidates(batch, i)
+                    if kept.any():
+                        a, b = np.nonzero(kept)
+                        values = similarities(*(p.field("text").to_pylist() for p in sides), idf, settings)[a, b]
+                        near = values >= settings.similarity
+                        found.append(np.unique(np.stack([root[a[near]], other[b[near]]]), axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(r) for r in np.concatenate(found, axis=1)], names=["a", "b"])
+
+        spark = mixed.sparkSession
+        held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row holds two blocks of texts
+        try:
+            return stored(self._in_blocks(rows, ["node", "root", "samples", "text"]).mapInArrow(compare, "a long, b long").distinct())
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+def _detached(search: _Search) -> _Search:
+    """What tasks need of a search: no tables."""
+    part = object.__new__(_Search)
+    part.settings = search.settings
+    return part
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
