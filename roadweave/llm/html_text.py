@@ -3,7 +3,7 @@
 A page becomes a list of blocks (stretches of text between block-level tags), each at the end of a path of tags from
 the root. Per path, text length and punctuation are summed over its blocks; the two ratios (characters and punctuation
 marks a block) are fused, smoothed along the page, and give every block a mass. From the root, the path that holds most
-of the mass below it is followed down to the content; paths there that reach a share of the mass are kept. What a
+of the mass below it is followed down to the content; paths there are kept, but for plain containers with a small share of the mass. What a
 tag, role, class or id names as a menu, header, footer, sidebar, notice, advert, form or comment has no mass,
 unless the page would be left with little else.
 
@@ -30,6 +30,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style noscript template textarea title iframe object svg math canvas video audio select button datalist".split())
 NO_CONTENT_TAGS = frozenset("head nav footer aside form menu dialog search fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
+PLAIN_TAGS = frozenset("div section center table".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {  # a start tag ends these open elements, up to the given borders
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -221,7 +222,7 @@ def _content(blocks: list[tuple[_Node, str]]) -> list[bool]:
         inside = next((i for i, n in enumerate(line) if n.path == here), None)
         if inside is None:
             kept.append(False)
-        elif here in named or inside == len(line) - 1:
+        elif here in named or inside == len(line) - 1 or line[inside + 1].tag not in PLAIN_TAGS:
             kept.append(True)
         else:
             kept.append(below[line[inside + 1].path] >= LEAST * total)

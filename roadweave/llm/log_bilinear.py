@@ -45,6 +45,8 @@ class Settings:
     size: int = 48
     noise: int = 16
     steps: int = 250
+    prior: float = 100
+    """Pseudo-tokens that each context has seen, spread by frequency: rare contexts stay near the overall chances."""
     rate: float = 0.03
     held_words: int = 300_000
     """Distinct words a task counts before it hands them on."""
@@ -150,15 +152,14 @@ def fit(pairs: np.ndarray, settings: Settings = Settings()) -> tuple[np.ndarray,
     """R, C, Q and b by NCE: tell each observed pair from `noise` ones drawn by frequency, in expectation; Adam."""
     number, random = len(pairs), np.random.default_rng(0)
     frequency = (pairs.sum(axis=0) + 1) / (pairs.sum() + number)
-    seen = (pairs / max(pairs.sum(), 1)).astype(np.float32)
+    pairs = pairs + settings.prior * frequency
+    seen = (pairs / pairs.sum()).astype(np.float32)
     noise = (seen.sum(axis=1, keepdims=True) * settings.noise * frequency).astype(np.float32)
     offset = np.log(settings.noise * frequency).astype(np.float32)
     scale = 1 / np.sqrt(settings.size)
     network = [random.normal(0, scale, (number, settings.size)).astype(np.float32), np.eye(settings.size, dtype=np.float32),
                random.normal(0, 0.1 * scale, (number, settings.size)).astype(np.float32), np.log(frequency).astype(np.float32)]
     mean, power = [np.zeros_like(x) for x in network], [np.zeros_like(x) for x in network]
-    if not pairs.sum():
-        return tuple(network)
     for step in range(1, settings.steps + 1):
         R, C, Q, b = network
         H = R @ C
