@@ -14,6 +14,7 @@ from roadweave.functions.quality import with_quality
 from roadweave.plans import alerts
 from roadweave.plans.warehouse import fact_rows
 from roadweave.session import checkpoint_dir
+from roadweave.sources.tables import read_version
 from roadweave.streaming import jobs, state, windows
 
 QUERIES, ORACLE = {}, {}
@@ -58,7 +59,7 @@ select {ts('event_time')} as event_time, user_id % 25 + 1 as location_key, cast(
 def stream_warehouse(spark, path):
     root = folder(spark)
     readings = t.reading_stream(spark, path).drop("event_type", "user_id")
-    finished(jobs.load_warehouse(readings, t.dimensions(spark), root, f"{root}/state", once=True))
+    finished(jobs.load_warehouse(readings, lambda: t.dimensions(spark), root, f"{root}/state", once=True))
     return stored(spark, root, "fact_traffic").withColumn("congestion_ratio", rounded(F.col("congestion_ratio"), 4))
 
 
@@ -78,7 +79,9 @@ def stream_sent_alerts(spark, path):
     """Scored readings -> raised alerts -> sent alerts, through two streams."""
     state.use_rocksdb(spark)
     root = folder(spark)
-    finished(jobs.raise_alerts(t.scored_stream(spark, path), root, f"{root}/raise", 3600, once=True))
+    scored = t.scored_stream(spark, path)
+    finished(jobs.raise_alerts(scored, root, f"{root}/raise", 3600, once=True))
+    jobs.close_rounds(spark, root, scored.schema, 3600)
     finished(jobs.send_alerts(spark, root, f"{root}/send", once=True))
     return stored(spark, root, "alerts")
 
@@ -89,8 +92,8 @@ def stream_latest_records(spark, path):
     root = folder(spark)
     columns = ["current_speed", "congestion_level", "congestion_ratio", "request_time", "is_anomaly"]
     found = windows.latest_records(t.scored_stream(spark, path), ["request_time", "reading_id"], columns)
-    finished(jobs.start(found, root, "latest_records", f"{root}/state", mode="complete", once=True))
-    return stored(spark, root, "latest_records").withColumn("congestion_ratio", rounded(F.col("congestion_ratio"), 4))
+    finished(jobs.keep_latest(found, root, "latest_records", f"{root}/state", once=True))
+    return read_version(spark, root, "latest_records").withColumn("congestion_ratio", rounded(F.col("congestion_ratio"), 4))
 
 
 @query("t12_stream_quality_statistics", f"""with {QUALITY}, un as (select unnest(issues) as i from ql)
@@ -132,11 +135,29 @@ def stream_fan_out(spark, path):
     return every.groupBy("table_name").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("t13_stream_distinct_snapshots", None)
+def _snapshots(readings):
+    return t.with_ratio(readings).select(
+        F.md5(F.concat_ws("|", "location_name", "congestion_level")).alias("snapshot_key"), F.col("request_time").alias("generated_at"),
+        F.col("reading_id").alias("snapshot_id"))
+
+
+_TEXTS = f"""with recursive {SCORED}, ix as (select md5(concat(location_name, '|', congestion_level)) as snapshot_key, request_time as at, min(reading_id) as id
+  from sc group by 1, 2),
+ kept as (select snapshot_key, min(at) as at from ix group by all
+  union all select k.snapshot_key, (select min(ix.at) from ix where ix.snapshot_key = k.snapshot_key and ix.at >= k.at + interval 240 seconds) from kept k where k.at is not null)
+select snapshot_key, {ts('at')} as generated_at, id as snapshot_id from kept join ix using (snapshot_key, at)"""
+
+
+@query("t13_distinct_snapshots", _TEXTS)
+def distinct_snapshots(spark, path):
+    return windows.distinct_snapshots(_snapshots(t.readings(spark, path)))
+
+
+@query("t13_stream_distinct_snapshots", _TEXTS)
 def stream_distinct_snapshots(spark, path):
-    """Repeated keys within the watermark; which of several equal rows stays depends on arrival."""
+    """The same on a stream in several batches."""
+    state.use_rocksdb(spark)
     root = folder(spark)
-    rows = t.with_ratio(t.reading_stream(spark, path)).select(
-        F.md5(F.concat_ws("|", "location_name", "congestion_level")).alias("snapshot_key"), F.col("request_time").alias("generated_at"))
-    finished(jobs.start(windows.distinct_snapshots(rows), root, "ai_summaries", f"{root}/state", once=True))
-    return stored(spark, root, "ai_summaries").select("snapshot_key")
+    found = windows.distinct_snapshots(_snapshots(t.reading_stream(spark, path)))
+    finished(jobs.start(found, root, "ai_summaries", f"{root}/state", once=True))
+    return stored(spark, root, "ai_summaries")

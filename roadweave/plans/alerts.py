@@ -91,14 +91,18 @@ def raised_alerts(scored: DataFrame, seconds: int | None = None, earlier: DataFr
     Needs the scored reading: ``reading_id, request_time, location_name, predicted_congestion,
     is_anomaly, anomaly_score, anomaly_reason, is_rush_hour, hour, road_closure`` and both speeds.
     """
+    return reading_alerts(scored).unionByName(round_alerts(scored, seconds, earlier))
+
+
+def round_alerts(scored: DataFrame, seconds: int | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """Alerts that depend on whole rounds: new closures and the state of the city."""
     none = F.lit(None)
     place = F.coalesce("location_name", F.lit("Unknown"))
     rounds = with_round(scored, seconds)
-    per_row = reading_alerts(scored)
     closures = _rows(new_closures(rounds, seconds, earlier).withColumn("is_new_closure", F.lit(True)),
                      [none, none, rules.closure_alert()], place)
     city = _rows(city_rounds(rounds), [none, none, none, rules.city_alert()], F.lit(fv.CITY_ALERT_PLACE))
-    return per_row.unionByName(closures).unionByName(city)
+    return closures.unionByName(city)
 
 
 def sent_alerts(scored: DataFrame, seconds: int | None = None,

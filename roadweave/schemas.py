@@ -48,7 +48,6 @@ TABLE_TIME = {
     "data_quality_events": "checked_at",
     "fact_traffic": "event_time",
     "raised_alerts": "triggered_at",
-    "closed_rounds": "round_start",
+    "late_readings": "request_time",
     "road_lags": "event_time",
-    "latest_records": "request_time",
 }

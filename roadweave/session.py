@@ -26,12 +26,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Only a session without the setting (a local test) gets a temporary one.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    configured = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+                  or spark.sparkContext.getCheckpointDir())
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         configured = tempfile.mkdtemp(prefix="roadweave-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured

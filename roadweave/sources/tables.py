@@ -6,6 +6,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from roadweave import schemas
 
@@ -31,15 +32,55 @@ def read_table(spark: SparkSession, root: str, table: str, since_date: date | No
 
 
 def replace_batch(df: DataFrame, root: str, table: str, batch_id: int) -> None:
-    """Write one micro-batch under date and batch id; a repeated batch replaces itself."""
+    """Write one micro-batch under its id, split by date; a repeated batch replaces itself whole."""
     (
-        with_event_date(df, schemas.TABLE_TIME[table]).withColumn("batch_id", F.lit(batch_id))
-        .hint("rebalance", "event_date")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "batch_id").parquet(f"{root}/{table}")
+        with_event_date(df, schemas.TABLE_TIME[table]).hint("rebalance", "event_date")
+        .write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/{table}/batch_id={batch_id}")
     )
 
 
+def write_version(df: DataFrame, root: str, table: str, version: int) -> None:
+    """Write a whole new version of a small table; those more than two numbers back are removed."""
+    df.write.mode("overwrite").parquet(f"{root}/{table}/version={version}")
+    spark = df.sparkSession
+    for old in versions(spark, root, table):
+        if old < version - 2:
+            _folder(spark, f"{root}/{table}/version={old}").delete()
+
+
+def versions(spark: SparkSession, root: str, table: str) -> list[int]:
+    """Complete versions of a table, in order."""
+    found = _folder(spark, f"{root}/{table}").children()
+    names = [name for name in found if name.startswith("version=")]
+    return sorted(int(name.split("=")[1]) for name in names if _folder(spark, f"{root}/{table}/{name}/_SUCCESS").exists())
+
+
+def read_version(spark: SparkSession, root: str, table: str, schema: StructType | str | None = None, upto: int | None = None) -> DataFrame:
+    """The newest complete version of a table (none newer than ``upto``); without any, an empty table of ``schema``."""
+    known = [v for v in versions(spark, root, table) if upto is None or v <= upto]
+    if not known:
+        return spark.createDataFrame([], schema)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{root}/{table}/version={known[-1]}")
+
+
+class _folder:
+    """A path in whatever file system it belongs to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.system = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        return self.system.exists(self.path)
+
+    def children(self) -> list[str]:
+        return [s.getPath().getName() for s in self.system.listStatus(self.path)] if self.exists() else []
+
+    def delete(self) -> None:
+        self.system.delete(self.path, True)
+
+
 def save_mart(df: DataFrame, root: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{name}")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -40,21 +41,21 @@ class LagBuffer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = list(self.rows.get()) if self.rows.exists() else []
-        batches = list(rows)  # rows of one road in one micro-batch
-        new = pd.concat(batches).sort_values(["event_time", "reading_id"])
-        out = []
-        for r in new.itertuples():
-            held.append((r.event_time.to_pydatetime(), r.current_speed, r.congestion_ratio, bool(r.road_closure)))
-            held = held[-fv.BUFFER_ROWS:]
-            line = {"location_name": key[0], "reading_id": r.reading_id, "event_time": r.event_time,
-                    "current_speed": r.current_speed, "congestion_ratio": r.congestion_ratio}
-            for label, back in fv.LAG_ROWS.items():
-                past = held[-back - 1] if len(held) > back else (None, None, None, None)
-                line[f"speed_lag_{label}"], line[f"ratio_lag_{label}"] = past[1], past[2]
-            line["buffered"], line["is_warm"] = len(held), len(held) >= fv.WARM_ROWS
-            out.append(line)
-        self.rows.put(held)
-        yield pd.DataFrame(out).astype({c: "float64" for c in LAGS})
+        new = pd.concat(list(rows)).sort_values(["event_time", "reading_id"])
+        fields = ["event_time", "current_speed", "congestion_ratio", "road_closure"]
+        known = len(held)
+        series = pd.concat([pd.DataFrame(held, columns=fields), new[fields]], ignore_index=True) if known else new[fields].reset_index(drop=True)
+        out = new[["reading_id", "event_time", "current_speed", "congestion_ratio"]].reset_index(drop=True)
+        out.insert(0, "location_name", key[0])
+        for label, back in fv.LAG_ROWS.items():
+            for value, column in (("speed", "current_speed"), ("ratio", "congestion_ratio")):
+                out[f"{value}_lag_{label}"] = series[column].astype("float64").shift(back).iloc[known:].to_numpy()
+        out["buffered"] = np.minimum(np.arange(known, known + len(new)) + 1, fv.BUFFER_ROWS)
+        out["is_warm"] = out["buffered"] >= fv.WARM_ROWS
+        kept = series.tail(fv.BUFFER_ROWS)
+        self.rows.put([(t.to_pydatetime(), s, r, bool(c)) for t, s, r, c in
+                       zip(kept["event_time"], kept["current_speed"], kept["congestion_ratio"], kept["road_closure"])])
+        yield out.astype({c: "float64" for c in LAGS})
 
     def close(self) -> None:
         pass
@@ -75,10 +76,10 @@ ALERT_COLUMNS = [part.split()[0] for part in ALERT_OUTPUT.split(", ")]
 
 
 class Cooldown(StatefulProcessor):
-    """Event time of the last alert sent for a key; forgotten after twice the cooldown."""
+    """Event time of the last row kept for a key; forgotten after twice the cooldown."""
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
+    def __init__(self, seconds: int, ts: str, order: list[str], columns: list[str]):
+        self.seconds, self.ts, self.order, self.columns = seconds, ts, order, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -86,34 +87,40 @@ class Cooldown(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
-        new = pd.concat(list(rows)).sort_values(["triggered_at", "alert_id"])
-        micros = new["triggered_at"].astype("datetime64[us]").astype("int64").to_numpy()
-        sent = []
-        for i, at in enumerate(micros):
-            if last is None or at - last >= self.seconds * 1_000_000:
-                sent.append(i)
-                last = int(at)
-        if sent:
+        new = pd.concat(list(rows)).sort_values(self.order)
+        micros = new[self.ts].astype("datetime64[us]").astype("int64").to_numpy()
+        step, kept = self.seconds * 1_000_000, []
+        at = 0 if last is None else int(np.searchsorted(micros, last + step))
+        while at < len(micros):  # from each row kept to the first one after its silence
+            kept.append(at)
+            last = int(micros[at])
+            at = max(at + 1, int(np.searchsorted(micros, last + step)))
+        if kept:
             self.last.update((last,))
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(last // 1000 + 2 * self.seconds * 1000)
-        yield new.iloc[sent][ALERT_COLUMNS]
+        yield new.iloc[kept][self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
-        yield pd.DataFrame(columns=ALERT_COLUMNS)
+        yield pd.DataFrame(columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
+def stream_repeats(rows: DataFrame, keys: list[str], ts: str, tie: str, seconds: int, lateness: str = "0 seconds") -> DataFrame:
+    """Rows of a stream that come at least ``seconds`` after the last one kept for their key.
+
+    The result does not depend on how the stream is cut into batches, as long as rows of a key arrive in time order
+    from batch to batch.
+    """
+    processor = Cooldown(seconds, ts, [ts, tie], rows.columns)
+    return rows.withWatermark(ts, lateness).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=rows.schema, outputMode="Append", timeMode="EventTime")
+
+
 def stream_cooldown(alerts: DataFrame, seconds: int = fv.COOLDOWN_MINUTES * 60, lateness: str = "0 seconds") -> DataFrame:
     """Alerts that are sent, on a stream."""
-    return (
-        alerts.select(*ALERT_COLUMNS).withWatermark("triggered_at", lateness)
-        .groupBy("kind", "location_name")
-        .transformWithStateInPandas(
-            statefulProcessor=Cooldown(seconds), outputStructType=ALERT_OUTPUT, outputMode="Append",
-            timeMode="EventTime")
-    )
+    return stream_repeats(alerts.select(*ALERT_COLUMNS), ["kind", "location_name"], "triggered_at", "alert_id", seconds, lateness)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave import fixed_values as fv
 from roadweave.functions.numeric import rounded, safe_ratio
+from roadweave.operators.cooldown import suppress_repeats
+from roadweave.streaming.state import stream_repeats
 
 
 def road_windows(readings: DataFrame, ts: str = "event_time", size: str = "5 minutes",
@@ -65,13 +67,13 @@ def quality_statistics(checked: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("count"))
 
 
-def distinct_snapshots(snapshots: DataFrame, ts: str = "generated_at", seconds: int = fv.SNAPSHOT_CACHE_SECONDS) -> DataFrame:
-    """Snapshots whose key was not seen within the last ``seconds``: only those need a new text."""
-    if not snapshots.isStreaming:
-        return snapshots.dropDuplicates(["snapshot_key"])
-    return snapshots.withWatermark(ts, f"{seconds} seconds").dropDuplicatesWithinWatermark(["snapshot_key"])
+def distinct_snapshots(snapshots: DataFrame, ts: str = "generated_at", seconds: int = fv.SNAPSHOT_CACHE_SECONDS,
+                       lateness: str = "0 seconds", tie: str = "snapshot_id") -> DataFrame:
+    """Snapshots that need a new text: none was made for their key within the last ``seconds``.
 
-
-def as_of_now() -> Column:
-    """Processing time, for the checks that compare with the wall clock."""
-    return F.current_timestamp()
+    A text is used again while it is younger than ``seconds``; its age counts from when it was made, not from its last use.
+    ``tie`` is a unique id.
+    """
+    if snapshots.isStreaming:
+        return stream_repeats(snapshots, ["snapshot_key"], ts, tie, seconds, lateness)
+    return suppress_repeats(snapshots, ["snapshot_key"], ts, tie, seconds)

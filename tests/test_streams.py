@@ -10,6 +10,7 @@ from checks import tables as t
 from roadweave import fixed_values as fv
 from roadweave.plans import alerts, forecast
 from roadweave.session import checkpoint_dir
+from roadweave.sources import tables
 from roadweave.streaming import jobs, state, windows
 
 READING = ("reading_id long, event_time timestamp, location_name string, current_speed double, free_flow_speed double, "
@@ -97,14 +98,17 @@ def test_cooldown_state_across_batches(spark, root):
     assert sorted(r["alert_id"] for r in rows_of(spark, root, "alerts").collect()) == [1, 4, 6]
 
 
-def test_alert_jobs_equal_the_batch_when_rounds_are_not_split(spark, root, small):
-    scored = t.scored(spark, small)
-    days = [("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-01")]
-    for first, last in days:
+def test_alert_jobs_equal_the_batch_when_rounds_are_split(spark, root, small):
+    scored = t.scored(spark, small).cache()
+    rounds = alerts.with_round(scored, 3600).filter((F.minute("request_time") >= 20) & (F.minute("request_time") < 40)).count()
+    assert rounds > 100  # the files below cut rounds at half past
+    cuts = ["2024-01-01 00:00:00", "2024-01-08 03:30:00", "2024-01-11 10:30:00", "2024-01-11 10:45:00", "2024-01-21 07:30:00", "2024-02-01 00:00:00"]
+    for first, last in zip(cuts, cuts[1:]):
         part = scored.filter((F.col("request_time") >= first) & (F.col("request_time") < last))
         part.coalesce(1).write.mode("append").parquet(f"{root}/in")
         source = spark.readStream.schema(scored.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
         jobs.raise_alerts(source, root, f"{root}/raise", 3600, once=True).awaitTermination()
+    jobs.close_rounds(spark, root, scored.schema, 3600)
     raised = rows_of(spark, root, "raised_alerts")
     expected = alerts.raised_alerts(scored, 3600)
     assert raised.count() == expected.count()
@@ -114,13 +118,39 @@ def test_alert_jobs_equal_the_batch_when_rounds_are_not_split(spark, root, small
     assert sent == {r["alert_id"] for r in alerts.sent_alerts(scored, 3600).collect()}
 
 
-def test_repeated_snapshots_are_dropped_within_the_span(spark, root):
-    schema = "snapshot_key string, generated_at timestamp"
+def test_late_readings_are_kept_apart(spark, root, small):
+    scored = t.scored(spark, small).orderBy("request_time")
+    rows = scored.limit(40).collect()
+    for part in (rows[:5] + rows[6:30], rows[30:], rows[5:6]):
+        spark.createDataFrame(part, scored.schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(scored.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        jobs.raise_alerts(source, root, f"{root}/raise", 3600, once=True).awaitTermination()
+    assert [r["reading_id"] for r in rows_of(spark, root, "late_readings").collect()] == [rows[5]["reading_id"]]
+    held = tables.read_version(spark, root, "open_readings")
+    newest = max(r["request_time"] for r in rows)
+    assert {r["request_time"].hour for r in held.collect()} == {newest.hour}
+
+
+SNAPSHOT = "snapshot_key string, generated_at timestamp, snapshot_id long"
+
+
+def test_snapshots_are_repeated_after_their_time(spark, root):
     at = lambda s: START + timedelta(seconds=s)
-    for part in ([("x", at(0)), ("y", at(1))], [("x", at(100))], [("z", at(900))], [("x", at(1000))]):
-        feed(spark, root, part, schema)
-        run(windows.distinct_snapshots(stream(spark, root, schema)), root, "ai_summaries")
-    assert sorted(r["snapshot_key"] for r in rows_of(spark, root, "ai_summaries").collect()) == ["x", "x", "y", "z"]
+    parts = ([("x", at(0), 1), ("y", at(1), 2)], [("x", at(100), 3), ("x", at(239), 4)], [("z", at(900), 5), ("x", at(1000), 6), ("x", at(5000), 7)])
+    for part in parts:
+        feed(spark, root, part, SNAPSHOT)
+        run(windows.distinct_snapshots(stream(spark, root, SNAPSHOT)), root, "ai_summaries")
+    assert sorted(r["snapshot_id"] for r in rows_of(spark, root, "ai_summaries").collect()) == [1, 2, 5, 6, 7]
+    table = spark.createDataFrame([r for part in parts for r in part], SNAPSHOT)
+    assert sorted(r["snapshot_id"] for r in windows.distinct_snapshots(table).collect()) == [1, 2, 5, 6, 7]
+
+
+def test_cooldown_is_forgotten_after_twice_its_time(spark, root):
+    parts = ([alert(1, 0)], [alert(2, 5)], [(3, START + timedelta(minutes=40), "B", "K", "info", "info:K", "m")], [alert(4, 41)], [alert(5, 45)])
+    for part in parts:
+        feed(spark, root, part, ALERT)
+        run(state.stream_cooldown(stream(spark, root, ALERT)), root, "alerts")
+    assert sorted(r["alert_id"] for r in rows_of(spark, root, "alerts").collect()) == [1, 3, 4]
 
 
 def test_latest_records_are_updated(spark, root):
@@ -128,9 +158,8 @@ def test_latest_records_are_updated(spark, root):
     for part in ([reading(1, 0, speed=1.0), reading(2, 5, speed=2.0)], [reading(3, 3, speed=3.0), reading(4, 1, "B", 4.0)]):
         feed(spark, root, part)
         found = windows.latest_records(stream(spark, root), ["event_time", "reading_id"], columns).withColumnRenamed("event_time", "request_time")
-        run(found, root, "latest_records", mode="complete")
-    rows = spark.read.parquet(f"{root}/latest_records")
-    newest = rows.filter(F.col("batch_id") == rows.agg(F.max("batch_id")).first()[0]).collect()
+        jobs.keep_latest(found, root, "latest_records", f"{root}/latest", once=True).awaitTermination()
+    newest = tables.read_version(spark, root, "latest_records").collect()
     assert {r["location_name"]: (r["current_speed"], r["first_seen"].minute) for r in newest} == {"A": (2.0, 0), "B": (4.0, 1)}
 
 
