@@ -141,11 +141,11 @@ def _snapshots(readings):
         F.col("reading_id").alias("snapshot_id"))
 
 
-_TEXTS = f"""with recursive {SCORED}, ix as (select md5(concat(location_name, '|', congestion_level)) as snapshot_key, request_time as at, min(reading_id) as id
+_TEXTS = f"""with recursive {SCORED}, ix as (select md5(concat(location_name, '|', congestion_level)) as snapshot_key, request_time as made, min(reading_id) as id
   from sc group by 1, 2),
- kept as (select snapshot_key, min(at) as at from ix group by all
-  union all select k.snapshot_key, (select min(ix.at) from ix where ix.snapshot_key = k.snapshot_key and ix.at >= k.at + interval 240 seconds) from kept k where k.at is not null)
-select snapshot_key, {ts('at')} as generated_at, id as snapshot_id from kept join ix using (snapshot_key, at)"""
+ kept as (select snapshot_key, min(made) as made from ix group by all
+  union all select k.snapshot_key, (select min(ix.made) from ix where ix.snapshot_key = k.snapshot_key and ix.made >= k.made + interval 240 seconds) from kept k where k.made is not null)
+select snapshot_key, {ts('made')} as generated_at, id as snapshot_id from kept join ix using (snapshot_key, made)"""
 
 
 @query("t13_distinct_snapshots", _TEXTS)
