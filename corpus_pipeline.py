@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose most likely severity is above 0."""
+    """Drop documents that are toxic by the model."""
     model = toxicity.train(docs, corpus_session(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where("NOT toxic").select(*COLUMNS)
 

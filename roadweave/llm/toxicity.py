@@ -33,7 +33,9 @@ class Settings:
     least_texts: int = 4
     least_log_odds: float = 2.5
     grades: int = 4
-    sample_rows: int = 12_000
+    flag_at: float = 0.2
+    """A text counts as toxic from this P(grade > 0) on; to miss one is worse than to lose a clean one."""
+    sample_rows: int = 6_000
     sample_chars: int = 50_000
     steps: int = 400
     rate: float = 0.2
@@ -50,7 +52,7 @@ class Model:
 
 def _held(texts: list[str], settings: Settings, wanted: np.ndarray | None):
     """(text, bucket) of every n-gram whose bucket is wanted, repeats included, block by block."""
-    for first, last in blocks(texts):
+    for first, last in blocks(texts, 500_000):
         points, starts, ends = code_points([t.lower() for t in texts[first:last]])
         for n in settings.orders:
             buckets = gram_buckets(points, n, settings.bits)
@@ -67,18 +69,20 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, settings: Settings =
     rows = (docs.where(F.length("text") <= settings.sample_chars).select("doc_id", "text")
             .join(F.broadcast(ids), "doc_id")  # at most sample_rows ids
             .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(settings.sample_rows)
-            .select("text", F.col("label").cast("int")).toPandas())
-    return rows["text"].tolist(), rows["label"].to_numpy(np.int64)
+            .select("text", F.col("label").cast("long")).toArrow())
+    return rows["text"].to_pylist(), rows["label"].to_numpy().astype(np.int64)
 
 
 def choose(texts: list[str], positive: np.ndarray, settings: Settings) -> np.ndarray:
     """Buckets typical of the positive texts, by how many texts of either kind hold them."""
-    often = np.zeros((2, 1 << settings.bits))
+    often = np.zeros((2, 1 << settings.bits), np.int32)
     for rows, buckets in _held(texts, settings, None):
         for kind in (0, 1):
-            often[kind] += np.bincount(buckets[positive[rows] == kind], minlength=often.shape[1])
-    rates = (often + 0.5) / (often.sum(axis=1, keepdims=True) + 1)
-    likely = np.flatnonzero((often[1] >= settings.least_texts) & (rates[1] > 2 * rates[0]))
+            own, times = np.unique(np.sort(buckets[positive[rows] == kind]), return_counts=True)
+            often[kind, own] += times.astype(np.int32)
+    held = np.flatnonzero(often[1] >= settings.least_texts)
+    no_rate, yes_rate = ((often[kind, held] + 0.5) / (often[kind].sum() + 1) for kind in (0, 1))
+    likely = held[yes_rate > 2 * no_rate]
     rows, columns, _ = _columns(texts, likely, settings)
     yes = np.bincount(columns[positive[rows]], minlength=len(likely))
     no = np.bincount(columns[~positive[rows]], minlength=len(likely))
@@ -165,11 +169,12 @@ def chances(texts: list[str], model: Model) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns, `severity` (expected grade), `grade` (the median one) and `toxic` (it is above 0)."""
+    """All columns, `severity` (expected grade), `grade` (the median one, 1 at least if toxic) and `toxic`."""
 
     def work(texts: list[str | None]) -> list:
         above = chances([t or "" for t in texts], model)
-        return [above.sum(axis=1), (above >= 0.5).sum(axis=1).astype(np.int32), above[:, 0] >= 0.5]
+        toxic = above[:, 0] >= model.settings.flag_at
+        return [above.sum(axis=1), (toxic + (above[:, 1:] >= 0.5).sum(axis=1)).astype(np.int32), toxic]
 
     added = [StructField("severity", DoubleType()), StructField("grade", IntegerType()), StructField("toxic", BooleanType())]
     return with_results(docs, [text], added, work)
