@@ -85,12 +85,16 @@ def save_mart(df: DataFrame, root: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
+CSV_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS][XXX]"
+"""Times keep their microseconds; times with less are read too."""
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, schema=schema, header=True)
+    return spark.read.csv(path, schema=schema, header=True, timestampFormat=CSV_TIME)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").csv(path, header=True, timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
 
 
 # exports -----------------------------------------------------------------------------
