@@ -9,6 +9,7 @@ from checks.sql import (DISTRICTS, MESSAGES, READINGS, SCORED, VERDICTS, WEATHER
 from roadweave import fixed_values as fv
 from roadweave.functions import geo, lookups, texts
 from roadweave.functions.numeric import rounded
+from roadweave.models import isolation_forest
 from roadweave.operators.asof import asof_join
 from roadweave.plans import features, stats
 from roadweave.session import checkpoint_dir
@@ -253,11 +254,13 @@ def poll_interval(spark, path):
 
 @query("p29_anomaly_reasons", f"""with {VERDICTS}
 select reading_id, anomaly_score, is_anomaly and (anomaly_score < -0.05 or road_closure or speed_drop_pct > 30) as backed,
+  anomaly_score < 0 and (anomaly_score < -0.05 or road_closure or speed_drop_pct > 30) as is_anomaly,
   {ANOMALY_REASON} as reason from vd""")
 def anomaly_reasons(spark, path):
     df = t.scored(spark, path)
     backed = (F.col("anomaly_score") < -0.05) | F.col("road_closure") | (F.col("speed_drop_pct") > 30)
-    return df.select("reading_id", "anomaly_score", (F.col("is_anomaly") & backed).alias("backed"), texts.anomaly_reason(
+    return df.select("reading_id", "anomaly_score", (F.col("is_anomaly") & backed).alias("backed"),
+                     isolation_forest.is_anomaly(F.col("anomaly_score"), F.col("road_closure"), F.col("speed_drop_pct")).alias("is_anomaly"), texts.anomaly_reason(
         F.col("road_closure"), F.col("speed_drop_pct"), F.col("speed_deviation"), F.col("weather_rain"), F.col("anomaly_score")).alias("reason"))
 
 

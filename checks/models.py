@@ -1,50 +1,77 @@
-"""Models trained and applied on the readings; checked for rows, not for values."""
+"""Models trained and applied on the readings, with all their trees; what SQL can know of the result is compared."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import tables as t
 from checks.ingest import feature_rows
 from checks.series import forecast_input
+from checks.sql import SCORED, ts
 from roadweave import fixed_values as fv
-from roadweave.models import congestion, isolation_forest, metrics
+from roadweave.models import congestion, isolation_forest
 from roadweave.plans import forecast
 
 QUERIES, ORACLE = {}, {}
 
 
-def query(name):
+def query(name, sql):
     def add(function):
         QUERIES[name] = function
+        ORACLE[name] = sql
         return function
     return add
 
 
-@query("m01_congestion_model")
-def congestion_model(spark, path):
+def _predicted(spark, path):
     rows = feature_rows(spark, path)
-    model = congestion.train_congestion(rows, trees=5, depth=6)
-    return congestion.predict_congestion(model, rows).select(
-        "reading_id", "location_name", "predicted_congestion", "actual_congestion")
+    return congestion.predict_congestion(congestion.train_congestion(rows), rows)
+
+
+@query("m01_congestion_model", f"""with {SCORED}
+select reading_id, location_name, congestion_level as actual_congestion, road_closure as predicted_closed, true as known_class from sc""")
+def congestion_model(spark, path):
+    """Ids, the actual class and the closure rule; a prediction is Closed exactly where the road is, and a class otherwise."""
+    return _predicted(spark, path).select(
+        "reading_id", "location_name", "actual_congestion", (F.col("predicted_congestion") == "Closed").alias("predicted_closed"),
+        F.col("predicted_congestion").isin(fv.LEVELS).alias("known_class"))
 
 
-@query("m01_congestion_model_quality")
+@query("m01_congestion_model_quality", f"""with {SCORED}
+select congestion_level as level, count(*) as rows, true as better_than_most_frequent from sc group by 1""")
 def congestion_model_quality(spark, path):
-    return metrics.classification_metrics(congestion_model(spark, path), "actual_congestion", "predicted_congestion")
+    """Rows of each actual class, and whether the model is right more often than the most frequent class would be."""
+    pairs = _predicted(spark, path).select("actual_congestion", "predicted_congestion")
+    counted = pairs.groupBy(F.col("actual_congestion").alias("level")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("predicted_congestion") == F.col("actual_congestion")).alias("right"))
+    every = counted.agg(F.sum("right").alias("right"), F.max("rows").alias("most"))
+    return counted.withColumn("all", every.select(F.struct("right", "most")).scalar()).select(
+        "level", "rows", (F.col("all.right") > F.col("all.most")).alias("better_than_most_frequent"))
 
 
-@query("m02_anomaly_scores")
+@query("m02_anomaly_scores", f"""with {SCORED}
+select reading_id, location_name, true as within_range, true as backed from sc""")
 def anomaly_scores(spark, path):
+    """Every reading is scored within the scale, and flagged only with a negative score and a real signal."""
     rows = feature_rows(spark, path)
-    forest = isolation_forest.train(rows, "reading_id", trees=50)
+    forest = isolation_forest.train(rows, "reading_id")
     found = isolation_forest.score(rows.select("reading_id", "location_name", "road_closure", *fv.ANOMALY_FEATURES), forest)
-    return found.select("reading_id", "location_name", "anomaly_score", isolation_forest.is_anomaly(
-        F.col("anomaly_score"), F.col("road_closure"), F.col("speed_drop_pct")).alias("is_anomaly"))
+    score, closed, drop = F.col("anomaly_score"), F.col("road_closure"), F.col("speed_drop_pct")
+    flag = isolation_forest.is_anomaly(score, closed, drop)
+    return found.select("reading_id", "location_name", score.between(-0.5, 0.5).alias("within_range"),
+                        (~flag | (score < 0) & ((score < -0.05) | closed | (drop > 30))).alias("backed"))
 
 
-@query("m04_speed_and_class_forecasts")
+@query("m04_speed_and_class_forecasts", f"""with {SCORED}, hz(horizon, ahead) as (values ('20min', 20), ('30min', 30), ('60min', 60)),
+ wm as (select *, row_number() over (partition by location_name order by request_time, reading_id) as position from sc)
+select {ts('request_time')} as forecast_made_at, location_name, horizon, {ts('request_time + to_minutes(ahead)')} as target_time,
+  true as known_class, true as speed_within_range, true as confidence_within_range from wm, hz where position > 144""")
 def speed_and_class_forecasts(spark, path):
+    """A forecast of every reading with a full day behind it and every horizon, with its target time; classes and numbers within what was seen."""
     rows = forecast_input(spark, path, ["road_closure"])
-    models = congestion.train_forecasts(congestion.with_targets(rows), trees=3, depth=3)
-    return forecast.forecast_table(congestion.predict_forecasts(models, rows))
+    models = congestion.train_forecasts(congestion.with_targets(rows))
+    fastest = rows.agg(F.max("current_speed")).scalar()
+    return forecast.forecast_table(congestion.predict_forecasts(models, rows)).select(
+        "forecast_made_at", "location_name", "horizon", "target_time", F.col("predicted_class").isin(fv.LEVELS).alias("known_class"),
+        # a boosted sum may overshoot what was seen, but not far
+        F.col("predicted_speed").between(F.lit(-0.5) * fastest, F.lit(1.5) * fastest).alias("speed_within_range"),
+        F.col("confidence").between(0, 1).alias("confidence_within_range"))

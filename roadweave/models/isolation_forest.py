@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave import fixed_values as fv
@@ -57,19 +57,21 @@ def train(features: DataFrame, identity: str, columns: list[str] | None = None,
           sample_rows: int = 256, seed: int = 42) -> DataFrame:
     """Grow the forest; returns its node table.
 
-    The sample is the ``trees * sample_rows`` rows with the smallest hash of their id: every
-    task keeps only that many, and the choice does not change when a task is repeated.
+    The rows with the smallest hash of their id are dealt to the trees in turn, ``sample_rows`` to each (fewer only if
+    there are fewer rows): every task keeps only that many, and the choice does not change when a task is repeated.
+    The bounded sample is the algorithm's own: it isolates points in small random subsets.
     """
     columns = columns or fv.ANOMALY_FEATURES
     values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
     drawn = (
         features.select(F.xxhash64(F.col(identity), F.lit(seed)).alias("_draw"), *values)
         .orderBy("_draw").limit(trees * sample_rows)
-        .withColumn("_tree", F.pmod(F.xxhash64("_draw", F.lit(seed)), F.lit(trees)).cast("int"))
+        # at most trees * sample_rows rows are left to number
+        .withColumn("_tree", (F.pmod(F.row_number().over(Window.orderBy("_draw")), F.lit(trees))).cast("int"))
     )
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("_draw")[columns].to_numpy()[:sample_rows]
+        rows = group.sort_values("_draw")[columns].to_numpy()
         return _grow(int(group["_tree"].iloc[0]), rows, seed)
 
     return drawn.groupBy("_tree").applyInPandas(grow, NODE)
