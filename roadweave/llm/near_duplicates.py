@@ -1,7 +1,8 @@
 """Near-duplicates: improved consistent weighted sampling (ICWS) over TF-IDF word shingles, banded and verified.
 
-1. Shingles of five words (a shorter text is one shingle) get the weight tf x idf. Document frequencies are counted
-   over all rows in a hashed table of fixed size: each task counts, a shuffle adds the pieces up.
+1. Shingles of five words (a shorter text is one shingle) get the weight tf x idf; idf is bounded, so that it only
+   lowers shingles of more than half of all texts. Document frequencies are counted over all rows in a hashed table
+   of fixed size: each task counts, a shuffle adds the pieces up.
 2. One pass draws `bands` x `rows` ICWS samples of each text; rows of equal texts become one node (by digest).
 3. Nodes that share a band are candidates. First each is compared with one node of its band only, and links form
    components. Where a band still holds several components, the nodes outside its largest one are compared with two
@@ -110,7 +111,11 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def document_frequencies(texts: DataFrame, settings: Settings = Settings()) -> np.ndarray:
-    """idf by hashed shingle, from all texts: log(1 + texts / texts that hold the bucket)."""
+    """idf by hashed shingle, from all texts: log(1 + texts / texts that hold the bucket), at most that of half the texts.
+
+    Without the bound, what a large group of near-copies shares would weigh less than what its members differ in, and
+    the group would fall apart. So only shingles of more than half of all texts, which tell nothing, lose weight.
+    """
     size = 1 << settings.df_bits
     width = size // PIECES
 
@@ -139,7 +144,7 @@ def document_frequencies(texts: DataFrame, settings: Settings = Settings()) -> n
     for piece, texts_here, own in rows.itertuples(index=False):
         counts[piece * width : (piece + 1) * width] = own
         number = max(number, texts_here)
-    return np.log1p(number / np.maximum(counts, 1)).astype(np.float32)
+    return np.log1p(np.minimum(number / np.maximum(counts, 1), 2.0)).astype(np.float32)
 
 
 def _weights(hashes: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
