@@ -2,7 +2,7 @@
 
 A window over the key alone would put a key's whole history into one task.  Here a row is
 first given its position in the series: time is cut into slots (a day, but a minute where one
-key's day holds a large share of all rows), the rows of a slot are numbered on their own and
+key's day holds very many rows), the rows of a slot are numbered on their own and
 shifted by the rows of the slots before.  Then the series is cut into equal chunks by position
 and the last rows of a chunk are copied into the next one.  The lags are exactly those of the
 uncut series.
@@ -10,40 +10,42 @@ uncut series.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave.operators.sizing import hot_keys
-
+SLOT_ROWS = 1_000_000
 HOT_SLOTS = 8192
 
 
 def with_position(df: DataFrame, keys: list[str], ts: str, tie: str, slot: str = "day",
-                  fine_slot: str = "minute", parts: int = HOT_SLOTS, counted: DataFrame | None = None) -> DataFrame:
+                  fine_slot: str = "minute", most: int = SLOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """Add ``position``: 1, 2, 3 ... in time order within the key.  Rows without a key are left out.
 
-    The rows per slot are counted beforehand.  Where ``df`` is costly to compute, ``counted``
-    names a cheaper table with the same rows as far as ``keys`` and ``ts`` are concerned.
+    Rows are counted once by key and fine slot.  Slots of more than ``most`` rows (and of more than
+    ``1/HOT_SLOTS`` of all, so that they are few) are cut into fine slots; a fine slot is not cut further.  The counts
+    of all slots, and the rows before each, come from that small table.  Where ``df`` is costly to compute,
+    ``counted`` names a cheaper table with the same rows as far as ``keys`` and ``ts`` are concerned.
     """
     counted = df if counted is None else counted
-    coarse = counted.select(*keys, F.date_trunc(slot, F.col(ts)).alias("_slot"))
-    hot = F.broadcast(hot_keys(coarse, [*keys, "_slot"], parts))
+    fine = counted.groupBy(*keys, F.date_trunc(fine_slot, F.col(ts)).alias("_fine")).agg(F.count(F.lit(1)).alias("_rows"))
+    coarse = fine.withColumn("_slot", F.date_trunc(slot, F.col("_fine")))
+    sums = coarse.groupBy(*keys, "_slot").agg(F.sum("_rows").alias("_rows"))
+    limit = F.greatest(F.lit(most), sums.agg(F.sum("_rows")).scalar() / HOT_SLOTS)
+    hot = F.broadcast(sums.filter(F.col("_rows") > limit).select(*keys, "_slot", F.lit(True).alias("_hot")))
 
-    def sliced(frame: DataFrame) -> DataFrame:
-        fine = F.date_trunc(fine_slot, F.col(ts))
+    def sliced(frame: DataFrame, fine_start: Column) -> DataFrame:
         return (
-            frame.withColumn("_slot", F.date_trunc(slot, F.col(ts)))
-            .join(hot, [*keys, "_slot"], "left")
-            .withColumn("_slot", F.when(F.col("salts").isNull(), F.col("_slot")).otherwise(fine))
-            .drop("salts")
+            frame.join(hot, [*keys, "_slot"], "left")
+            .withColumn("_slot", F.when(F.col("_hot"), fine_start).otherwise(F.col("_slot"))).drop("_hot")
         )
 
-    counts = sliced(counted.select(*keys, ts)).groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
+    counts = sliced(coarse, F.col("_fine")).groupBy(*keys, "_slot").agg(F.sum("_rows").alias("_rows"))
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_slot", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_slot").orderBy(ts, tie)
     return (
-        sliced(df).join(offsets, [*keys, "_slot"])
+        sliced(df.withColumn("_slot", F.date_trunc(slot, F.col(ts))), F.date_trunc(fine_slot, F.col(ts)))
+        .join(offsets, [*keys, "_slot"])
         .withColumn("position", F.col("_before") + F.row_number().over(inside))
         .drop("_slot", "_before")
     )

@@ -245,35 +245,58 @@ def health(tables: dict[str, DataFrame], as_of: Column) -> DataFrame:
     """One row of system health; ``tables`` holds raw_events, predictions, anomalies,
     traffic_aggregates and data_quality_events.
 
-    Parts arrive as one-row tables with a tag and are folded by a single small aggregate.
+    Each table is read once: one conditional aggregate over the span its measures need, all
+    unpivoted and folded by a single small aggregate.
     """
-    counts = recent_row_counts({
-        "raw_events_24h": (tables["raw_events"], "request_time"),
-        "predictions_24h": (tables["predictions"], "predicted_at"),
-        "anomalies_24h": (tables["anomalies"], "detected_at"),
-        "aggregations_24h": (tables["traffic_aggregates"], "window_start"),
-    }, as_of, 24)
-    deltas = day_over_day(tables["predictions"], tables["raw_events"], tables["data_quality_events"], as_of)
-    parts = counts.select("table_name", F.col("rows").cast("double").alias("value"))
-    for one_row in (
-        accuracy(tables["predictions"], as_of).select(F.col("accuracy_pct").alias("accuracy_24h")),
-        quality_pass_rate(tables["data_quality_events"], as_of).select(F.col("pass_rate").alias("api_success_rate")),
-        deltas.select("records_change_pct", "accuracy_change_pct", "api_change_pct"),
-    ):
-        parts = parts.unionByName(one_row.unpivot([], one_row.columns, "table_name", "value"))
-    by_class = accuracy_by_class(tables["predictions"], as_of).select(
-        F.lit("per_class").alias("table_name"), F.col("accuracy_pct").cast("double").alias("value"), "level")
-    tagged = parts.withColumn("level", F.lit(None).cast("string")).unionByName(by_class)
-
-    def pick(name, cast="double"):
-        return F.max(F.when(F.col("table_name") == name, F.col("value"))).cast(cast).alias(name)
-
-    return tagged.agg(
-        *[pick(n, "bigint") for n in ("raw_events_24h", "predictions_24h", "anomalies_24h", "aggregations_24h")],
-        *[pick(n) for n in ("accuracy_24h", "api_success_rate", "records_change_pct", "accuracy_change_pct",
-                            "api_change_pct")],
-        *[F.max(F.when(F.col("level") == level, F.col("value"))).cast("bigint").alias(
-            "accuracy_" + level.lower().replace(" ", "_")) for level in fv.LEVELS],
+    def measured(name, column, hours, measures):
+        found = tables[name].filter(since(column, as_of, hours)).agg(*[m.cast("double").alias(n) for n, m in measures.items()])
+        return found.unpivot([], list(measures), "measure", "value")
+
+    def day(column):
+        return since(column, as_of, 24)
+
+    def today(column):
+        return day(column) & (F.col(column) <= as_of)
+
+    def yesterday(column):
+        return ~day(column) & since(column, as_of, 48)
+
+    def mean(value, condition):
+        return F.avg(F.when(condition, value))
+
+    known, right = F.col("actual_congestion").isNotNull(), F.coalesce(_right(), F.lit(False))
+    hit, passed = F.when(right, 100.0).otherwise(0.0), F.when(F.col("passed"), 100.0).otherwise(0.0)
+    at = "predicted_at"
+    parts = (
+        measured("raw_events", "request_time", 48, {
+            "raw_events_24h": F.count_if(day("request_time")), "records_today": F.count_if(today("request_time")),
+            "records_yesterday": F.count_if(yesterday("request_time"))})
+        .unionByName(measured("predictions", at, 24 * 7, {
+            "predictions_24h": F.count_if(day(at)), "accuracy_24h": mean(hit, known & day(at)),
+            "accuracy_today": mean(hit, known & today(at)), "accuracy_yesterday": mean(hit, known & yesterday(at)),
+            **{level: F.count_if(right & (F.col("actual_congestion") == level)) * 100.0
+               / F.nullif(F.count_if(F.col("actual_congestion") == level), F.lit(0)) for level in fv.LEVELS}}))
+        .unionByName(measured("anomalies", "detected_at", 24, {"anomalies_24h": F.count(F.lit(1))}))
+        .unionByName(measured("traffic_aggregates", "window_start", 24, {"aggregations_24h": F.count(F.lit(1))}))
+        .unionByName(measured("data_quality_events", "checked_at", 48, {
+            "pass_rate": mean(passed, day("checked_at")), "quality_today": mean(passed, today("checked_at")),
+            "quality_yesterday": mean(passed, yesterday("checked_at"))}))
+    )
+
+    def pick(name):
+        return F.max(F.when(F.col("measure") == name, F.col("value")))
+
+    def change(name):
+        return rounded(F.coalesce(pick(f"{name}_today"), F.lit(0.0)) - F.coalesce(pick(f"{name}_yesterday"), F.lit(0.0)), 1)
+
+    now, before = pick("records_today"), pick("records_yesterday")
+    return parts.agg(
+        *[pick(n).cast("bigint").alias(n) for n in ("raw_events_24h", "predictions_24h", "anomalies_24h", "aggregations_24h")],
+        rounded(F.coalesce(pick("accuracy_24h"), F.lit(0.0)), 1).alias("accuracy_24h"),
+        rounded(F.coalesce(pick("pass_rate"), F.lit(100.0)), 1).alias("api_success_rate"),
+        rounded(F.when(before > 0, (now - before) / before * 100).otherwise(F.lit(0.0)), 1).alias("records_change_pct"),
+        change("accuracy").alias("accuracy_change_pct"), change("quality").alias("api_change_pct"),
+        *[rounded_int(pick(level)).alias("accuracy_" + level.lower().replace(" ", "_")) for level in fv.LEVELS],
     )
 
 
