@@ -12,7 +12,7 @@ from roadweave.functions.geo import with_message_district
 from roadweave.functions.numeric import rounded
 from roadweave.models import metrics
 from roadweave.plans import alerts, features, forecast, snapshot
-from roadweave.streaming.windows import latest_records
+from roadweave.streaming.windows import LATEST_COLUMNS, latest_records
 
 QUERIES, ORACLE = {}, {}
 
@@ -219,7 +219,7 @@ _RECORDS = f"""{VERDICTS}, la as (select v.*, concat('District ', cast(user_id %
    {r("count(*) filter (where congestion_level = 'Closed') * 1e2 / count(*)", 1)} as city_closed_pct, count(*) as n_locations,
    (select to_json({{'main': weather_main, 'rain_mm': weather_rain, 'temperature': weather_temp}}) from fs) as weather,
    count(*) filter (where is_anomaly) as anomaly_count,
-   coalesce((select to_json(list({{'name': location_name, 'district': district, 'speed': {r('current_speed', 1)}, 'class': congestion_level}} order by rn)) from wo
+   coalesce((select to_json(list({{'name': location_name, 'district': district, 'speed': {r('current_speed', 1)}, 'class': congestion_level, 'trend_30min': {r('current_speed - free_flow_speed / 2', 1)}}} order by rn)) from wo
      where rn <= 4 and congestion_level in ('Severe', 'Heavy', 'Closed')), '[]') as top_hotspots,
    coalesce((select to_json(list({{'name': location_name, 'speed': {r('current_speed', 1)}, 'class': congestion_level}} order by rn)) from be
      where rn <= 2 and congestion_level = 'Free Flow'), '[]') as free_flowing from la)"""
@@ -229,7 +229,10 @@ def latest_state(spark, path):
     df = t.scored(spark, path).withColumns({
         "district": F.concat(F.lit("District "), (F.col("user_id") % 25 % 5).cast("string")),
         "rain_mm": F.col("weather_rain"), "temperature": F.col("weather_temp")})
-    return latest_records(df, ["request_time", "reading_id"]).withColumn("trend_30min", F.lit(None).cast("double"))
+    columns = [*LATEST_COLUMNS, "free_flow_speed"]
+    # a stand-in for the trend of the last half hour
+    return latest_records(df, ["request_time", "reading_id"], columns).withColumn(
+        "trend_30min", F.col("current_speed") - F.col("free_flow_speed") / 2)
 
 
 @query("a42_city_snapshot", f"with {_RECORDS} select * from sn")
