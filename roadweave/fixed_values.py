@@ -224,7 +224,6 @@ FORECAST_FEATURES = [
 COOLDOWN_MINUTES = 10
 CITY_ALERT_PLACE = "Cairo (All Roads)"
 INCIDENT_RADIUS_DEG = 0.002
-SNAPSHOT_SECONDS = 300
 SNAPSHOT_CACHE_SECONDS = 240
 
 # --- fixed values: weather advisories, first matching condition wins ---------------

@@ -60,11 +60,6 @@ def closure_alert(provider: str = "TomTom") -> Column:
     return F.when(F.col("is_new_closure"), _alert("ROAD_CLOSURE", "warning", message))
 
 
-def row_alerts() -> Column:
-    """All alerts of one reading, as an array."""
-    return F.array_compact(F.array(anomaly_alert(), congestion_alert(), closure_alert()))
-
-
 def city_alert() -> Column:
     """Alert of one round; needs ``pct`` (unrounded) and a count column per level."""
     text = F.concat(rounded_text(F.col("pct"), 0), F.lit("% of roads showing congestion or closure"))

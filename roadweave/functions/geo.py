@@ -78,10 +78,6 @@ def with_district(df: DataFrame, lat: str = "requested_lat", lon: str = "request
     )
 
 
-def list_districts() -> list[str]:
-    return [box[0] for box in fv.DISTRICT_BOXES]
-
-
 def with_message_district(df: DataFrame, given: str = "district", place: str = "_place") -> DataFrame:
     """``district``: named by the message, else from non-zero coordinates, else ``Unknown``.
 
