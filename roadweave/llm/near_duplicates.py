@@ -11,7 +11,8 @@
    pair that shares a band is in one component or was compared: no link is lost, and groups of copies, whatever their
    size, do not become pairs.
 4. Candidates are verified by the weighted Jaccard similarity of their whole texts; links form components by
-   alternating large-star and small-star steps; a class is named by its least doc_id.
+   alternating large-star and small-star steps; a class is named by its least doc_id and its least digest: the
+   digest tells classes apart, as ids may be null or repeat over different texts.
 
 A pair of similarity s shares no band with probability (1 - s^rows)^bands: 2e-4 at 0.8, 3e-6 at 0.87; that its samples
 tell it apart from a pair of 0.8 by chance has probability 3e-5.
@@ -416,24 +417,25 @@ def _detached(search: _Search) -> _Search:
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(doc_id, digest, class_id, class_rows) for every row of `docs`."""
+    """(doc_id, digest, class_id, class_digest, class_rows) for every row of `docs`; no two classes share a class_digest."""
     search = _Search(docs, settings)
     roots = search.classes()
     named = search.nodes.select("digest", "node").join(roots, "node", "left").select(
         "digest", F.coalesce("root", "node").alias("root"))
     rows = search.rows.select("doc_id", "digest").join(named, "digest", "left")
-    sizes = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
+    sizes = rows.where("root IS NOT NULL").groupBy("root").agg(
+        F.min("doc_id").alias("class_id"), F.min("digest").alias("class_digest"), F.count("*").alias("class_rows"))
     return rows.join(sizes, "root", "left").select(
         "doc_id", "digest", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_rows", F.lit(1)).alias("class_rows"))
+        "class_digest", F.coalesce("class_rows", F.lit(1)).alias("class_rows"))
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row of each class with all columns of `docs`: that of the least doc_id; rows without text stay."""
+    """One row of each class with all columns of `docs`: that of the least doc_id, then digest; rows without text stay."""
     key = F.concat(F.md5(F.col("text").cast("binary")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    kept = near_duplicates(docs, settings).where("digest IS NOT NULL").groupBy("class_id").agg(
-        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("digest"))).alias("digest"))
-    kept = kept.select(F.concat("digest", F.coalesce(F.col("class_id").cast("string"), F.lit(""))).alias("__key"))
+    kept = near_duplicates(docs, settings).where("digest IS NOT NULL").groupBy("class_digest").agg(
+        F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "digest")).alias("row"))
+    kept = kept.select(F.concat("row.digest", F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))).alias("__key"))
     named = docs.withColumn("__key", key)
     rest = named.where("__key IS NULL")
     return named.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).unionByName(rest).drop("__key")

@@ -100,7 +100,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_near_duplicates")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows")
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_rows", "class_digest")
 
 
 @query("op10_licence_scan", licences.scan_sql())

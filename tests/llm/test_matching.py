@@ -155,6 +155,20 @@ def test_classes_equal_all_pairs(spark):
     assert ids == sorted([*{find(i) for i in range(len(texts))}, 900, 901, -1, -1])
 
 
+def test_classes_with_null_or_repeated_ids_stay_apart(spark):
+    r = random.Random(12)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(80))
+    none, other, same, third = text(), text(), text(), text()
+    near = third.rsplit(" ", 1)[0] + " end"
+    rows = [(None, none), (None, other), (None, other), (7, same), (7, third), (9, near), (None, near), (7, None), (7, None), (None, None)]
+    docs = corpus_session(spark).createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(row) for row in near_duplicates.one_of_each(docs).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(None, none), (None, other), (7, same), (7, third), (7, None), (7, None), (None, None)]))
+    found = near_duplicates.near_duplicates(docs).where("digest IS NOT NULL").groupBy("class_digest").agg(
+        F.min("class_id"), F.max("class_id"), F.min("class_rows"), F.max("class_rows"), F.count("*")).drop("class_digest").collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(None, None, 1, 1, 1), (None, None, 2, 2, 2), (7, 7, 1, 1, 1), (7, 7, 3, 3, 3)]))
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     empty = corpus_session(spark).createDataFrame([], "doc_id long, text string")
     assert near_duplicates.near_duplicates(empty).count() == 0 and near_duplicates.one_of_each(empty).count() == 0
