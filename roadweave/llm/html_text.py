@@ -3,7 +3,8 @@
 A page becomes a list of blocks (stretches of text between block-level tags), each at the end of a path of tags from
 the root. Per path, text length and punctuation are summed over its blocks; the two ratios (characters and punctuation
 marks a block) are fused, smoothed along the page, and give every block a mass. From the root, the path that holds most
-of the mass below it is followed down to the content; paths there are kept, but for plain containers with a small share of the mass. What a
+of the mass below it is followed down to the content; paths there are kept, but for
+plain containers with a far smaller mass a character than the best one, be they long or short. What a
 tag, role, class or id names as a menu, header, footer, sidebar, notice, advert, form or comment has no mass,
 unless the page would be left with little else.
 
@@ -183,6 +184,20 @@ def _masses(blocks: list[tuple[_Node, str]]) -> list[float]:
 
 
 DOMINANT, LEAST = 0.7, 0.12
+_NUMBERED = re.compile(r"#[^/.#]*|\d+")
+
+
+def _kept_paths(paths: set[str], below: dict[str, float], length: dict[str, int], headed: set[str]) -> set[str]:
+    """Of sibling containers, those whose mass a character is near that of the best, and tables with a caption or head cells.
+
+    Paths that differ only by id or number are taken together, so that short ones stay with their like.
+    """
+    alike: dict[str, list[str]] = {}
+    for path in paths:
+        alike.setdefault(_NUMBERED.sub("", path), []).append(path)
+    ratio = {key: sum(below[p] for p in own) / max(sum(length[p] for p in own), 1) for key, own in alike.items()}
+    best = max(ratio.values(), default=0.0)
+    return {p for key, own in alike.items() for p in own if ratio[key] >= LEAST * best or p in headed}
 
 
 def _content(blocks: list[tuple[_Node, str]]) -> list[bool]:
@@ -191,8 +206,10 @@ def _content(blocks: list[tuple[_Node, str]]) -> list[bool]:
     lines: list[list[_Node]] = []
     below: dict[str, float] = {}
     children: dict[str, set[str]] = {}
+    length: dict[str, int] = {}
+    headed: set[str] = set()
     named: set[str] = set()
-    for (node, _), mass in zip(blocks, masses):
+    for (node, text), mass in zip(blocks, masses):
         line: list[_Node] = []
         while node:
             line.append(node)
@@ -201,6 +218,9 @@ def _content(blocks: list[tuple[_Node, str]]) -> list[bool]:
         lines.append(line)
         for above, n in zip([None, *line], line):
             below[n.path] = below.get(n.path, 0.0) + mass
+            length[n.path] = length.get(n.path, 0) + len(text)
+            if n.tag == "table" and line[-1].tag in ("th", "caption"):
+                headed.add(n.path)
             if above is not None:
                 children.setdefault(above.path, set()).add(n.path)
             if n.content:
@@ -216,7 +236,7 @@ def _content(blocks: list[tuple[_Node, str]]) -> list[bool]:
         elif part < DOMINANT * below[here]:
             break
         here = child
-    total = below[here] or 1
+    near = _kept_paths({c for c in children.get(here, ()) if c in below}, below, length, headed)
     kept = []
     for line in lines:
         inside = next((i for i, n in enumerate(line) if n.path == here), None)
@@ -225,7 +245,7 @@ def _content(blocks: list[tuple[_Node, str]]) -> list[bool]:
         elif here in named or inside == len(line) - 1 or line[inside + 1].tag not in PLAIN_TAGS:
             kept.append(True)
         else:
-            kept.append(below[line[inside + 1].path] >= LEAST * total)
+            kept.append(line[inside + 1].path in near)
     for i in range(len(blocks) - 2, -1, -1):  # a heading belongs to what it introduces
         node, after = blocks[i][0], blocks[i + 1][0]
         if not kept[i] and kept[i + 1] and node.tag in HEADINGS and (

@@ -115,6 +115,22 @@ def test_mix_equals_sql(mixed, tmp_path, setting):
     assert sum(r[2] for r in wanted) <= total * setting.budget_percent // 100
 
 
+
+def test_sections_of_an_unnamed_container_stay_whole():
+    sentence = "The river rose over the old bridge, and the town waited; nobody slept that night. "
+    sizes = [[4] * 12, [40, 40, 1, 40, 2, 40]]
+    for own in sizes:
+        parts = [f"Part {i}. " + sentence * n for i, n in enumerate(own)]
+        sections = "".join(f"<section id=s{i}><p>{p}</p></section>" for i, p in enumerate(parts))
+        links = "<div class=more>" + "".join(f"<p>Page {i}</p>" for i in range(20)) + "</div>"
+        found = html_text.main_text(f"<html><body><div class=wrap>{sections}{links}</div></body></html>")
+        assert found.split("\n") == [p.strip() for p in parts]
+    table = "<table><tr><th>Year</th><th>Level</th></tr><tr><td>1990</td><td>12</td></tr></table>"
+    paragraphs = "".join(f"<p>{sentence * 5}</p>" for _ in range(6))
+    assert "Level\n1990\n12" in html_text.main_text(f"<body><div class=wrap>{paragraphs}{table}<div class=box><p>{sentence}</p></div></div></body>")
+    assert html_text.main_text(f"<body><div class=wrap>{paragraphs}<div class=box><p>{sentence}</p></div></div></body>").count("river") == 31
+
+
 def test_shortage_goes_to_siblings_first(spark):
     leaves = [("a", "en", "s1", 10), ("a", "en", "s2", 1000), ("b", "en", "s3", 1000)]
     rows = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long").withColumn("total", F.lit(2010).cast("long"))
