@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadweave.llm.licence_digests import DIGESTS
 from roadweave.llm.licence_texts import KNOWN
 
 BROADCAST_ROWS = 100_000
@@ -45,11 +46,12 @@ def _digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def known_licences(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(licence, digest) of known texts."""
+def known_licences(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """(licence, digest) of known texts, and of those known by digest only."""
     rows = spark.createDataFrame(texts, "licence string, text string")
     return rows.withColumn("canonical", F.array_join(canonical_lines(F.col("text")), " ")).where("canonical <> ''").select(
-        "licence", _digest(F.col("canonical")).alias("digest")).distinct()
+        "licence", _digest(F.col("canonical")).alias("digest")).unionByName(
+        spark.createDataFrame(digests, "licence string, digest string")).distinct()
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

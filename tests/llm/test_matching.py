@@ -1,5 +1,6 @@
 """Decontamination, near-duplicates, licences and exact search against plain Python or SQL."""
 
+import pathlib
 import random
 from itertools import combinations
 
@@ -193,6 +194,20 @@ def test_canonical_texts_and_scan_equal_sql(spark, tmp_path):
     assert licences.scan(docs.limit(0), licences.known_licences(spark)).count() == 0
 
 
+def test_whole_licence_texts_are_known(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0",
+             "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0-Perl"}
+    folder = pathlib.Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no licence texts here")
+    texts = {n: (folder / f).read_text("utf-8") for f, n in names.items()}
+    docs = [(n, t.upper() if i % 2 else t) for i, (n, t) in enumerate(texts.items())] + [("GPL-2.0", texts["GPL-2.0"].split("How to Apply These")[0])]
+    docs += [("part", texts["GPL-3.0"][:20000])]
+    found = licences.scan(corpus_session(spark).createDataFrame(docs, "doc_id string, text string"), licences.known_licences(spark))
+    assert sorted(r["doc_id"] for r in found.where("unit = 'document' AND licence = doc_id").collect()) == sorted([*texts, "GPL-2.0"])
+    assert found.where("unit = 'document'").count() == len(docs) - 1
+
+
 @pytest.mark.parametrize("block,bits", [(3, 7), (4096, 2)])
 def test_top_k_equals_sorting_everything(spark, block, bits):
     r = random.Random(6)
