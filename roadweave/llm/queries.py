@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from roadweave.llm import chat, decontaminate, html_text, language_id, licences, log_bilinear, mixing, near_duplicates, top_k, toxicity
+from roadweave.llm import chat, decontaminate, filter_audit, html_text, language_id, licences, log_bilinear, mixing, near_duplicates, top_k, toxicity
 from roadweave.llm.common import bucket_of, table, with_results
 
 QUERIES, ORACLE = {}, {}
@@ -120,3 +120,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = log_bilinear.train(docs.where(~held_out))
     return log_bilinear.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op13_filter_audit", filter_audit.AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
