@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from roadweave.llm import chat, decontaminate, filter_audit, html_text, language_id, licences, log_bilinear, mixing, near_duplicates, top_k, toxicity
+from roadweave.llm import (chat, decontaminate, filter_audit, html_text, language_id, licences, log_bilinear, mixing, near_duplicates,
+                           prefix_trie, top_k, toxicity)
 from roadweave.llm.common import bucket_of, table, with_results
 
 QUERIES, ORACLE = {}, {}
@@ -125,3 +126,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_filter_audit", filter_audit.AUDIT_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_prefix_trie", prefix_trie.TRIE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
