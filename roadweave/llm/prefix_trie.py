@@ -4,36 +4,42 @@ A conversation is the chain of digests of its prefixes: each turn's digest is ma
 the text, so equal digests mean equal sequences of turns.  Peeling starts at the greatest depth.  At depth d the
 conversations that end there meet the nodes that survive from below; rows of one prefix become one node with its least
 conversation, members, children, leaves and saved tokens; then every chain loses its last turn and the rows go on as the
-children of depth d - 1.  Each depth is one grouping, aggregated before it is shuffled and written before the next; texts
-never travel with the chains.
+children of depth d - 1.  Peeling goes by bands of depths (0, 1, 2, 3 to 4, 5 to 8, ...).  Rows of one node are merged by a
+shuffle, aggregated before it; where all subtrees of a band are small, which is checked, a task peels whole subtrees
+through all depths of the band, else the band is peeled depth by depth with a shuffle each.  Each band is written before
+the next; texts never travel with the chains.
 
 The ids that end at a node are digested in order: pieces of the sorted ids are joined where they are, only the pieces of a
 node (a row for some thousand ids) come together, and are read as a stream.
 
 Defined results: a null role or text is empty.  Turns are ordered by turn (null first), then role, then text, so repeated
 turns have a place.  Rows with a null conv_id belong to no conversation and are left out.  A conversation without turns
-ends at the root.  No conversation: no row, not even a root.  Depth is not bounded; each depth costs one job.  Other
+ends at the root.  No conversation: no row, not even a root.  Depth is not bounded.  Other
 columns of the table are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from roadweave.llm.common import stored
-from roadweave.session import checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROOT = b""
+COUNTS = ["n_convs", "n_children", "n_leaves", "saved_tokens"]
 PIECE_CHARS = 65536
+GROUP_ENTRIES = 200_000
+"""Digests in the chains below one node that a task may peel by itself; a larger subtree is peeled depth by depth by shuffles."""
+LOT_ENTRIES = 20_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -136,17 +142,108 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([node], pa.binary()), pa.array([sha.hexdigest()])], names=["node", "ends_sha256"])
 
 
-def _node(depth: int | Column) -> Column:
-    return F.when(F.lit(depth) > 0, F.element_at("chain", -1)).otherwise(F.lit(ROOT))
+def _end(chain: str) -> Column:
+    """The node at the end of a chain."""
+    return F.when(F.size(chain) > 0, F.element_at(chain, -1)).otherwise(F.lit(ROOT))
+
+
+def _node_type() -> StructType:
+    kinds = {"node": BinaryType(), "up": BinaryType(), "depth": IntegerType(), "chain": ArrayType(BinaryType()),
+             "words": ArrayType(IntegerType()), "conv_id": LongType()} | {c: LongType() for c in COUNTS}
+    return StructType([StructField(n, k) for n, k in kinds.items()])
 
 
 def _end_digests(ended: DataFrame) -> DataFrame:
-    ids = ended.select(F.when(F.col("depth") > 0, F.element_at("chain", -1)).otherwise(F.lit(ROOT)).alias("node"), "conv_id")
+    ids = ended.select(_end("chain").alias("node"), "conv_id")
     pieces = ids.repartitionByRange("node", "conv_id").sortWithinPartitions("node", "conv_id").mapInArrow(
         _pieces, "node binary, first bigint, piece string")
     return pieces.repartition("node").sortWithinPartitions("node", "first").mapInArrow(_digests, "node binary, ends_sha256 string")
 
 
+def _contributions(ended: DataFrame, surviving: DataFrame | None, least: int, most: int) -> DataFrame:
+    """What nodes of the depths `least` to `most` are made of: conversations that end there, and nodes of depth `most` + 1
+    without their last turn, each a child of the node at the end of its chain."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    rows = ended.where(F.col("depth").between(least, most)).select(
+        "chain", "words", "conv_id", one.alias("n_convs"), zero.alias("n_children"), zero.alias("n_leaves"), zero.alias("saved_tokens"))
+    if surviving is None:
+        return rows
+    return rows.unionByName(surviving.select(
+        F.slice("chain", F.lit(1), F.lit(most)).alias("chain"), F.slice("words", F.lit(1), F.lit(most)).alias("words"), "conv_id", "n_convs",
+        one.alias("n_children"), "n_leaves", "saved_tokens"))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Contributions to one node as one row."""
+    return rows.groupBy(_end("chain").alias("node")).agg(
+        F.first("chain").alias("chain"), F.first("words").alias("words"), F.min("conv_id").alias("conv_id"),
+        *[F.sum(c).alias(c) for c in COUNTS])
+
+
+def _one_depth(merged: DataFrame) -> DataFrame:
+    """Merged contributions to nodes of one depth -> the nodes."""
+    own = F.when(F.size("words") > 0, (F.col("n_convs") - 1) * F.element_at("words", -1)).otherwise(0)
+    up = F.when(F.size("chain") > 1, F.element_at("chain", -2)).when(F.size("chain") == 1, F.lit(ROOT))
+    return merged.select(
+        "node", up.alias("up"), F.size("chain").alias("depth"), "chain", "words", "conv_id", "n_convs", "n_children",
+        F.greatest("n_leaves", F.lit(1).cast("long")).alias("n_leaves"), (F.col("saved_tokens") + own).alias("saved_tokens"))
+
+
+def peel(rows: list[tuple], least: int) -> Iterator[tuple]:
+    """Contributions to nodes of any depth from `least` on -> the nodes, deepest first; those of depth `least` with their chains."""
+    levels: dict[int, dict[bytes, list]] = {}
+
+    def merge(depth: int, chain: list, words: list, conv: int, counts: tuple) -> None:
+        held = levels.setdefault(depth, {}).get(chain[depth - 1])
+        if held is None:
+            levels[depth][chain[depth - 1]] = [chain, words, conv, *counts]
+        else:
+            held[2] = min(held[2], conv)
+            held[3:] = map(add, held[3:], counts)
+
+    for chain, words, conv, *counts in rows:
+        merge(len(chain), chain, words, conv, counts)
+    for depth in range(max(levels, default=0), least - 1, -1):
+        for node, (chain, words, conv, n_convs, n_children, n_leaves, saved) in levels.pop(depth, {}).items():
+            n_leaves, saved = max(n_leaves, 1), saved + (n_convs - 1) * words[depth - 1]
+            last = depth == least
+            yield (node, chain[depth - 2] if depth > 1 else ROOT, depth, chain[:depth] if last else None, words[:depth] if last else None,
+                   conv, n_convs, n_children, n_leaves, saved)
+            if not last:
+                merge(depth - 1, chain, words, conv, (n_convs, 1, n_leaves, saved))
+
+
+def _peeled(least: int, kind: pa.Schema) -> Callable:
+    """Rows sorted by `top` -> nodes; groups of one top stay together, some thousand rows are peeled at once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, entries, top = [], 0, None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for of, *row in zip(*columns):
+                if of != top and entries > LOT_ENTRIES:
+                    yield given(held)
+                    held, entries = [], 0
+                top = of
+                held.append(row)
+                entries += len(row[0])
+        if held:
+            yield given(held)
+
+    def given(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*peel(rows, least)), kind)], schema=kind)
+
+    return run
+
+
+def _cuts(deepest: int) -> list[tuple[int, int]]:
+    """Bands of depths, deepest first: 0, 1, 2, 3 to 4, 5 to 8, 9 to 16, ..."""
+    bands, least, most = [(0, 0)], 1, 1
+    while least <= deepest:
+        bands.append((least, min(most, deepest)))
+        least, most = most + 1, 2 * most
+    return bands[::-1]
+
+
 def trie(conversations: DataFrame) -> DataFrame:
     """A row for each node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     spark = conversations.sparkSession
@@ -155,41 +252,31 @@ def trie(conversations: DataFrame) -> DataFrame:
     if deepest is None:
         return _named(ended.select("conv_id", "depth", F.lit(None).cast("long").alias("parent_conv_id"),
                                    *[F.lit(0).cast("long").alias(c) for c in COUNTS], F.lit(EMPTY_SHA).alias("ends_sha256")).where("false"))
-    folder, surviving = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}", None
-    for depth in range(deepest, -1, -1):
-        rows = ended.where(F.col("depth") == depth).select(
-            "chain", "words", "conv_id", F.lit(1).cast("long").alias("n_convs"), F.lit(0).cast("long").alias("n_children"),
-            F.lit(0).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_tokens"))
-        if surviving is not None:
-            # strip the last turn: what was a node becomes a child
-            keep = F.lit(depth)
-            rows = rows.unionByName(surviving.select(
-                F.slice("chain", F.lit(1), keep).alias("chain"), F.slice("words", F.lit(1), keep).alias("words"), "conv_id", "n_convs",
-                F.lit(1).cast("long").alias("n_children"), "n_leaves", "saved_tokens"))
-        nodes = rows.groupBy(_node(depth).alias("node")).agg(
-            F.first("chain").alias("chain"), F.first("words").alias("words"), F.min("conv_id").alias("conv_id"), F.sum("n_convs").alias("n_convs"),
-            F.sum("n_children").alias("n_children"), F.greatest(F.sum("n_leaves"), F.lit(1).cast("long")).alias("n_leaves"),
-            F.sum("saved_tokens").alias("saved_tokens"))
-        own = (F.col("n_convs") - 1) * F.element_at("words", -1).cast("long") if depth else F.lit(0).cast("long")
-        nodes = nodes.withColumn("saved_tokens", F.col("saved_tokens") + own)
-        path = f"{folder}/depth={depth}"
-        nodes.write.parquet(path)
-        surviving = spark.read.schema(nodes.schema).parquet(path)
-    found = spark.read.schema(StructType([*surviving.schema, StructField("depth", IntegerType())])).parquet(folder)
-    up = F.when(F.col("depth") > 1, F.element_at("chain", -2)).when(F.col("depth") == 1, F.lit(ROOT))
-    parents = found.select(F.col("node").alias("up"), F.col("conv_id").alias("parent_conv_id"))
-    found = found.select("node", up.alias("up"), "conv_id", "depth", *COUNTS)
+    found, surviving = [], None
+    for least, most in _cuts(deepest):
+        if most > least:
+            merged = _merged(_contributions(ended, surviving, least, most)).withColumn("top", F.element_at("chain", least))
+            largest = merged.groupBy("top").agg(F.sum(F.size("chain")).alias("entries")).agg(F.max("entries")).first()[0] or 0
+            if largest <= GROUP_ENTRIES:
+                columns = ["top", "chain", "words", "conv_id", *COUNTS]
+                nodes = merged.repartition("top").sortWithinPartitions("top").select(*columns).mapInArrow(
+                    _peeled(least, to_arrow_schema(_node_type())), _node_type())
+                found.append(stored(nodes))
+                surviving = found[-1].where(F.col("depth") == least)
+                continue
+        for depth in range(most, least - 1, -1):
+            found.append(stored(_one_depth(_merged(_contributions(ended, surviving, depth, depth)))))
+            surviving = found[-1]
+    every = reduce(DataFrame.unionByName, [f.select("node", "up", "conv_id", "depth", *COUNTS) for f in found])
     # the children of the root, which may be nearly all nodes, need no join
-    root = found.where("depth = 0").agg(F.min("conv_id"))
-    top = found.where("depth <= 1").withColumn("parent_conv_id", F.when(F.col("depth") == 1, root.scalar()))
-    rest = found.where("depth > 1").join(parents, "up").select(*top.columns)
+    root = surviving.agg(F.min("conv_id"))
+    top = every.where("depth <= 1").withColumn("parent_conv_id", F.when(F.col("depth") == 1, root.scalar()))
+    parents = every.select(F.col("node").alias("up"), F.col("conv_id").alias("parent_conv_id"))
+    rest = every.where("depth > 1").join(parents, "up").select(*top.columns)
     return _named(top.unionByName(rest).join(_end_digests(ended), "node", "left").withColumn(
         "ends_sha256", F.coalesce("ends_sha256", F.lit(EMPTY_SHA))))
 
 
-COUNTS = ["n_convs", "n_children", "n_leaves", "saved_tokens"]
-
-
 def _named(nodes: DataFrame) -> DataFrame:
     return nodes.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", *COUNTS, "ends_sha256")
 
