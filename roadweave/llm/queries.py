@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
 from roadweave.llm import (chat, decontaminate, filter_audit, html_text, language_id, licences, log_bilinear, mixing, near_duplicates,
-                           prefix_trie, top_k, toxicity)
+                           prefix_trie, repeats, top_k, toxicity)
 from roadweave.llm.common import bucket_of, table, with_results
 
 QUERIES, ORACLE = {}, {}
@@ -131,3 +131,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_prefix_trie", prefix_trie.TRIE_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_substring_dedup", repeats.REPEATS_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
