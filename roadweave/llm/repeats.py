@@ -153,10 +153,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     return raw.select("doc_id", F.xxhash64("doc_id", "raw").alias("k1"), F.xxhash64(F.lit(7), "raw", "doc_id").alias("k2"), "raw")
 
 
+def _shared(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys that occur in two documents or more, with the least of these.
+
+    Written, as are the partners below: joined to a table, a key that a third of all rows share is split at run time;
+    joined to a grouping by the same key it would be one task.
+    """
+    both = rows.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    return stored(both.where("least < most").select(*keys, "least"))
+
+
 def _extended(signed: DataFrame) -> DataFrame:
     """Occurrences against their anchor's occurrence in the least document: the agreeing run, and the windows left over."""
-    partner = signed.where("doc_id = least").groupBy("anchor").agg(F.min_by(
-        F.struct("k1", "k2", "start", "left", "marks"), F.struct("k1", "k2", "start")).alias("p"))
+    partner = stored(signed.where("doc_id = least").groupBy("anchor").agg(F.min_by(
+        F.struct("k1", "k2", "start", "left", "marks"), F.struct("k1", "k2", "start")).alias("p")))
     pairs = signed.join(partner, "anchor").where("NOT (k1 = p.k1 AND k2 = p.k2 AND start = p.start)")
     # window i of the occurrence lies as its partner's window i + p.left - left
     agrees = F.expr("""filter(sequence(0, size(marks) - 1), i -> i + p.left - left >= 0 AND i + p.left - left < size(p.marks)
@@ -172,15 +182,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     own = keyed(docs).where("doc_id IS NOT NULL")
     seeds = stored(own.mapInArrow(_seeds, "doc_id bigint, k1 bigint, k2 bigint, anchors array<bigint>"))
     each = seeds.select("doc_id", "k1", "k2", F.explode("anchors").alias("anchor"))
-    shared = each.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("anchor", "least")
+    shared = _shared(each, "anchor")
     wanted = each.select("k1", "k2", "anchor").join(shared, "anchor").groupBy("k1", "k2").agg(
         F.collect_set(F.struct("anchor", "least")).alias("shared"))
     signed = stored(own.join(wanted, ["k1", "k2"]).select("doc_id", "k1", "k2", "raw", "shared").mapInArrow(_signed, SIGNED))
     extended = stored(_extended(signed))
     runs = extended.where("first IS NOT NULL AND doc_id > least").select("k1", "k2", "first", "last")
     rest = extended.select("k1", "k2", "doc_id", "anchor", F.explode("rest").alias("w")).select("k1", "k2", "doc_id", "anchor", "w.*")
-    again = rest.groupBy("anchor", "mark").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    others = rest.join(again.select("anchor", "mark", "least"), ["anchor", "mark"]).where("doc_id > least").select(
+    others = rest.join(_shared(rest, "anchor", "mark"), ["anchor", "mark"]).where("doc_id > least").select(
         "k1", "k2", F.col("at").alias("first"), F.col("at").alias("last"))
     return runs.unionByName(others).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
