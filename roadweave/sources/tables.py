@@ -128,13 +128,16 @@ def export_warehouse(tables: dict[str, DataFrame], database: str, day: date,
 def expire_exports(spark: SparkSession, database: str, as_of: date, days: int = 30) -> list[str]:
     """Drop export partitions older than ``days``; returns what was dropped.
 
-    Works on the partition list of the catalog, never on rows.
+    Works on the partition list of the catalog, never on rows.  The catalog lists temporary views too; they, stored views
+    and tables that are not partitioned by ``ds`` are none of ours.
     """
     oldest, dropped = (as_of - timedelta(days=days)).isoformat(), []
     for table in spark.catalog.listTables(database):
-        name = f"{database}.{table.name}"
-        days_held = [r["partition"].split("=")[1] for r in spark.sql(f"SHOW PARTITIONS {name}").toLocalIterator()]
-        for ds in sorted(d for d in days_held if d < oldest):
+        name = f"{database}.`{table.name}`"
+        if table.isTemporary or table.tableType == "VIEW" or [c.name for c in spark.catalog.listColumns(name) if c.isPartition] != ["ds"]:
+            continue
+        held = spark.sql(f"SHOW PARTITIONS {name}").select(F.substring_index("partition", "=", -1).alias("ds"))
+        for (ds,) in held.where(F.col("ds") < oldest).sort("ds").toLocalIterator():
             spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION (ds = '{ds}')")
             dropped.append(f"{table.name}/ds={ds}")
     return dropped
