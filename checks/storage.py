@@ -121,9 +121,9 @@ def stream_late_rows(spark, path):
     root = folder(spark)
     events = spark.read.parquet(f"{path}/events.parquet")
     newest = events.orderBy(F.desc("ts")).limit(1)
-    for part in (events, newest, events.filter("ts < '2024-01-11'"), newest):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    rows = t.as_readings(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+    closing = events.filter(F.col("ts") == newest.select("ts").scalar())
+    parts = [events, closing, events.filter("ts < '2024-01-11'"), closing]
+    rows = t.as_readings(t.stream_of(parts, f"{root}/in", events.count()))
     finished(jobs.start(windows.road_windows(rows, ts="request_time"), root, "traffic_aggregates", f"{root}/state", once=True))
     return stored(spark, root, "traffic_aggregates").select("window_start", "location_name", "avg_speed", "reading_count")
 
@@ -137,7 +137,7 @@ def restored_lags(spark, path):
     root = folder(spark)
     events = spark.read.parquet(f"{path}/events.parquet")
     before, after = events.filter("ts < '2024-01-20'"), events.filter("ts >= '2024-01-20'")
-    after.coalesce(1).write.parquet(f"{root}/in")
+    after.write.parquet(f"{root}/in")
     held = t.with_ratio(t.as_readings(before)).select(
         "location_name", F.col("request_time").alias("event_time"), "current_speed", "congestion_ratio", "road_closure")
     rows = t.with_ratio(t.as_readings(spark.readStream.schema(events.schema).parquet(f"{root}/in"))).withColumn("event_time", F.col("request_time"))

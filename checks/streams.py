@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import tables as t
-from checks.series import _ALERT, _LAG_NAMES, _LAGS, _RECORDS, _WINDOW, _cooldown
-from checks.sql import MESSAGES, QUALITY, SCORED, STAGING, WINDOWS, r, ts
+from checks.ingest import feature_rows, statistics
+from checks.series import _ALERT, _LAG_NAMES, _LAGS, _RECORDS, _WINDOW, _cooldown, forecast_input
+from checks.sql import AS_OF, QUALITY, SCORED, STAGING, WINDOWS, level, r, ts
+from roadweave import fixed_values as fv
+from roadweave.functions.geo import with_message_district
 from roadweave.functions.numeric import rounded
 from roadweave.functions.quality import with_quality
-from roadweave.plans import alerts
+from roadweave.models import congestion, isolation_forest
+from roadweave.plans import alerts, forecast
+from roadweave.plans import features as plan_features
 from roadweave.plans.warehouse import fact_rows
 from roadweave.session import checkpoint_dir
+from roadweave.sources import keyed
 from roadweave.sources.tables import read_version
-from roadweave.streaming import jobs, state, windows
+from roadweave.streaming import jobs, live, state, windows
 
 QUERIES, ORACLE = {}, {}
 
@@ -112,27 +120,101 @@ def stream_quality_statistics(spark, path):
     return spark.read.parquet(f"{root}/statistics")
 
 
-# processing time is long after the events, so every readable time counts as stale
-_NOW = QUALITY.replace("(epoch_us(arrived_at) - epoch_us(", "(epoch_us(timestamp '2100-01-01') - epoch_us(")
-
-
-@query("t14_stream_fan_out", f"""with {_NOW}
-select 'data_quality_events' as table_name, count(*) as rows from ql union all select 'fact_traffic', count(*) from ql where passed
-union all select 'raw_events', count(*) from ql where passed
-union all select concat('route:', case when not passed then 'fail' when quality_score < 80 and issues_count > 0 then 'warn' else 'pass' end), count(*) from ql group by 1""")
-def stream_fan_out(spark, path):
-    """One stream of defective messages into the quality log, the raw table and the warehouse."""
-    root, dims = folder(spark), t.dimensions(spark)
-    sinks = {
-        "raw_events": lambda df: df.withColumn("request_time", F.try_to_timestamp("request_time")),
-        "fact_traffic": lambda df: fact_rows(df, dims),
+# the clock stands after the last reading, so every readable time counts as stale
+_LIVE = QUALITY.replace("(epoch_us(arrived_at) - epoch_us(", f"(epoch_us({AS_OF}) - epoch_us(")
+_SPEED, _FREE = "coalesce(current_speed, 0)", "coalesce(free_flow_speed, 0)"
+
+
+def _cents(x):
+    return f"cast(round({x} * 100) as bigint)"
+
+
+@query("t14_live_pipeline", f"""with {_LIVE}, gd as (select *, try_cast(nullif(request_time, '') as timestamp) as seen,
+    {r(f'case when {_FREE} > 0 then {_SPEED} / {_FREE} else 0e0 end', 4)} as ratio from ql where passed),
+ tm as (select *, row_number() over (partition by location_name order by seen, reading_id) as position from gd where seen is not null),
+ lv as (select *, {level('ratio', 'road_closure')} as congestion_level from gd),
+ wi as (select location_name, time_bucket(interval '5 minutes', seen) as w, {r(f'avg({_SPEED})', 2)} as s, {r(f'avg({_FREE})', 2)} as f, count(*) as n,
+    count(*) filter (where road_closure) as c from tm group by all),
+ hz(horizon, ahead) as (values ('20min', 20), ('30min', 30), ('60min', 60))
+select 'data_quality_events' as table_name, cast(reading_id as varchar) as id, concat_ws(':', case when not passed then 'fail' when quality_score < 80 and issues_count > 0 then 'warn' else 'pass' end,
+    quality_score, issues_count) as value from ql
+union all select 'raw_events', cast(reading_id as varchar), concat_ws(':', current_travel_time, free_flow_travel_time) from gd
+union all select 'fact_traffic', location_name, concat_ws(':', count(*), sum(weather_humid), {_cents(r('sum(current_speed)', 2))}) from gd group by location_name
+union all select 'predictions', cast(reading_id as varchar), concat_ws(':', congestion_level, road_closure, 'known class') from lv
+union all select 'anomalies', cast(reading_id as varchar), 'as in one batch' from gd
+union all select 'forecasts', concat_ws('|', location_name, {ts('seen')}, horizon), concat_ws(':', {ts('seen + to_minutes(ahead)')}, count(*), 'as in one batch')
+  from tm, hz where position > 144 group by location_name, seen, horizon, ahead
+union all select 'traffic_aggregates', concat_ws('|', location_name, {ts('w')}), concat_ws(':', n, c, {_cents('s')}, {_cents('f')}) from wi
+  where w + interval '5 minutes' <= (select max(seen) from tm)
+union all select 'latest_records', location_name, concat_ws(':', max_by(reading_id, (seen, reading_id)), {ts('max(seen)')}, {ts('min(seen)')}) from tm group by location_name
+union all select 'alerts', 'differences from one batch', '0'""")
+def live_pipeline(spark, path):
+    """One stream of defective messages through the whole pipeline with fitted models; every table's values.
+
+    What models say is compared with the same models applied to all readings in one batch.
+    """
+    root, dims, clock = folder(spark), t.dimensions(spark), t.as_of()
+    training = feature_rows(spark, path)
+    plain = t.readings(spark, path)
+    isolation_forest.train(training, "reading_id", trees=20).write.parquet(f"{root}/models/forest")
+    for name, index in (("frc", plan_features.class_index(plain, "frc")), ("district", plan_features.class_index(with_message_district(plain), "district"))):
+        index.write.parquet(f"{root}/models/{name}")
+    past = congestion.with_targets(forecast_input(spark, path, ["road_closure"]))
+    fitted = live.Models(
+        spark.read.parquet(f"{root}/models/forest"), congestion.train_congestion(training, trees=5, depth=5), congestion.train_forecasts(past, trees=2, depth=3),
+        statistics(spark, path), spark.read.parquet(f"{root}/models/frc"), spark.read.parquet(f"{root}/models/district"))
+    settings = live.Settings(clock, 3600, sinks={
+        "raw_events": lambda df: df.withColumn("request_time", F.try_to_timestamp("request_time")), "fact_traffic": lambda df: fact_rows(df, dims)})
+    pipeline = live.Live(root, fitted, settings)
+    finished(pipeline.start(t.message_stream(spark, path, 2).drop("arrived_at"), f"{root}/state", once=True))
+    pipeline.finish(spark)
+
+    checked = with_quality(t.messages(spark, path).drop("arrived_at"), clock)
+    live.scored(checked.filter("passed").drop("issues", "issues_count", "quality_score", "fatal", "passed"), fitted, clock).write.parquet(f"{root}/batch")
+    batch = spark.read.parquet(f"{root}/batch")
+    timed = batch.withColumn("request_time", F.try_to_timestamp("request_time")).filter("request_time IS NOT NULL")
+    commit = keyed.read_commit(spark, root)
+    seen = {name: keyed.committed(spark, root, name, commit).drop("event_date", "batch_id") for name in (*live.TABLES, *settings.sinks)}
+    text = lambda *columns: F.concat_ws(":", *[F.col(c).cast("string") for c in columns])
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    cents = lambda c: F.round(F.col(c) * 100).cast("long").cast("string")
+
+    flags = seen["anomalies"].select(F.col("anomaly_id").alias("reading_id"), F.col("anomaly_score").alias("s"), F.col("reason"))
+    agreed = batch.join(flags, "reading_id", "left").select(
+        F.col("reading_id").alias("id"), F.when(F.col("is_anomaly").eqNullSafe(F.col("s").isNotNull()) & (~F.col("is_anomaly") | (
+            F.col("s") == F.col("anomaly_score")) & (F.col("reason") == F.col("anomaly_reason"))), "as in one batch").otherwise("differs").alias("value"))
+    ahead = forecast.forecast_table(congestion.predict_forecasts(fitted.forecasts, forecast.forecast_rows_from(
+        timed, fitted.frc_index, fitted.district_index, readings=timed.select("location_name", "event_time"))))
+    at = ["location_name", "forecast_made_at", "horizon", "target_time"]
+    told = lambda df, name: df.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct(
+        "predicted_speed", "predicted_class", "confidence"))).alias(name))
+    forecasts = told(seen["forecasts"], "a").join(told(ahead, "b"), at, "full").select(
+        F.concat_ws("|", "location_name", stamp("forecast_made_at"), "horizon").alias("id"),
+        F.concat_ws(":", stamp("target_time"), F.size("a").cast("string"), F.when(F.col("a") == F.col("b"), "as in one batch").otherwise("differs")).alias("value"))
+    columns = ["alert_id", "triggered_at", "location_name", "alert_type", "message"]
+    expected = alerts.sent_alerts(timed, 3600).select(*columns)
+    sent = seen["alerts"].select(*columns)
+    apart = sent.exceptAll(expected).unionByName(expected.exceptAll(sent))
+    found = {
+        "data_quality_events": seen["data_quality_events"].select(
+            F.get_json_object("raw_message", "$.reading_id").alias("id"), text("route", "quality_score", "issues_count").alias("value")),
+        "raw_events": seen["raw_events"].select(F.col("reading_id").alias("id"), text("current_travel_time", "free_flow_travel_time").alias("value")),
+        "fact_traffic": seen["fact_traffic"].join(dims["dim_location"], "location_key").groupBy(F.col("location_name").alias("id")).agg(
+            F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum("humidity").cast("string"),
+                        F.round(rounded(F.sum("current_speed"), 2) * 100).cast("long").cast("string")).alias("value")),
+        "predictions": seen["predictions"].join(batch.select("reading_id", "road_closure"), F.col("prediction_id") == F.col("reading_id")).select(
+            F.col("prediction_id").alias("id"), F.concat_ws(":", "actual_congestion", (F.col("predicted_congestion") == "Closed").cast("string"), F.when(
+                F.col("predicted_congestion").isin(fv.LEVELS), "known class").otherwise("unknown")).alias("value")),
+        "anomalies": agreed,
+        "forecasts": forecasts,
+        "traffic_aggregates": seen["traffic_aggregates"].select(F.concat_ws("|", "location_name", stamp("window_start")).alias("id"), F.concat_ws(
+            ":", F.col("reading_count").cast("string"), F.col("closure_count").cast("string"), cents("avg_speed"), cents("avg_free_flow_speed")).alias("value")),
+        "latest_records": pipeline.latest.read(spark, commit).select(F.col("location_name").alias("id"), F.concat_ws(
+            ":", F.col("reading_id").cast("string"), stamp("request_time"), stamp("first_seen")).alias("value")),
+        "alerts": apart.agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("differences from one batch").alias("id"), "value"),
     }
-    messages = t.message_stream(spark, path).drop("arrived_at")
-    finished(jobs.fan_out(messages, root, f"{root}/state", sinks, once=True))
-    counts = [stored(spark, root, n).select(F.lit(n).alias("table_name")) for n in ("data_quality_events", "fact_traffic", "raw_events")]
-    routes = stored(spark, root, "data_quality_events").select(F.concat(F.lit("route:"), "route").alias("table_name"))
-    every = counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(routes)
-    return every.groupBy("table_name").agg(F.count(F.lit(1)).alias("rows"))
+    parts = [df.select(F.lit(name).alias("table_name"), F.col("id").cast("string").alias("id"), "value") for name, df in found.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _snapshots(readings):

@@ -31,21 +31,33 @@ def readings(spark: SparkSession, path: str) -> DataFrame:
     return as_readings(spark.read.parquet(f"{path}/events.parquet"))
 
 
-STREAM_FILES = 4
+STREAM_BATCHES = 4
+LEAST_FILES, FILE_ROWS = 4, 1_000_000
 
 
-def reading_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The same readings as a stream: all events in files that follow each other by event_id, one a micro-batch.
+def stream_of(parts: list[DataFrame], folder: str, rows: int) -> DataFrame:
+    """A stream that takes each part as one micro-batch.
+
+    ``rows`` is the size of the largest part.  Every part becomes the same number of files, written and read side by side,
+    and a micro-batch takes that many; files are taken in the order they were written.
+    """
+    files = max(LEAST_FILES, rows // FILE_ROWS)
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(folder)
+    spark = parts[0].sparkSession
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def reading_stream(spark: SparkSession, path: str, batches: int = STREAM_BATCHES) -> DataFrame:
+    """The same readings as a stream: all events in micro-batches that follow each other by event_id.
 
     The cuts lie anywhere in a round.
     """
     events = spark.read.parquet(f"{path}/events.parquet")
-    files = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}/events"
-    first, last = events.agg(F.min("event_id"), F.max("event_id")).first()
-    size = (last - first) // STREAM_FILES + 1
-    for part in range(STREAM_FILES):
-        events.filter(F.floor((F.col("event_id") - first) / size) == part).coalesce(1).write.mode("append").parquet(files)
-    return as_readings(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(files))
+    first, last, rows = events.agg(F.min("event_id"), F.max("event_id"), F.count(F.lit(1))).first()
+    size = (last - first) // batches + 1
+    parts = [events.filter(F.floor((F.col("event_id") - first) / size) == part) for part in range(batches)]
+    return as_readings(stream_of(parts, f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}/events", rows // batches))
 
 
 def as_readings(events: DataFrame) -> DataFrame:
@@ -88,8 +100,8 @@ def messages(spark: SparkSession, path: str) -> DataFrame:
     return as_messages(plain_readings(spark, path))
 
 
-def message_stream(spark: SparkSession, path: str) -> DataFrame:
-    return as_messages(reading_stream(spark, path).drop("event_type", "user_id"))
+def message_stream(spark: SparkSession, path: str, batches: int = STREAM_BATCHES) -> DataFrame:
+    return as_messages(reading_stream(spark, path, batches).drop("event_type", "user_id"))
 
 
 def as_messages(df: DataFrame) -> DataFrame:
