@@ -97,11 +97,21 @@ def stream_sent_alerts(spark, path):
 @query("t11_stream_latest_records", f"""with {_RECORDS} select location_name, current_speed, congestion_level, {r('congestion_ratio', 4)} as congestion_ratio,
   {ts('request_time')} as request_time, is_anomaly, {ts('first_seen')} as first_seen from la""")
 def stream_latest_records(spark, path):
+    """Upserts by road: a batch rewrites the buckets of its roads only."""
     root = folder(spark)
     columns = ["current_speed", "congestion_level", "congestion_ratio", "request_time", "is_anomaly"]
-    found = windows.latest_records(t.scored_stream(spark, path), ["request_time", "reading_id"], columns)
-    finished(jobs.keep_latest(found, root, "latest_records", f"{root}/state", once=True))
-    return read_version(spark, root, "latest_records").withColumn("congestion_ratio", rounded(F.col("congestion_ratio"), 4))
+    table = keyed.KeyedTable(root, "latest_records", ["location_name"], "location_name string, reading_id bigint, current_speed double, "
+                             "congestion_level string, congestion_ratio double, request_time timestamp, is_anomaly boolean, first_seen timestamp")
+
+    def fold(new, held):
+        new = new.withColumn("first_seen", F.col("request_time")).select("location_name", "reading_id", *columns, "first_seen")
+        return new.unionByName(held).groupBy("location_name").agg(
+            F.max_by(F.struct("reading_id", *columns), F.struct("request_time", "reading_id")).alias("n"), F.min("first_seen").alias("first_seen")).select(
+            "location_name", "n.*", "first_seen")
+
+    finished(jobs.upsert(t.scored_stream(spark, path), table, fold, f"{root}/state", once=True))
+    found = table.read(spark, keyed.read_commit(spark, root)).drop("reading_id")
+    return found.withColumn("congestion_ratio", rounded(F.col("congestion_ratio"), 4))
 
 
 @query("t12_stream_quality_statistics", f"""with {QUALITY}, un as (select unnest(issues) as i from ql)

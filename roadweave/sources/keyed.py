@@ -27,6 +27,10 @@ class Commit:
     notes: dict[str, str] = field(default_factory=dict)
     replaced: list[list] = field(default_factory=list)
 
+    def following(self, batch: int) -> Commit:
+        """A record for the next batch, to be changed as its tables are written."""
+        return Commit(batch, {table: dict(held) for table, held in self.buckets.items()}, dict(self.notes))
+
 
 def read_commit(spark: SparkSession, root: str, upto: int | None = None) -> Commit:
     """The newest record, none newer than ``upto``; without any, an empty one."""

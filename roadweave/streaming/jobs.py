@@ -14,6 +14,7 @@ from roadweave import fixed_values as fv
 from roadweave.functions.quality import route, with_quality
 from roadweave.plans import alerts
 from roadweave.plans.warehouse import fact_rows
+from roadweave.sources.keyed import KeyedTable, read_commit, write_commit
 from roadweave.sources.tables import read_version, replace_batch, versions, write_version
 from roadweave.streaming.state import stream_cooldown
 
@@ -82,6 +83,28 @@ def keep_latest(newest: DataFrame, root: str, table: str, checkpoint: str, once:
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def upsert(stream: DataFrame, table: KeyedTable, fold: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str,
+           once: bool = False, every: str = "30 seconds") -> StreamingQuery:
+    """A stream of rows -> a keyed table, by ``fold(new rows, rows held for their buckets)``.
+
+    A batch reads and rewrites the buckets its keys fall into; files of the others stay as they are.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = read_commit(spark, table.root, batch_id - 1)
+        commit = before.following(batch_id)
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            touched = table.touched(batch)
+            table.write(fold(batch, table.read(spark, before, touched)), touched, commit)
+        finally:
+            batch.unpersist()
+        write_commit(spark, table.root, commit, before)
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def _evaluate(rows: DataFrame, root: str, batch_id: int, seconds: int | None, lateness_seconds: int, close_all: bool) -> None:
     """Raise what `rows` (this batch) and the readings held back so far allow; hold back the open rounds."""
     spark = rows.sparkSession

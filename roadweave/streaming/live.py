@@ -137,7 +137,7 @@ class Live:
         """Everything a batch adds.  Nothing is visible before the commit at the end; a repeated batch replaces what it left."""
         spark, set_, root = batch.sparkSession, self.settings, self.root
         before = read_commit(spark, root, batch_id - 1)
-        commit = Commit(batch_id, {t: dict(b) for t, b in before.buckets.items()}, dict(before.notes))
+        commit = before.following(batch_id)
         checked = with_quality(batch, set_.clock).withColumn("checked_at", set_.clock)
         checked = checked.withColumn("route", route(F.col("quality_score"), F.col("passed"), F.col("issues_count"))).persist(StorageLevel.MEMORY_AND_DISK)
         good = checked.filter("route <> 'fail'").select(*batch.columns)
@@ -226,7 +226,7 @@ class Live:
         Windows that event time has not passed stay open.
         """
         before = read_commit(spark, self.root)
-        commit = Commit(before.batch + 1, {t: dict(b) for t, b in before.buckets.items()}, dict(before.notes))
+        commit = before.following(before.batch + 1)
         held = read_version(spark, self.root, "open_readings")
         self._alerts(held.limit(0), before, commit, close_all=True)
         write_commit(spark, self.root, commit, before)
