@@ -10,6 +10,7 @@ from roadweave import fixed_values as fv
 from roadweave.functions import geo, lookups, texts
 from roadweave.functions.numeric import rounded
 from roadweave.models import isolation_forest
+from roadweave.operators import places
 from roadweave.operators.asof import asof_join
 from roadweave.plans import features, stats
 from roadweave.session import checkpoint_dir
@@ -332,3 +333,41 @@ from ms left join ds on lat = requested_lat and lon = requested_lon""")
 def message_districts(spark, path):
     given = F.when(F.col("reading_id") % 4 == 0, F.lit("Given")).when(F.col("reading_id") % 4 == 1, F.lit(""))
     return geo.with_message_district(t.messages(spark, path).withColumn("district", given)).select("reading_id", "district")
+
+
+# places of all users and coordinates of all events, without ties
+_PLACES = """pl as (select distinct user_id as place_id, 2.9e1 + user_id * 6.180339887e-1 % 1e0 * 1.7e0 as lat, 3.05e1 + user_id * 7.548776662e-1 % 1e0 * 1.9e0 as lon from events),
+ pt as (select event_id as reading_id, case when event_id % 53 = 0 then null else 2.85e1 + event_id * 3.247179572e-1 % 1e0 * 3e0 end as lat,
+    case when event_id % 50 = 0 then -1.7999e2 else 3e1 + event_id * 5.698402910e-1 % 1e0 * 3e0 end as lon from events)"""
+
+
+def _places(spark, path):
+    events = spark.read.parquet(f"{path}/events.parquet")
+    places = events.select("user_id").distinct().selectExpr(
+        "user_id AS place_id", "2.9e1 + user_id * 6.180339887e-1 % 1e0 * 1.7e0 AS lat", "3.05e1 + user_id * 7.548776662e-1 % 1e0 * 1.9e0 AS lon")
+    points = events.selectExpr(
+        "event_id AS reading_id", "CASE WHEN event_id % 53 = 0 THEN NULL ELSE 2.85e1 + event_id * 3.247179572e-1 % 1e0 * 3e0 END AS lat",
+        "CASE WHEN event_id % 50 = 0 THEN -1.7999e2 ELSE 3e1 + event_id * 5.698402910e-1 % 1e0 * 3e0 END AS lon")
+    return points, places
+
+
+@query("j07_nearest_of_a_table", f"""with {_PLACES}, ds as (select pt.reading_id, pl.place_id, {haversine('pt.lat', 'pt.lon', 'pl.lat', 'pl.lon')} as km from pt join pl on pt.lat is not null),
+ rk as (select *, row_number() over (partition by reading_id order by km, place_id) as rn from ds)
+select pt.reading_id, place_id, {r('km', 3)} as km from pt left join rk on rk.reading_id = pt.reading_id and rn = 1""")
+def nearest_of_a_table(spark, path):
+    """The nearest of all users' places for the coordinates of every event; some are far away, some missing."""
+    points, places_ = _places(spark, path)
+    return places.nearest_place(points, places_, "lat", "lon", "place_id").select(
+        "reading_id", "nearest.place_id", rounded(F.col("nearest.km"), 3).alias("km"))
+
+
+@query("p18_rectangles_of_a_table", f"""with {_PLACES}, rc as (select place_id, lat as south, lat + place_id % 17 * 3e-3 * power(4, place_id % 4) as north,
+    lon as west, lon + place_id % 13 * 4e-3 * power(4, place_id % 4) as east from pl),
+ hd as (select pt.reading_id, min(place_id) as place_id from pt join rc on pt.lat between south and north and pt.lon between west and east group by 1)
+select pt.reading_id, place_id from pt left join hd using (reading_id)""")
+def rectangles_of_a_table(spark, path):
+    """The first rectangle, of one per user in four sizes, that holds the coordinates of each event."""
+    points, places_ = _places(spark, path)
+    rectangles = places_.selectExpr("place_id", "lat AS south", "lat + place_id % 17 * 3e-3 * power(4, place_id % 4) AS north",
+                                    "lon AS west", "lon + place_id % 13 * 4e-3 * power(4, place_id % 4) AS east")
+    return places.first_rectangle(points, rectangles, "lat", "lon", "place_id").select("reading_id", "rectangle.place_id")

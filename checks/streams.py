@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import tables as t
-from checks.ingest import feature_rows, statistics
+from checks.ingest import _FRESH, feature_rows, statistics
 from checks.series import _ALERT, _LAG_NAMES, _LAGS, _RECORDS, _WINDOW, _cooldown, forecast_input
-from checks.sql import AS_OF, QUALITY, SCORED, STAGING, WINDOWS, level, r, ts
+from checks.sql import AS_OF, QUALITY, SCORED, STAGING, WEATHER, WINDOWS, level, r, ts
 from roadweave import fixed_values as fv
 from roadweave.functions.geo import with_message_district
 from roadweave.functions.numeric import rounded
@@ -24,6 +24,7 @@ from roadweave.session import checkpoint_dir
 from roadweave.sources import keyed
 from roadweave.sources.tables import read_version
 from roadweave.streaming import jobs, live, state, windows
+from roadweave.streaming.asof import stream_asof_join
 
 QUERIES, ORACLE = {}, {}
 
@@ -227,6 +228,21 @@ def live_pipeline(spark, path):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("j09_stream_weather", f"""with {WEATHER}, wm as (select least((select max(request_time) from rd), (select max(recorded_at) from we)) as until)
+select rd.reading_id, {ts('rd.request_time')} as request_time, {_FRESH.format('temperature')} as temperature,
+  {_FRESH.format('weather_main')} as condition, {_FRESH.format('rain_mm')} as rain_mm
+from rd asof left join we w on rd.request_time >= w.recorded_at where rd.request_time < (select until - interval 1 hour from wm)""")
+def stream_weather(spark, path):
+    """Readings and weather as two streams; readings wait until both have passed them by an hour, as they come in no strict order."""
+    state.use_rocksdb(spark)
+    root = folder(spark)
+    left = t.reading_stream(spark, path).select("reading_id", "request_time")
+    right = t.as_weather(t.reading_stream(spark, path)).withColumnRenamed("weather_main", "condition")
+    found = stream_asof_join(left, right, "request_time", "reading_id", "recorded_at", "weather_id", ["temperature", "condition", "rain_mm"], 1800, "1 hour", salts=2)
+    finished(jobs.start(found, root, "raw_events", f"{root}/state", once=True))
+    return stored(spark, root, "raw_events")
+
+
 def _snapshots(readings):
     return t.with_ratio(readings).select(
         F.md5(F.concat_ws("|", "location_name", "congestion_level")).alias("snapshot_key"), F.col("request_time").alias("generated_at"),

@@ -222,7 +222,11 @@ def incidents(spark: SparkSession, path: str) -> DataFrame:
 
 def weather(spark: SparkSession, path: str) -> DataFrame:
     """One city series: the weather columns of the ``view`` events."""
-    return readings(spark, path).filter(F.col("event_type") == "view").select(
+    return as_weather(readings(spark, path))
+
+
+def as_weather(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("event_type") == "view").select(
         F.col("reading_id").alias("weather_id"), F.col("request_time").alias("recorded_at"),
         F.col("weather_temp").alias("temperature"), (F.col("weather_temp") - 1).alias("feels_like"),
         F.col("weather_humid").alias("humidity"), "weather_main",
