@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from datetime import date, timedelta
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import tables as t
@@ -17,7 +19,8 @@ from checks.warehouse import ORACLE as WAREHOUSE
 from checks.warehouse import staging
 from roadweave import fixed_values as fv
 from roadweave.functions.numeric import rounded
-from roadweave.plans import marts, stats
+from roadweave.plans import mart_refresh, marts, stats
+from roadweave.plans.warehouse import enriched_facts, fact_rows
 from roadweave.sources import dimensions, stats_document, tables
 from roadweave.streaming import jobs, state, windows
 
@@ -114,6 +117,31 @@ def stored_hourly_mart(spark, path):
     return saved.select(*names)
 
 
+_MARTS = {"hourly_traffic_summary": "a02_hourly_traffic_summary", "daily_congestion_report": "a03_daily_congestion_report",
+          "rush_hour_analysis": "a04_rush_hour_analysis", "weather_impact_analysis": "a05_weather_impact_analysis", "district_overview": "a06_district_overview"}
+
+
+@query("s15_refreshed_marts", " union all ".join(
+    f"select '{name}' as mart, concat_ws('|', *columns(*)) as line from ({WAREHOUSE[key]})" for name, key in _MARTS.items()))
+def refreshed_marts(spark, path):
+    """All five marts after three refreshes: the first days, then two batches that also change days already there; each reads its days only."""
+    root, dims = folder(spark), t.dimensions(spark)
+    readings = t.plain_readings(spark, path)
+    middle, late = F.col("request_time") >= "2024-01-20 12:00:00", F.col("reading_id") % 10 == 0
+    parts = [readings.filter(~middle & ~late), readings.filter(middle & ~late), readings.filter(late)]
+
+    def facts_of(days):
+        rows = spark.read.parquet(f"{root}/fact_traffic").filter(F.col("event_date").isin(days)).drop("event_date", "batch_id")
+        return enriched_facts(rows, dims)
+
+    for batch, part in enumerate(parts):
+        tables.replace_batch(fact_rows(part, dims), root, "fact_traffic", batch)
+        saved = mart_refresh.refresh_marts(spark, facts_of, root, mart_refresh.changed_dates(spark, root, batch - 1))
+    lines = [df.select(F.lit(name).alias("mart"), F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]).alias("line"))
+             for name, df in saved.items()]
+    return reduce(DataFrame.unionByName, lines)
+
+
 @query("t03_stream_late_rows", f"""with {WINDOWS}
 select {ts('window_start')} as window_start, location_name, avg_speed, reading_count from win where win.window_end <= (select max(request_time) from rd)""")
 def stream_late_rows(spark, path):

@@ -134,20 +134,37 @@ def test_band_join_equals_brute_force(spark):
     assert {r["near_road"]: r["id"] for r in got.collect()} == expected
 
 
-@pytest.mark.parametrize("width", [0.1, 25.0, 1000.0])
-def test_quantiles_equal_numpy(spark, width):
+@pytest.mark.parametrize("bins", [3, 25, 1024])
+def test_quantiles_equal_numpy(spark, bins):
     rows = series(500) + [("single", at(0), 900, 4.5), ("none", at(0), 901, None), ("neg", at(0), 902, -3.25), ("neg", at(0), 903, -1.0)]
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = quantiles(spark.createDataFrame(rows, SERIES), ["key"], "v", probs, width).collect()
+    got = quantiles(spark.createDataFrame(rows, SERIES), ["key"], "v", probs, bins).collect()
     for row in got:
         own = [r[3] for r in rows if r[0] == row["key"] and r[3] is not None]
         assert row["n"] == len(own)
         assert np.allclose(row["quantiles"], np.quantile(own, probs))
     assert {r["key"] for r in got} == {r[0] for r in rows} - {"none"}
-    whole = quantiles(spark.createDataFrame(rows, SERIES), [], "v", [0.5], width).first()
+    whole = quantiles(spark.createDataFrame(rows, SERIES), [], "v", [0.5], bins).first()
     assert np.isclose(whole["quantiles"][0], np.median([r[3] for r in rows if r[3] is not None]))
 
 
+@pytest.mark.parametrize("scale", [1e-3, 1e9, 1e305])
+def test_quantiles_at_any_range(spark, scale):
+    """Values crowded at one end of a range that one far value, or an infinite one, makes wide."""
+    rng = np.random.default_rng(1)
+    crowd = (rng.random(3000) * scale).tolist() + [0.0, -0.0, scale * 100]
+    rows = [("far", v) for v in [*crowd, -scale * 1000]] + [("infinite", v) for v in [*crowd, float("inf"), float("-inf")]]
+    rows += [("odd", v) for v in (1.0, None, float("nan"), 1.0, 2.0)] + [(None, 7.0), (None, 8.0)]
+    probs = [0.0, 0.1, 0.5, 0.999, 1.0]
+    got = {r["k"]: r["quantiles"] for r in quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", probs, 64).collect()}
+    for key in {k for k, _ in rows}:
+        own = sorted(v for k, v in rows if k == key and v is not None and v == v)
+        low, high = (np.array([own[int(f((len(own) - 1) * p))] for p in probs]) for f in (np.floor, np.ceil))
+        share = np.array([(len(own) - 1) * p % 1 for p in probs])
+        for made, a, b, part in zip(got[key], low, high, share):
+            assert made == a if a == b else np.isclose(made, a + (b - a) * part, rtol=1e-9)
+
+
 def test_latest_breaks_ties_by_id_and_ignores_the_partitioning(spark):
     rows = series(300)
     df = spark.createDataFrame(rows, SERIES)

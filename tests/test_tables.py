@@ -1,5 +1,7 @@
 """Sources, sinks, dimension seeds and the statistics document."""
 
+import pathlib
+import shutil
 from datetime import date, datetime
 
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import tables as t
 from roadweave import fixed_values as fv
-from roadweave.plans import alerts, marts, stats, warehouse
+from roadweave.plans import alerts, mart_refresh, marts, stats, warehouse
 from roadweave.sources import dimensions, messages, stats_document, tables
 
 
@@ -67,6 +69,11 @@ def test_csv_round_trip(spark, small, tmp_path):
 
 
 def test_export_and_expiry(spark, small, tmp_path):
+    """Also in a session with a temporary view, beside a stored view and a table without ds."""
+    t.dim_location(spark).createOrReplaceTempView("some_staging_view")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS exports LOCATION '{tmp_path}'")
+    spark.sql("CREATE VIEW IF NOT EXISTS exports.some_view AS SELECT 1 AS one")
+    spark.range(3).write.mode("overwrite").saveAsTable("exports.some_table")
     tabs = {"dim_time": dimensions.seed_times(spark), "fact_traffic": t.fact(spark, small)}
     for day in (date(2024, 1, 1), date(2024, 1, 25), date(2024, 2, 4), date(2024, 2, 4)):
         counts = tables.export_warehouse(tabs, "exports", day, str(tmp_path))
@@ -84,6 +91,33 @@ def test_marts_are_rebuilt(spark, small, tmp_path):
     assert spark.table("stg_traffic_enriched").count() == facts.count()
 
 
+def test_a_refresh_reads_changed_days_only(spark, small, tmp_path):
+    """The marts equal a full rebuild after a day came and another lost all its facts, while files of other days can't be read."""
+    dims, root = t.dimensions(spark), str(tmp_path)
+    facts = t.fact(spark, small).withColumn("event_date", F.to_date("event_time"))
+    old, new, gone = (facts.filter(f"event_date {test}") for test in ("< '2024-01-28'", "between '2024-01-28' and '2024-01-29'", "= '2024-01-05'"))
+    old.write.partitionBy("event_date").parquet(f"{root}/facts")
+
+    def facts_of(days):
+        rows = spark.read.schema(facts.schema).parquet(f"{root}/facts").filter(F.col("event_date").isin(days))
+        return warehouse.enriched_facts(rows.drop("event_date"), dims)
+
+    days = [r[0] for r in old.select("event_date").distinct().collect()]
+    mart_refresh.refresh_marts(spark, facts_of, root, days)
+    assert gone.count() > 0
+    shutil.rmtree(f"{root}/facts/event_date=2024-01-05")
+    new.write.mode("append").partitionBy("event_date").parquet(f"{root}/facts")
+    for file in pathlib.Path(root, "facts", "event_date=2024-01-10").glob("*.parquet"):
+        file.write_bytes(b"no parquet")
+    changed = [date(2024, 1, 5), date(2024, 1, 28), date(2024, 1, 29)]
+    for _ in range(2):
+        made = mart_refresh.refresh_marts(spark, facts_of, root, changed)
+    everything = warehouse.enriched_facts(facts.filter("event_date < '2024-01-30' AND event_date <> '2024-01-05'").drop("event_date"), dims)
+    for name, (build, _) in marts.MARTS.items():
+        expected = build(everything).select(*made[name].columns)
+        assert made[name].exceptAll(expected).count() == 0 and expected.count() == made[name].count(), name
+
+
 def test_mode_ignores_missing_and_takes_the_smallest(spark):
     rows = [("d", "r", "Heavy"), ("d", "r", "Severe"), ("d", "q", "Severe"), ("d", "q", "Heavy"), ("d", "q", None)]
     facts = spark.createDataFrame(rows, "district string, location_name string, congestion_level string").withColumns(
