@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from roadweave import fixed_values as fv
 from roadweave.functions.lookups import congestion_level
 from roadweave.functions.numeric import rounded
-from roadweave.operators.lags import with_lags
+from roadweave.operators.lags import with_lags, with_position
 
 # rows ahead for each horizon at the ten-minute cadence of the lags
 LEAD_ROWS = {"20min": 2, "30min": 3, "60min": 6}
@@ -90,6 +90,20 @@ def with_targets(readings: DataFrame, ts: str = "event_time") -> DataFrame:
     return with_lags(level, ["location_name"], ts, "reading_id", ahead).drop("_level", "position")
 
 
+def time_split(rows: DataFrame, share: float = 0.5, gap_rows: int = fv.BUFFER_ROWS + max(LEAD_ROWS.values()), ts: str = "event_time",
+               tie: str = "reading_id", keys: tuple[str, ...] = ("location_name",)) -> tuple[DataFrame, DataFrame]:
+    """The earlier ``share`` of each road's rows, to fit on, and the later ones, to judge by.
+
+    Between them ``gap_rows`` rows of the road are left out: as many as lags look back and targets look ahead, so that no reading
+    is part of both.
+    """
+    placed = with_position(rows, list(keys), ts, tie)
+    last = placed.groupBy(*keys).agg(F.floor(F.max("position") * share).alias("_cut"))
+    cut = placed.join(last, list(keys))
+    return (cut.filter("position <= _cut").drop("position", "_cut"),
+            cut.filter(F.col("position") > F.col("_cut") + gap_rows).drop("position", "_cut"))
+
+
 def train_forecasts(rows: DataFrame, trees: int = 20, depth: int = 5, seed: int = 42) -> dict:
     """Per horizon a speed regressor and a class forest over the 32 features."""
     targets = [f"target_{kind}_{horizon}" for horizon in fv.HORIZON_MINUTES for kind in ("speed", "class")]

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave import fixed_values as fv
@@ -57,22 +57,28 @@ def train(features: DataFrame, identity: str, columns: list[str] | None = None,
           sample_rows: int = 256, seed: int = 42) -> DataFrame:
     """Grow the forest; returns its node table.
 
-    The sample is the ``trees * sample_rows`` rows with the smallest hash of their id: every
-    task keeps only that many, and the choice does not change when a task is repeated.
+    The rows drawn are the ``trees * sample_rows`` with the smallest hash of their id: every
+    task keeps only that many, and the choice does not change when a task is repeated.  In the order
+    of their hashes they are dealt out like a ring: each tree takes the next ``sample_rows``, so all trees
+    have exactly as many, and of a table smaller than the draw rows are used by several trees.
     """
     columns = columns or fv.ANOMALY_FEATURES
     values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]
     drawn = (
         features.select(F.xxhash64(F.col(identity), F.lit(seed)).alias("_draw"), *values)
-        .orderBy("_draw").limit(trees * sample_rows)
-        .withColumn("_tree", F.pmod(F.xxhash64("_draw", F.lit(seed)), F.lit(trees)).cast("int"))
+        .orderBy("_draw", *columns).limit(trees * sample_rows)
     )
+    # a window over the rows drawn, which are bounded
+    ring = Window.orderBy("_draw", *columns)
+    ranked = drawn.withColumn("_rank", F.row_number().over(ring) - 1).withColumn("_drawn", F.count(F.lit(1)).over(Window.partitionBy()))
+    takes = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.col("_rank") - t * sample_rows, F.col("_drawn")) < sample_rows)
+    dealt = ranked.withColumn("_tree", F.explode(takes)).drop("_rank", "_drawn")
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values("_draw")[columns].to_numpy()[:sample_rows]
+        rows = group.sort_values(["_draw", *columns])[columns].to_numpy()
         return _grow(int(group["_tree"].iloc[0]), rows, seed)
 
-    return drawn.groupBy("_tree").applyInPandas(grow, NODE)
+    return dealt.groupBy("_tree").applyInPandas(grow, NODE)
 
 
 def score(features: DataFrame, forest: DataFrame, columns: list[str] | None = None,

@@ -6,7 +6,7 @@ import __spark_entry__ as entry_points
 from checks.compare import database, difference
 
 QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
-SLOW = {"m04_speed_and_class_forecasts", "m01_congestion_model_quality", "t14_live_pipeline"}
+SLOW = {"m04_speed_and_class_forecasts", "m01_congestion_model_quality", "m04_forecasts_held_out", "t14_live_pipeline"}
 
 
 @pytest.fixture(scope="module")
