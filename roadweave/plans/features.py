@@ -9,12 +9,26 @@ from roadweave.functions import features as ft
 from roadweave.functions.geo import with_district, with_message_district
 from roadweave.operators.sizing import broadcast_if_small
 from roadweave.plans import stats as st
+from roadweave.session import checkpoint_dir
 
 
 def class_index(readings: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct values with their 0-based index: the label encoding of ``column``."""
-    values = readings.select(column).filter(F.col(column).isNotNull()).distinct()
-    return values.withColumn("index", F.row_number().over(Window.orderBy(column)) - 1)
+    """Sorted distinct values with their 0-based index: the label encoding of ``column``.
+
+    The values are dealt by range, numbered within their range, and moved up by the counts of the ranges before.
+    The distinct values are checkpointed, as their ranges must not change between the count and the numbering.
+    """
+    checkpoint_dir(readings.sparkSession)
+    values = (
+        readings.select(column).filter(F.col(column).isNotNull()).distinct()
+        .repartitionByRange(column).withColumn("_range", F.spark_partition_id()).checkpoint()
+    )
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = values.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(column))
+    return values.withColumn("_within", within).join(offsets, "_range").select(
+        column, (F.col("_offset") + F.col("_within") - 1).cast("int").alias("index"))
 
 
 def encode(df: DataFrame, column: str, index: DataFrame, unknown: int, name: str) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from roadweave.operators.asof import asof_join
 from roadweave.operators.band import nearest_in_band
-from roadweave.operators.cooldown import suppress_repeats
+from roadweave.operators.cooldown import _with_pieces, suppress_repeats
 from roadweave.operators.lags import with_lags, with_position
 from roadweave.operators.latest import latest_per_key, previous_period, recent_per_key, since
 from roadweave.operators.quantiles import quantiles
 from roadweave.operators.sizing import broadcast_if_small, hot_keys, salt_of
+from roadweave.plans.features import class_index
 
 START = datetime(2024, 1, 1)
 
@@ -112,6 +113,29 @@ def test_cooldown_equals_the_sequential_rule(spark, cooldown, block, step):
     assert {r["id"] for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("cooldown, most", [(600, 50), (30, 200), (90_000, 20)])
+def test_cooldown_of_a_hot_key_and_day(spark, cooldown, most):
+    """Nine tenths of the rows in one key and day, cut into pieces of at most ``most`` instants."""
+    draw = random.Random(most)
+    rows = [("hot", at(86_400 + draw.randrange(86_400) ** 2 / 86_400), i) for i in range(1800)]
+    rows += [(f"k{draw.randrange(3)}" if i % 2 else "hot", at(draw.randrange(4 * 86_400)), i) for i in range(1800, 2000)]
+    got = suppress_repeats(spark.createDataFrame(rows, "key string, ts timestamp, id long"), ["key"], "ts", "id", cooldown, most_instants=most)
+    last, expected = {}, set()
+    for key, ts, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        if key not in last or ts - last[key] >= timedelta(seconds=cooldown):
+            last[key] = ts
+            expected.add(i)
+    assert {r["id"] for r in got.collect()} == expected
+
+
+def test_pieces_of_a_hot_day_are_of_like_size(spark):
+    days = spark.range(90_000).selectExpr("'hot' AS key", "0L AS _block", "id * 900000 AS _t", "id AS _first").unionByName(
+        spark.range(10_000).selectExpr("concat('k', id % 10)", "id % 3", "(id % 3) * 86400000000 + id * 8000000", "id").toDF("key", "_block", "_t", "_first"))
+    pieces = _with_pieces(days, ["key", "_block"], 86_400_000_000, 2_000)
+    sizes = sorted(r["count"] for r in pieces.groupBy("key", "_block", "_node").count().collect())
+    assert sum(sizes) == 100_000 and sizes[-1] <= 2_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
 def test_cooldown_boundary(spark):
     rows = [("a", at(0), 1), ("a", at(599), 2), ("a", at(600), 3), ("a", at(1199), 4), ("b", at(1), 5)]
     got = suppress_repeats(spark.createDataFrame(rows, "key string, ts timestamp, id long"), ["key"], "ts", "id", 600)
@@ -134,6 +158,32 @@ def test_band_join_equals_brute_force(spark):
     assert {r["near_road"]: r["id"] for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("most", [5, 100])
+def test_band_join_with_a_dense_cell(spark, most):
+    """Nine tenths of the events at different coordinates of one cell."""
+    draw = random.Random(most)
+    radius = 0.5
+    events = [(i, 10 + draw.random() ** 3 * 0.4, 20.3 + draw.random() * 0.05, i % 5) for i in range(900)]
+    events += [(i, 8 + draw.randrange(40) / 10, 18 + draw.randrange(40) / 10, i % 5) for i in range(900, 1000)]
+    places = [(f"p{i}", 9 + draw.randrange(200) / 100, 19 + draw.randrange(200) / 100) for i in range(150)] + [("far", 50.0, 50.0), ("none", None, 1.0)]
+    got = nearest_in_band(spark.createDataFrame(places, "name string, lat double, lon double"),
+                          spark.createDataFrame(events, "id long, lat double, lon double, kind int"), "name", ["kind", "id"], radius, most)
+    expected = {}
+    for name, lat, lon in places:
+        near = [] if lat is None else [(abs(y - lat) + abs(x - lon), kind, i) for i, y, x, kind in events if abs(y - lat) < radius and abs(x - lon) < radius]
+        if near:
+            expected[name] = (min(near)[2], min(near)[0])
+    assert {r["near_road"]: (r["id"], r["distance"]) for r in got.collect()} == expected
+
+
+def test_labels_are_numbered_over_many_ranges(spark):
+    rows = spark.range(5_000).selectExpr("CASE WHEN id % 11 = 0 THEN NULL ELSE concat('v', (id * 7919) % 1000) END AS v").repartition(13)
+    index = class_index(rows, "v")
+    values = sorted({r["v"] for r in rows.collect()} - {None})
+    assert {r["v"]: r["index"] for r in index.collect()} == {v: i for i, v in enumerate(values)}
+    assert class_index(rows.limit(0), "v").count() == 0
+
+
 @pytest.mark.parametrize("bins", [3, 25, 1024])
 def test_quantiles_equal_numpy(spark, bins):
     rows = series(500) + [("single", at(0), 900, 4.5), ("none", at(0), 901, None), ("neg", at(0), 902, -3.25), ("neg", at(0), 903, -1.0)]
