@@ -226,3 +226,20 @@ def test_top_k_equals_sorting_everything(spark, block, bits):
     assert sorted(tuple(row) for row in found.collect()) == sorted(wanted)
     assert top_k.top_k(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert top_k.top_k(vectors, F.lit(False)).count() == 0
+
+
+def test_top_k_of_large_components_is_exact(spark):
+    """Components beyond 2^25, sums beyond 62 bits, scores beyond a long, beside small ones."""
+    r = random.Random(7)
+    rows = [(i, [r.choice([-1.0, -0.3, 0.26, 1.0]) * (r.choice([1.0, 4e7, 3e7]) if i % 3 else 1.0) for _ in range(8)]) for i in range(45)]
+    rows += [(60, [3.0e7] * 8), (61, [3.0e7] * 8), (62, [-3.0e7] * 8), (80, [1e300, 1.0] + [0.0] * 6), (81, [1e308, -1.0] + [0.0] * 6), (82, [0.0, 2.0**40 + 3] + [0.0] * 6),
+             (83, [0.0, 2.0**40 + 2] + [0.0] * 6)]
+    vectors = corpus_session(spark).createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = top_k.top_k(vectors, F.col("vec_id") % 20 == 0, top_k.Settings(block_queries=3))
+    whole = {i: [int(np.floor(x)) if x > 1e17 else int(np.floor(64 * x)) for x in v] for i, v in rows}
+    whole = {i: [64 * x if x > 1e17 else x for x in v] for i, v in whole.items()}
+    wanted = []
+    for query in (i for i in whole if i % 20 == 0):
+        scores = {i: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[query], v)))) for i, v in whole.items() if i != query}
+        wanted += [(query, rank, i, scores[i]) for rank, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:20], 1)]
+    assert sorted(tuple(row) for row in found.collect()) == sorted(wanted)
