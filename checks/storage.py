@@ -161,15 +161,24 @@ def stream_late_rows(spark, path):
 select reading_id, location_name, buffered, buffered >= 144 as is_warm, {', '.join(r(c, 4) + ' as ' + c for c in _LAG_NAMES)} from lg
 where request_time >= timestamp '2024-01-20'""")
 def restored_lags(spark, path):
-    """A new stream from the 20th on, its state warmed up with the rows before."""
+    """A stream up to the 20th; its buffers are saved as a table, from which a stream of another width goes on."""
     state.use_rocksdb(spark)
     root = folder(spark)
     events = spark.read.parquet(f"{path}/events.parquet")
-    before, after = events.filter("ts < '2024-01-20'"), events.filter("ts >= '2024-01-20'")
-    after.write.parquet(f"{root}/in")
-    held = t.with_ratio(t.as_readings(before)).select(
-        "location_name", F.col("request_time").alias("event_time"), "current_speed", "congestion_ratio", "road_closure")
-    rows = t.with_ratio(t.as_readings(spark.readStream.schema(events.schema).parquet(f"{root}/in"))).withColumn("event_time", F.col("request_time"))
-    finished(jobs.start(state.stream_lags(rows, held), root, "road_lags", f"{root}/state", once=True))
+    events.filter("ts < '2024-01-20'").write.parquet(f"{root}/before")
+    events.filter("ts >= '2024-01-20'").write.parquet(f"{root}/after")
+
+    def run(part, held, target):
+        rows = t.with_ratio(t.as_readings(spark.readStream.schema(events.schema).parquet(f"{root}/{part}"))).withColumn("event_time", F.col("request_time"))
+        finished(jobs.start(state.stream_lags(rows, held), target, "road_lags", f"{root}/state_{part}", once=True))
+
+    run("before", None, f"{root}/earlier")
+    state.buffer_snapshot(spark, f"{root}/state_before").write.parquet(f"{root}/buffers")
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", int(width) + 3)
+        run("after", spark.read.parquet(f"{root}/buffers"), root)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
     return stored(spark, root, "road_lags").select(
         "reading_id", "location_name", "buffered", "is_warm", *[rounded(F.col(c), 4).alias(c) for c in _LAG_NAMES])

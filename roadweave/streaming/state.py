@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from roadweave import fixed_values as fv
@@ -35,7 +36,8 @@ class LagBuffer(StatefulProcessor):
         self.rows = handle.getListState("rows", BUFFER)
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        held = initialState.sort_values("event_time").tail(fv.BUFFER_ROWS)
+        order = "position" if "position" in initialState else "event_time"
+        held = initialState.sort_values(order, kind="stable").tail(fv.BUFFER_ROWS)
         self.rows.put([(r.event_time.to_pydatetime(), r.current_speed, r.congestion_ratio, bool(r.road_closure))
                        for r in held.itertuples()])
 
@@ -62,7 +64,10 @@ class LagBuffer(StatefulProcessor):
 
 
 def stream_lags(readings: DataFrame, backfill: DataFrame | None = None) -> DataFrame:
-    """Lag features on a stream.  ``backfill`` (recent buffer records per road) warms new state up."""
+    """Lag features on a stream.
+
+    ``backfill`` warms new state up: recent buffer records per road, or what ``buffer_snapshot`` saved of another stream.
+    """
     needed = readings.select("location_name", "reading_id", "event_time", "current_speed", "congestion_ratio", "road_closure")
     initial = None if backfill is None else backfill.groupBy("location_name")
     return needed.groupBy("location_name").transformWithStateInPandas(
@@ -70,6 +75,18 @@ def stream_lags(readings: DataFrame, backfill: DataFrame | None = None) -> DataF
         initialState=initial)
 
 
+def buffer_snapshot(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """The buffers of all roads that a lag stream holds after ``batch`` (or its last one), each row with its place in the buffer.
+
+    Read from the state store of the stream's checkpoint, partition by partition; the stream may be running. Stored as a
+    table it starts a stream with a new checkpoint, also with another number of shuffle partitions, which a checkpoint fixes.
+    """
+    held = spark.read.format("statestore").options(stateVarName="rows", flattenCollectionTypes="false")
+    held = held if batch is None else held.option("batchId", batch)
+    return held.load(checkpoint).select("key.location_name", F.posexplode("list_value").alias("position", "held")).select(
+        "location_name", "position", "held.*")
+
+
 ALERT_OUTPUT = ("alert_id bigint, triggered_at timestamp, location_name string, kind string, severity string, "
                 "alert_type string, message string")
 ALERT_COLUMNS = [part.split()[0] for part in ALERT_OUTPUT.split(", ")]

@@ -91,6 +91,29 @@ def alert(i, minutes, severity="info"):
     return (i, START + timedelta(minutes=minutes), "A", "K", severity, f"{severity}:K", "m")
 
 
+def test_buffers_saved_and_moved_to_a_stream_of_another_width(spark, root):
+    """Equal times keep their order; the snapshot of an earlier batch can be read too."""
+    rows = [reading(i, i // 3, "AB"[i % 2], float(i)) for i in range(400)]
+    feed(spark, root, rows[:150])
+    run(state.stream_lags(stream(spark, root)), root, "road_lags")
+    feed(spark, root, rows[150:380])
+    run(state.stream_lags(stream(spark, root)), root, "road_lags")
+    early, late = (state.buffer_snapshot(spark, f"{root}/state_road_lags", b).groupBy("location_name").count().collect() for b in (0, None))
+    assert {r["count"] for r in early} == {75} and {r["count"] for r in late} == {fv.BUFFER_ROWS}
+    state.buffer_snapshot(spark, f"{root}/state_road_lags").write.parquet(f"{root}/buffers")
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    feed(spark, f"{root}/more", rows[380:])
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 3)
+        run(state.stream_lags(stream(spark, f"{root}/more"), spark.read.parquet(f"{root}/buffers")), f"{root}/more", "road_lags")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    for r in rows_of(spark, f"{root}/more", "road_lags").collect():
+        own = [x for x in rows if x[2] == r["location_name"] and x[0] <= r["reading_id"]]
+        assert r["buffered"] == fv.BUFFER_ROWS
+        assert [r[f"speed_lag_{label}"] for label in fv.LAG_ROWS] == [own[-1 - back][3] for back in fv.LAG_ROWS.values()]
+
+
 def test_cooldown_state_across_batches(spark, root):
     for part in ([alert(1, 0), alert(2, 5)], [alert(3, 9.99), alert(4, 10, "critical")], [alert(5, 19)], [alert(6, 60), alert(7, 61)]):
         feed(spark, root, part, ALERT)
