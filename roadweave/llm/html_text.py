@@ -6,10 +6,11 @@ marks a block) are fused, smoothed along the page, and give every block a mass.
 of the mass below it is followed down to the content; paths there are kept, but for
 plain containers with a far smaller mass a character than the best one, be they long or short. What a
 tag, role, class or id names as a menu, header, footer, sidebar, notice, advert, form or comment has no mass,
-unless the page would be left with little else.
+unless the page would be left with little else and no article or main part. Inside content, words that name an
+article's own sections as well (related, promotion, ...) count only if none but words for lists follow them.
 
 Defined cases: null, empty and markup-only pages give an empty text; unclosed tags, comments and truncated pages end
-with the page; a page without any tag is one block; repeated pages count each; whole pages are read, of any length.
+with the page, but unclosed buttons, lists of choices and media are taken for empty ones; a page without any tag is one block; repeated pages count each; whole pages are read, of any length.
 """
 
 from __future__ import annotations
@@ -28,7 +29,10 @@ BLOCK_TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th "
     "thead tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea title iframe object svg math canvas video audio select button datalist".split())
+RAW_TAGS = frozenset(
+    "script style noscript template textarea title iframe object svg canvas video audio select button datalist annotation "
+    "annotation-xml".split())
+TO_THE_END = frozenset("script style noscript textarea title".split())  # unclosed, these hold the rest of the page
 NO_CONTENT_TAGS = frozenset("head nav footer aside form menu dialog search fieldset".split())
 CONTENT_TAGS = frozenset("article main".split())
 PLAIN_TAGS = frozenset("div section center table".split())
@@ -44,6 +48,13 @@ NO_CONTENT_NAMES = frozenset(
     "navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion rail recommended related "
     "replies reply respond responses share sharebar sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar "
     "topbar widget widgets".split())
+# words that also name sections of articles: there they count only if no other words than those for lists and the like follow
+UNSURE_NAMES = frozenset("promoted promotion rail recommended related share sharing social discussion feedback response responses skip".split())
+LIST_NAMES = frozenset(
+    "area article articles bar block body box button buttons by col column container content count entries for icon icons inner item items links "
+    "list media news on pages panel post posts reading region section stories story this title topics with wrap wrapper you".split())
+BESIDE = LIST_NAMES | UNSURE_NAMES | NO_CONTENT_NAMES
+WITHOUT, STATES = frozenset("with without has no".split()), frozenset("open closed enabled disabled".split())
 CONTENT_NAMES = frozenset("article articlebody content entry main post story text".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _TAG = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
@@ -53,11 +64,24 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 BY_TAG, BY_NAME = 1, 2
 
 
+def _named_words(value: str, within: bool) -> list[str]:
+    """Words of a class or id that say what the element is: not what it has, lacks or allows."""
+    words: list[str] = []
+    for token in value.split():
+        own = [n.lower() for n in _NAME.findall(token)]
+        if len(own) > 1 and (own[0] in WITHOUT or own[-1] in STATES):
+            continue
+        if within and len(own) > 1:
+            own = [n for i, n in enumerate(own) if n not in UNSURE_NAMES or all(o in BESIDE or o.isdigit() for o in own[i + 1 :])]
+        words += own
+    return words
+
+
 class _Node:
-    __slots__ = ("tag", "path", "parent", "out", "content")
+    __slots__ = ("tag", "path", "parent", "out", "content", "head")
 
-    def __init__(self, tag: str, path: str, parent: "_Node | None", out: int, content: bool):
-        self.tag, self.path, self.parent, self.out, self.content = tag, path, parent, out, content
+    def __init__(self, tag: str, path: str, parent: "_Node | None", out: int, content: bool, head: bool = False):
+        self.tag, self.path, self.parent, self.out, self.content, self.head = tag, path, parent, out, content, head
 
 
 def _node(tag: str, attributes: str, parent: _Node) -> _Node:
@@ -65,13 +89,15 @@ def _node(tag: str, attributes: str, parent: _Node) -> _Node:
     out, content, label = parent.out, tag in CONTENT_TAGS, tag
     if tag in NO_CONTENT_TAGS or tag == "header" and not _within_content(parent):
         out |= BY_TAG
+    head = tag == "header"
     if attributes and tag not in ("html", "body"):
+        within = _within_content(parent)
         names: list[str] = []
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
             if name in ("class", "id"):
                 label += ("." if name == "class" else "#") + value.strip().lower()
-                names += [n.lower() for n in _NAME.findall(value)]
+                names += _named_words(value, within)
             elif name == "role":
                 content = content or value.lower() == "main"
                 out |= BY_TAG * (value.lower() in NO_CONTENT_ROLES)
@@ -81,11 +107,14 @@ def _node(tag: str, attributes: str, parent: _Node) -> _Node:
                     name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 out |= BY_TAG
         if tag not in CONTENT_TAGS:
-            if any(n in NO_CONTENT_NAMES for n in names):
+            ruled = {n for n in names if n in NO_CONTENT_NAMES}
+            if within and ruled == {"header"}:
+                head = True
+            elif ruled:
                 out |= BY_NAME
             elif names and any(n in CONTENT_NAMES for n in names):
                 content = True
-    return _Node(tag, parent.path + "/" + label, parent, out, content)
+    return _Node(tag, parent.path + "/" + label, parent, out, content, head)
 
 
 def _within_content(node: _Node | None) -> bool:
@@ -100,6 +129,7 @@ def blocks_of(page: str) -> list[tuple[_Node, str]]:
     """The page's blocks of text in order, each with the element it ends a path at."""
     root = _Node("", "", None, 0, False)
     stack, found, pieces = [root], [], []
+    unclosed: set[str] = set()
 
     def flush() -> None:
         if pieces:
@@ -137,9 +167,12 @@ def blocks_of(page: str) -> list[tuple[_Node, str]]:
                         del stack[depth:]
                         break
         elif tag in RAW_TAGS:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and tag not in unclosed:
                 end = re.compile(f"</{re.escape(tag)}(?:[\\s/][^>]*)?(?:>|\\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if not end and tag not in TO_THE_END:
+                    unclosed.add(tag)
+                else:
+                    at = end.end() if end else len(page)
         elif tag == "br":
             end_run()
         elif tag in BLOCK_TAGS:
@@ -258,10 +291,11 @@ def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by line feeds."""
     every = blocks_of(page or "")
     # in the header of an article only its headings count
-    every = [b for b in every if not any(n.tag == "header" for n in _line(b[0])) or b[0].tag in HEADINGS or b[0].out]
+    every = [b for b in every if not any(n.head for n in _line(b[0])) or b[0].tag in HEADINGS or b[0].out]
     named = [b for b in every if not b[0].out]
     blocks = [b for b in every if not b[0].out & BY_TAG]
-    if sum(len(t) for _, t in named) >= 0.05 * sum(len(t) for _, t in blocks) or not blocks:
+    if any(n.tag in CONTENT_TAGS for b in named for n in _line(b[0])) or (
+            sum(len(t) for _, t in named) >= 0.05 * sum(len(t) for _, t in blocks)) or not blocks:
         blocks = named
     if not blocks:
         return ""

@@ -56,17 +56,17 @@ def known_licences(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN, di
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, unit, licence, hits): licences that a document is (unit `document`) or has as lines (unit `line`)."""
-    lines = docs.select("doc_id", canonical_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
-    counted = F.transform(F.array_distinct("lines"), lambda x: F.struct(
-        F.lit("line").alias("unit"), _digest(x).alias("digest"), F.size(F.filter("lines", lambda y: y == x)).alias("hits")))
-    units = lines.select("doc_id", F.inline(F.concat(counted, F.array(F.struct(
-        F.lit("document").alias("unit"), _digest(F.array_join("lines", " ")).alias("digest"), F.lit(1).alias("hits"))))))
+    lines = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", canonical_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+    each = F.transform("lines", lambda x: F.struct(F.lit("line").alias("unit"), _digest(x).alias("digest")))
+    whole = F.struct(F.lit("document").alias("unit"), _digest(F.array_join("lines", " ")).alias("digest"))
+    units = lines.select("row", "doc_id", F.inline(F.concat(each, F.array(whole))))
     few = known.count() <= BROADCAST_ROWS
-    return units.join(F.broadcast(known) if few else known, "digest").select(
-        "doc_id", "unit", "licence", F.col("hits").cast("long").alias("hits"))
+    # only what is known is left to be counted
+    return units.join(F.broadcast(known) if few else known, "digest").groupBy("row", "doc_id", "unit", "licence", "digest").agg(
+        F.count("*").alias("hits")).select("doc_id", "unit", "licence", "hits")
 
 
-def scan_sql(texts: list[tuple[str, str]] = KNOWN) -> str:
+def scan_sql(texts: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS) -> str:
     """The same scan of `documents` as a DuckDB statement."""
     line = "lower(x)"
     for old, new in SPELLINGS.items():
@@ -74,9 +74,12 @@ def scan_sql(texts: list[tuple[str, str]] = KNOWN) -> str:
     lines = (f"list_filter(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(lower(x), '{COPYRIGHT_LINE}') "
              f"THEN '' ELSE trim(regexp_replace({line}, '{OTHER}', ' ', 'g')) END), lambda x: x <> '')")
     values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in texts)
+    more = ", ".join(f"('{name}', '{digest}')" for name, digest in digests)
     return f"""
-WITH known AS (SELECT DISTINCT licence, array_to_string({lines}, ' ') AS canonical FROM (VALUES {values}) AS t(licence, text)),
+WITH known AS (SELECT licence, sha256(canonical) AS digest FROM (SELECT licence, array_to_string({lines}, ' ') AS canonical
+        FROM (VALUES {values}) AS t(licence, text)) WHERE canonical <> ''
+    UNION SELECT licence, digest FROM (VALUES {more}) AS t(licence, digest)),
 d AS (SELECT row_number() OVER () AS row, doc_id, {lines} AS lines FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, 'document' AS unit, array_to_string(lines, ' ') AS canonical, 1 AS hits FROM d
     UNION ALL SELECT doc_id, 'line', x, count(*) FROM (SELECT row, doc_id, unnest(lines) AS x FROM d) GROUP BY row, doc_id, x)
-SELECT doc_id, unit, licence, hits::BIGINT AS hits FROM u JOIN known USING (canonical) WHERE canonical <> ''"""
+SELECT doc_id, unit, licence, hits::BIGINT AS hits FROM u JOIN known ON known.digest = sha256(u.canonical) WHERE canonical <> ''"""

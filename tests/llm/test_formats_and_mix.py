@@ -163,3 +163,24 @@ def test_pipeline_stages(spark):
 
 def test_the_language_stage_drops_what_has_no_language():
     assert language_id.UNKNOWN == "und" and corpus_pipeline.LEAST_LANGUAGE_SCORE < 1
+
+
+TEASERS = "<ul class=teasers>" + "".join(f"<li><a href=x>Teaser number {i} of today</a></li>" for i in range(8)) + "</ul>"
+BODY = "<p>The first paragraph tells, at some length, what this is about.</p><p>The second one goes on, and ends here.</p>"
+PLAIN = "The first paragraph tells, at some length, what this is about.\nThe second one goes on, and ends here."
+
+
+@pytest.mark.parametrize("page,wanted", [
+    (f'<body>{TEASERS}<div class="content with-sidebar">{BODY}</div></body>', PLAIN),
+    (f'<body><nav>{TEASERS}</nav><div id=page class="no-banner has-comments"><article>{BODY}</article></div></body>', PLAIN),
+    (f'<body><nav>{TEASERS}</nav><div class="post comments-open">{BODY}</div></body>', PLAIN),
+    (f'<article>{BODY}<section id="related-work"><p>Others did it before.</p></section></article>', PLAIN + "\nOthers did it before."),
+    (f'<main>{BODY}<section id="promotion-and-relegation"><p>Two go up.</p></section></main>', PLAIN + "\nTwo go up."),
+    (f'<article>{BODY}<p class="recommended-dose">One a day.</p></article>', PLAIN + "\nOne a day."),
+    (f'<article><div class="entry-header"><h1>Title</h1><span>by me</span></div>{BODY}</article>', "Title\n" + PLAIN),
+    (f'<article>{BODY}<div class="related-posts"><p>Read this too.</p></div><div class="related"><p>And this.</p></div><div class="wp-social-share"><p>Tell others.</p></div></article>', PLAIN),
+    (f'<article>{BODY}</article><div class=comments>' + "<p>I do not agree with any of this, at all, and never did.</p>" * 200 + "</div>", PLAIN),
+    (f'<article><button>Buy{BODY}<math><mi>x</mi></math></article>', "Buy\n" + PLAIN + "\nx"),
+])
+def test_main_text_of_named_elements(page, wanted):
+    assert html_text.main_text(page) == wanted

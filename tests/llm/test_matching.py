@@ -208,6 +208,15 @@ def test_whole_licence_texts_are_known(spark):
     assert found.where("unit = 'document'").count() == len(docs) - 1
 
 
+def test_licence_scan_of_many_lines(spark):
+    """A document of 100,000 different lines, with known ones among them, repeated as a row."""
+    lines = [f"line number {i}" for i in range(100_000)]
+    lines[500] = lines[70_000] = "Released under the MIT License"
+    docs = corpus_session(spark).createDataFrame([(1, "\n".join(lines), 0)] * 2, "doc_id long, text string, row int")
+    known = licences.known_licences(spark, [("MIT", "released under the mit licence")], [])
+    assert [tuple(r) for r in licences.scan(docs, known).collect()] == [(1, "line", "MIT", 2)] * 2
+
+
 @pytest.mark.parametrize("block,bits", [(3, 7), (4096, 2)])
 def test_top_k_equals_sorting_everything(spark, block, bits):
     r = random.Random(6)
