@@ -6,6 +6,7 @@ exact hits of all pieces (one automaton over all of them, one pass over each tex
 edit distance decides.
 
 The benchmark goes to the tasks in blocks of bounded size, one pass over the documents each; documents never move.
+What a block gives is written before the next but one is read, so the driver holds two blocks at most.
 
 Defined cases: null or empty items match nothing, null or empty texts hold nothing; items with the same text are
 reported each, repeated documents too; a text is searched whole, whatever its length; of several passages the nearest
@@ -17,13 +18,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from roadweave.llm.common import with_results
+from roadweave.llm.common import stored, with_results
 
 
 @dataclass(frozen=True)
@@ -158,16 +160,18 @@ def _with_hits(docs: DataFrame, items: list[tuple[int, str]], settings: Settings
 
 def matches(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row (doc_id, item_id, distance, end) for each document and each benchmark item that it holds."""
-    found = None
+    found: list[DataFrame] = []
     for block in item_blocks(items, settings):
-        rows = _with_hits(docs.select("doc_id", "text"), block, settings, "hits", False).select("doc_id", F.inline("hits"))
-        found = rows if found is None else found.unionByName(rows)
-    return found
+        if found:
+            found[-1] = stored(found[-1])
+        found.append(_with_hits(docs.select("doc_id", "text"), block, settings, "hits", False).select("doc_id", F.inline("hits")))
+    return reduce(DataFrame.unionByName, found)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that hold no benchmark item, with their columns."""
     columns = docs.columns
-    for block in item_blocks(items, settings):
+    for k, block in enumerate(item_blocks(items, settings)):
+        docs = stored(docs) if k else docs
         docs = _with_hits(docs, block, settings, "__leaked", True).where("NOT __leaked").select(*[f"`{c}`" for c in columns])
     return docs

@@ -283,17 +283,22 @@ class _Search:
                                 [StructField("samples", ArrayType(IntegerType())), StructField("bands", ArrayType(LongType()))], sketch)
         self.rows = stored(sketched.select("doc_id", "digest", "samples", "bands"))
         self.nodes = stored(self.rows.where("digest IS NOT NULL").groupBy("digest")
-                            .agg(F.min("doc_id").alias("holder"), F.first("samples").alias("samples"), F.first("bands").alias("bands"))
+                            .agg(F.min("doc_id").alias("holder"), F.count("*").alias("copies"), F.first("samples").alias("samples"),
+                                 F.first("bands").alias("bands"))
                             .withColumn("node", F.monotonically_increasing_id()))
         members = self.nodes.select(F.posexplode("bands").alias("place", "band"), "node")
         shared = members.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
         self.members = stored(members.join(shared, "band").select("band", "place", "node", "least"))
-        wanted = self.nodes.join(self.members.select("node").distinct(), "node", "left_semi").select("node", "digest", "holder")
+        wanted = self.nodes.join(self.members.select("node").distinct(), "node", "left_semi").select(
+            "node", "digest", "holder", "copies")
         key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("digest", "doc_id")]
         texts = rows.withColumn("digest", F.md5(F.col("text").cast("binary"))).where("digest IS NOT NULL")
-        self.texts = stored(texts.select(F.concat(*key).alias("key"), "text").join(
-            wanted.select("node", F.concat("digest", F.coalesce(F.col("holder").cast("string"), F.lit(""))).alias("key")), "key")
-            .select("node", "text"))
+        held = stored(texts.select(F.concat(*key).alias("key"), "text").join(
+            wanted.select("node", "copies", F.concat("digest", F.coalesce(F.col("holder").cast("string"), F.lit(""))).alias("key")), "key")
+            .select("node", "copies", "text"))
+        # rows may repeat with their ids: one text stands for a node
+        repeated = stored(held.where("copies > 1").select("node", "text").dropDuplicates(["node"]))
+        self.texts = held.where("copies = 1").select("node", "text").unionByName(repeated)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough; the texts of those whose samples tell it apart are not read."""
@@ -431,11 +436,17 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row of each class with all columns of `docs`: that of the least doc_id, then digest; rows without text stay."""
+    """One row of each class with all columns of `docs`: that of the least doc_id, then digest, then the other columns
+    in their order (maps as JSON), nulls first; rows without text stay."""
     key = F.concat(F.md5(F.col("text").cast("binary")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     kept = near_duplicates(docs, settings).where("digest IS NOT NULL").groupBy("class_digest").agg(
         F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "digest")).alias("row"))
     kept = kept.select(F.concat("row.digest", F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))).alias("__key"))
     named = docs.withColumn("__key", key)
     rest = named.where("__key IS NULL")
-    return named.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).unionByName(rest).drop("__key")
+    rows = named.join(kept, "__key", "left_semi")
+    order = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+             for f in docs.schema if f.name not in ("doc_id", "text")]
+    whole = F.struct(*[f"`{c}`" for c in docs.columns])
+    least = rows.groupBy("__key").agg(F.min_by(whole, F.struct(F.lit(0).alias("first"), *order)).alias("row")).select("row.*")
+    return least.unionByName(rest.drop("__key"))

@@ -170,6 +170,40 @@ def test_classes_with_null_or_repeated_ids_stay_apart(spark):
     assert sorted(map(str, map(tuple, found))) == sorted(map(str, [(None, None, 1, 1, 1), (None, None, 2, 2, 2), (7, 7, 1, 1, 1), (7, 7, 3, 3, 3)]))
 
 
+def test_repeated_rows_are_one_text_of_their_node(spark):
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(80)]
+    near = [" ".join(words), " ".join([*words, "end"])]
+    rows = [(n, text) for n, text in enumerate(near) for _ in range(300)] + [(None, near[0])] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    search = near_duplicates._Search(corpus_session(spark) and docs, near_duplicates.Settings())
+    assert sorted(row["text"] for row in search.texts.collect()) == sorted(near)
+    classes = near_duplicates.near_duplicates(docs).collect()
+    assert len(classes) == len(rows) and {(row["class_id"], row["class_rows"]) for row in classes} == {(0, len(rows))}
+
+
+def test_of_equal_ids_and_texts_the_least_other_columns_stay(spark):
+    text = "the same words in every row of this small table of copies"
+    rows = [(1, text, lang, {"k": source}, source) for lang in ("en", "de", None) for source in ("b", "a")] * 3 + [(2, text, "aa", None, "a")]
+    schema = "doc_id long, text string, lang string, tags map<string,string>, `so.urce` string"
+    for parts in (1, 3, 7):
+        docs = corpus_session(spark) and spark.createDataFrame(rows, schema).repartition(parts)
+        assert [tuple(row) for row in near_duplicates.one_of_each(docs).collect()] == [(1, text, None, {"k": "a"}, "a")]
+
+
+def test_a_benchmark_of_several_blocks(spark):
+    items = [(i, f"item number {i} asks for the capital of land {i * 7} and its river") for i in range(40)]
+    docs = [(d, f"start {items[d % 40][1]} end" if d % 3 else "nothing of it") for d in range(60)]
+    tables = [spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")]
+    found = []
+    for size in (10**6, 300):
+        settings = decontaminate.Settings(error_rate=0.0, block_chars=size)
+        kept = decontaminate.without_leaks(tables[1], tables[0], settings).collect()
+        assert sorted(row["doc_id"] for row in kept) == [d for d, _ in docs if d % 3 == 0]
+        found.append(sorted((row["doc_id"], row["item_id"]) for row in decontaminate.matches(tables[1], tables[0], settings).collect()))
+    assert found == [[(d, d % 40) for d, _ in docs if d % 3]] * 2
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     empty = corpus_session(spark).createDataFrame([], "doc_id long, text string")
     assert near_duplicates.near_duplicates(empty).count() == 0 and near_duplicates.one_of_each(empty).count() == 0
