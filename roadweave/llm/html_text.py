@@ -3,8 +3,9 @@
 A page becomes a list of blocks (stretches of text between block-level tags), each at the end of a path of tags from
 the root. Per path, text length and punctuation are summed over its blocks; the two ratios (characters and punctuation
 marks a block) are fused, smoothed along the page, and give every block a mass. From the root, the path that holds most
-of the mass below it is followed down to the content; paths there are kept, but for
-plain containers with a far smaller mass a character than the best one, be they long or short. What a
+of the mass below it is followed down to the content, as long as all beside it has a far smaller mass a character, so that no
+running text is passed by; paths there are kept, but for plain containers with a far smaller mass a character than the best
+one, be they long or short. Headings just before the content, and its title in a container of its own, belong to it. What a
 tag, role, class or id names as a menu, header, footer, sidebar, notice, advert, form or comment has no mass,
 unless the page would be left with little else and no article or main part. Inside content, words that name an
 article's own sections as well (related, promotion, ...) count only if none but words for lists follow them.
@@ -77,21 +78,42 @@ def _named_words(value: str, within: bool) -> list[str]:
     return words
 
 
+class _Paths:
+    """The tag paths of a page, numbered so that a path comes after its parent; equal labels below one parent are one path."""
+
+    def __init__(self):
+        self.known: dict[tuple[int, str], int] = {}
+        self.parents, self.tags, self.labels = [0], [""], [""]
+
+    def below(self, parent: int, tag: str, label: str) -> int:
+        path = self.known.setdefault((parent, label), len(self.parents))
+        if path == len(self.parents):
+            self.parents.append(parent)
+            self.tags.append(tag)
+            self.labels.append(label)
+        return path
+
+
 class _Node:
-    __slots__ = ("tag", "path", "parent", "out", "content", "head")
+    """An open element: `within`, `tagged` and `head` also hold for all that is below it."""
+
+    __slots__ = ("tag", "path", "parent", "out", "content", "within", "tagged", "head")
 
-    def __init__(self, tag: str, path: str, parent: "_Node | None", out: int, content: bool, head: bool = False):
-        self.tag, self.path, self.parent, self.out, self.content, self.head = tag, path, parent, out, content, head
+    def __init__(self, tag: str, path: int, parent: "_Node | None", out: int = 0, content: bool = False, head: bool = False):
+        self.tag, self.path, self.parent, self.out, self.content = tag, path, parent, out, content
+        self.within = content or parent is not None and parent.within
+        self.tagged = tag in CONTENT_TAGS or parent is not None and parent.tagged
+        self.head = head or parent is not None and parent.head
 
 
-def _node(tag: str, attributes: str, parent: _Node) -> _Node:
+def _node(tag: str, attributes: str, parent: _Node, paths: _Paths) -> _Node:
     """An open block-level element: its path, whether it is ruled out (a bit for each reason), whether it is named as content."""
     out, content, label = parent.out, tag in CONTENT_TAGS, tag
-    if tag in NO_CONTENT_TAGS or tag == "header" and not _within_content(parent):
+    if tag in NO_CONTENT_TAGS or tag == "header" and not parent.within:
         out |= BY_TAG
     head = tag == "header"
     if attributes and tag not in ("html", "body"):
-        within = _within_content(parent)
+        within = parent.within
         names: list[str] = []
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
@@ -114,20 +136,13 @@ def _node(tag: str, attributes: str, parent: _Node) -> _Node:
                 out |= BY_NAME
             elif names and any(n in CONTENT_NAMES for n in names):
                 content = True
-    return _Node(tag, parent.path + "/" + label, parent, out, content, head)
+    return _Node(tag, paths.below(parent.path, tag, label), parent, out, content, head)
 
 
-def _within_content(node: _Node | None) -> bool:
-    while node:
-        if node.content:
-            return True
-        node = node.parent
-    return False
-
-
-def blocks_of(page: str) -> list[tuple[_Node, str]]:
-    """The page's blocks of text in order, each with the element it ends a path at."""
-    root = _Node("", "", None, 0, False)
+def blocks_of(page: str) -> tuple[list[tuple[_Node, str]], _Paths]:
+    """The page's blocks of text in order, each with the element it ends a path at, and the paths."""
+    paths = _Paths()
+    root = _Node("", 0, None)
     stack, found, pieces = [root], [], []
     unclosed: set[str] = set()
 
@@ -190,16 +205,16 @@ def blocks_of(page: str) -> list[tuple[_Node, str]]:
             if tag == "body":  # what was open in the head ends here
                 stack[:] = [n for n in stack if n.tag in ("", "html")]
             if tag not in VOID_TAGS:
-                stack.append(_node(tag, attributes, stack[-1]))
+                stack.append(_node(tag, attributes, stack[-1], paths))
     add(page[at:])
     end_run()
     flush()
-    return found
+    return found, paths
 
 
 def _masses(blocks: list[tuple[_Node, str]]) -> list[float]:
     """Length of each block times the fused and smoothed ratios of its path, relative to the best path."""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for node, text in blocks:
         own = sums.setdefault(node.path, [0, 0, 0])
         own[0] += 1
@@ -208,7 +223,7 @@ def _masses(blocks: list[tuple[_Node, str]]) -> list[float]:
     fused = [(own := sums[node.path])[1] / own[0] * (0.2 + own[2] / own[0]) for node, _ in blocks]
     padded = [fused[0], *fused, fused[-1]]
     smooth = [0.25 * a + 0.5 * b + 0.25 * c for a, b, c in zip(padded, padded[1:], padded[2:])]
-    by_path: dict[str, list[float]] = {}
+    by_path: dict[int, list[float]] = {}
     for (node, _), value in zip(blocks, smooth):
         by_path.setdefault(node.path, []).append(value)
     ratio = {path: sum(v) / len(v) for path, v in by_path.items()}
@@ -216,90 +231,98 @@ def _masses(blocks: list[tuple[_Node, str]]) -> list[float]:
     return [len(text) * ratio[node.path] / best for node, text in blocks]
 
 
-DOMINANT, LEAST = 0.7, 0.12
+LEAST, RUNNING = 0.12, 0.2
 _NUMBERED = re.compile(r"#[^/.#]*|\d+")
 
 
-def _kept_paths(paths: set[str], below: dict[str, float], length: dict[str, int], headed: set[str]) -> set[str]:
+def _kept_paths(children: list[int], paths: _Paths, below: np.ndarray, length: np.ndarray, headed: set[int]) -> set[int]:
     """Of sibling containers, those whose mass a character is near that of the best, and tables with a caption or head cells.
 
     Paths that differ only by id or number are taken together, so that short ones stay with their like.
     """
-    alike: dict[str, list[str]] = {}
-    for path in paths:
-        alike.setdefault(_NUMBERED.sub("", path), []).append(path)
+    alike: dict[str, list[int]] = {}
+    for path in children:
+        alike.setdefault(_NUMBERED.sub("", paths.labels[path]), []).append(path)
     ratio = {key: sum(below[p] for p in own) / max(sum(length[p] for p in own), 1) for key, own in alike.items()}
     best = max(ratio.values(), default=0.0)
     return {p for key, own in alike.items() for p in own if ratio[key] >= LEAST * best or p in headed}
 
 
-def _content(blocks: list[tuple[_Node, str]]) -> list[bool]:
+def _content(blocks: list[tuple[_Node, str]], paths: _Paths) -> list[bool]:
     """Which blocks belong to the content."""
-    masses = _masses(blocks)
-    lines: list[list[_Node]] = []
-    below: dict[str, float] = {}
-    children: dict[str, set[str]] = {}
-    length: dict[str, int] = {}
-    headed: set[str] = set()
-    named: set[str] = set()
-    for (node, text), mass in zip(blocks, masses):
-        line: list[_Node] = []
-        while node:
-            line.append(node)
-            node = node.parent
-        line.reverse()
-        lines.append(line)
-        for above, n in zip([None, *line], line):
-            below[n.path] = below.get(n.path, 0.0) + mass
-            length[n.path] = length.get(n.path, 0) + len(text)
-            if n.tag == "table" and line[-1].tag in ("th", "caption"):
-                headed.add(n.path)
-            if above is not None:
-                children.setdefault(above.path, set()).add(n.path)
-            if n.content:
-                named.add(n.path)
-    here = ""
-    # the leaves of paths are the blocks themselves, which hold no further path
+    number = len(paths.parents)
+    own_mass, own_length, headed, named, seen = np.zeros(number), np.zeros(number), set(), set(), set()
+    for (node, text), mass in zip(blocks, _masses(blocks)):
+        own_mass[node.path] += mass
+        own_length[node.path] += len(text)
+        cell, above = node.tag in ("th", "caption"), node
+        while above and (above, cell) not in seen:
+            seen.add((above, cell))
+            if above.content:
+                named.add(above.path)
+            if cell and above.tag == "table":
+                headed.add(above.path)
+            above = above.parent
+    below, length = own_mass.copy(), own_length.copy()
+    children: dict[int, list[int]] = {}
+    for path in range(number - 1, 0, -1):
+        if length[path]:
+            below[paths.parents[path]] += below[path]
+            length[paths.parents[path]] += length[path]
+            children.setdefault(paths.parents[path], []).append(path)
+    here = 0
     while here not in named:
-        options = [(below[c], c) for c in children.get(here, ()) if c in children]
-        part, child = max(options, default=(0.0, ""))
-        contents = [o for o in options if o[1] in named and o[0] >= 0.3 * below[here]]
-        if contents:
-            child = max(contents)[1]
-        elif part < DOMINANT * below[here]:
+        # the leaves of paths are the blocks themselves, which hold no further path
+        options = [c for c in children.get(here, ()) if c in children]
+        contents = [c for c in options if c in named and below[c] >= 0.3 * below[here]]
+        child = max(contents or options, key=lambda c: below[c], default=None)
+        if child is None:
+            break
+        # the rest stays unless it is far from running text: short and without punctuation beside the child's
+        least = RUNNING * below[child] / length[child]
+        if not contents and (own_mass[here] > least * own_length[here] or any(
+                below[c] > least * length[c] for c in children[here] if c != child)):
             break
         here = child
-    near = _kept_paths({c for c in children.get(here, ()) if c in below}, below, length, headed)
-    kept = []
-    for line in lines:
-        inside = next((i for i, n in enumerate(line) if n.path == here), None)
-        if inside is None:
-            kept.append(False)
-        elif here in named or inside == len(line) - 1 or line[inside + 1].tag not in PLAIN_TAGS:
-            kept.append(True)
+    near = _kept_paths(children.get(here, []), paths, below, length, headed)
+    # for each path, whether it is `here` or below it, and then whether it is kept
+    stays = [False] * number
+    for path in range(here, number):
+        above = paths.parents[path]
+        if path == here:
+            stays[path] = True
+        elif above == here:
+            stays[path] = here in named or paths.tags[path] not in PLAIN_TAGS or path in near
         else:
-            kept.append(line[inside + 1].path in near)
+            stays[path] = stays[above]
+    kept = [stays[node.path] for node, _ in blocks]
+    others = np.array([0 if tag in HEADINGS else n for tag, n in zip(paths.tags, own_length)])  # characters outside headings
+    for path in range(number - 1, 0, -1):
+        others[paths.parents[path]] += others[path]
+    titled = any(stay and node.tag == "h1" for (node, _), stay in zip(blocks, kept))
     for i in range(len(blocks) - 2, -1, -1):  # a heading belongs to what it introduces
         node, after = blocks[i][0], blocks[i + 1][0]
-        if not kept[i] and kept[i + 1] and node.tag in HEADINGS and (
-                node.parent is after.parent or node.parent and node.parent in lines[i + 1]):
-            kept[i] = True
+        if not kept[i] and kept[i + 1] and node.tag in HEADINGS:
+            above = node.parent
+            while not titled and above.parent and not others[above.path]:  # the title may have a container of its own
+                above = above.parent
+            kept[i] = any(n is above for n in _line(after))
     return kept
 
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by line feeds."""
-    every = blocks_of(page or "")
+    every, paths = blocks_of(page or "")
     # in the header of an article only its headings count
-    every = [b for b in every if not any(n.head for n in _line(b[0])) or b[0].tag in HEADINGS or b[0].out]
+    every = [b for b in every if not b[0].head or b[0].tag in HEADINGS or b[0].out]
     named = [b for b in every if not b[0].out]
     blocks = [b for b in every if not b[0].out & BY_TAG]
-    if any(n.tag in CONTENT_TAGS for b in named for n in _line(b[0])) or (
+    if any(node.tagged for node, _ in named) or (
             sum(len(t) for _, t in named) >= 0.05 * sum(len(t) for _, t in blocks)) or not blocks:
         blocks = named
     if not blocks:
         return ""
-    return "\n".join(text for (_, text), kept in zip(blocks, _content(blocks)) if kept)
+    return "\n".join(text for (_, text), kept in zip(blocks, _content(blocks, paths)) if kept)
 
 
 def _line(node: _Node | None):

@@ -1,5 +1,8 @@
 """Chat templates, page texts, source mixing and the pipeline."""
 
+import random
+import time
+
 import duckdb
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -184,3 +187,53 @@ PLAIN = "The first paragraph tells, at some length, what this is about.\nThe sec
 ])
 def test_main_text_of_named_elements(page, wanted):
     assert html_text.main_text(page) == wanted
+
+
+SENTENCE = "The river rose over the old bridge, and the town waited; nobody slept that night. "
+LONG = [f"Part {i}. " + SENTENCE * (2 + i % 4) for i in range(10)]
+
+
+def paragraphs(first, last):
+    return "".join(f"<p>{p}</p>" for p in LONG[first:last])
+
+
+@pytest.mark.parametrize("page,first", [
+    (f"<div><div class=one>{paragraphs(0, 2)}</div><div class=two>{paragraphs(2, 10)}</div></div>", ""),
+    (f"<div><h1>Title</h1><p>{LONG[0]}</p><div class=chapter>{paragraphs(1, 10)}</div></div>", "Title"),
+    (f"<div><h1>Title</h1><div class=body-of-it>{paragraphs(0, 10)}</div></div>", "Title"),
+    (f"<div><div class=top><div><h1>Title</h1></div></div><div class=below>{paragraphs(0, 10)}</div></div>", "Title"),
+    (f"<div>{LONG[0]}<div>{LONG[1]}<div>{paragraphs(2, 10)}</div></div></div>", ""),
+])
+def test_no_part_of_an_unnamed_article_is_passed_by(page, first):
+    wanted = [first] * bool(first) + [p.strip() for p in LONG]
+    assert html_text.main_text(f"<body>{TEASERS}<div class=wrap>{page}</div></body>").split("\n")[-len(wanted):] == wanted
+    assert html_text.main_text(f"<body><nav>{TEASERS}</nav>{page}<footer>Imprint</footer></body>").split("\n") == wanted
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_generated_nestings_keep_all_running_text_and_nothing_else(seed):
+    """Paragraphs in random nestings of unnamed or oddly named containers, with menus, notices and teasers around them."""
+    r = random.Random(seed)
+    noise = [TEASERS, "<nav><a href=a>Home</a> <a href=b>News</a></nav>", "<div class=sidebar><p>Latest, and more. Really!</p></div>",
+             "<div id=cookie-notice>We use cookies. Accept them, please.</div>", "<div class='ad-box'><p>Buy now, save.</p></div>"]
+
+    def nested(parts):
+        if len(parts) == 1 or r.random() < 0.3:
+            inner = "".join(f"<p>{p}</p>" for p in parts)
+        else:
+            at = r.randrange(1, len(parts))
+            inner = nested(parts[:at]) + nested(parts[at:])
+        tag = r.choice(["div", "section", "div class=x", "div class=has-sidebar", "div id=b7", "center"])
+        return f"<{tag}>{inner}</{tag.split()[0]}>" if r.random() < 0.7 else inner
+
+    parts = r.sample(LONG, r.randint(3, 10))
+    around = [r.choice(noise[1:]) for _ in range(4)]
+    page = f"<html><body>{around[0]}{around[1]}<div>{nested(parts)}</div>{around[2]}{around[3]}<footer>Imprint</footer></body></html>"
+    assert html_text.main_text(page).split("\n") == [p.strip() for p in parts]
+
+
+def test_deep_pages_are_read_in_linear_time():
+    page = "".join(f"<div>{p}" for p in LONG * 2000)
+    started = time.monotonic()
+    assert html_text.main_text(page).split("\n") == [p.strip() for p in LONG] * 2000
+    assert time.monotonic() - started < 20

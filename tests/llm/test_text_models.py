@@ -98,6 +98,88 @@ def test_severity_rises_with_grade_and_cuts_are_ordered(insults):
     assert means == sorted(means) and means[0] < 0.1 and means[3] > 2.5
 
 
+def plain_grams(text, settings):
+    """How often each hashed n-gram occurs, gram by gram."""
+    found = Counter()
+    for n in settings.orders:
+        for i in range(len(text) - n + 1):
+            points, _, _ = code_points([text.lower()[i : i + n]])
+            found[int(gram_buckets(points, n, settings.bits)[0])] += 1
+    return found
+
+
+def plain_chance(x, weights, cuts, grade):
+    """P(grade) as the difference of two neighbouring P(grade > j)."""
+    above = [1.0, *[1 / (1 + math.exp(cut - sum(weights[k] * v for k, v in x.items()))) for cut in cuts], 0.0]
+    return above[grade] - above[grade + 1]
+
+
+def test_toxicity_equals_plain_loops(insults):
+    texts, labels = [t[:120] for t in insults[0][:60]], insults[1][:60]
+    settings = toxicity.Settings(bits=14, least_texts=2, least_log_odds=1.0, features=40, steps=3)
+    grams = [plain_grams(t, settings) for t in texts]
+    # the choice: n-grams far more frequent among texts of the positive kind, best first
+    often = [Counter(k for g, label in zip(grams, labels) if label == kind for k in g) for kind in (0, 1)]
+    times = [Counter(), Counter()]
+    for g, label in zip(grams, labels):
+        times[label].update(g)
+    totals = [sum(t.values()) for t in times]
+    number = [int((labels == 0).sum()), int((labels == 1).sum())]
+    gains = []
+    for k in times[1]:
+        rates = [(times[kind][k] + 0.5) / (totals[kind] + 1) for kind in (0, 1)]
+        odds = [math.log((often[kind][k] + 0.5) / (number[kind] + 1)) for kind in (0, 1)]
+        if times[1][k] >= 2 and rates[1] > 2 * rates[0] and often[1][k] >= 2 and odds[1] - odds[0] >= 1.0:
+            expected = (often[0][k] + often[1][k]) * number[1] / sum(number)
+            gains.append((-((often[1][k] - expected) ** 2) / expected, k))
+    buckets = toxicity.choose(texts, labels > 0, settings)
+    assert sorted(k for _, k in sorted(gains)[:40]) == buckets.tolist() and len(buckets) > 10
+    # scores
+    grades = toxicity.graded(texts, labels > 0, buckets, settings)
+    model = toxicity.fit(texts, grades, buckets, settings)
+    place = {k: i for i, k in enumerate(buckets.tolist())}
+    features = [{place[k]: math.log2(1 + n) for k, n in g.items() if k in place} for g in grams]
+    above = toxicity.chances(texts, model)
+    for x, row in zip(features, above):
+        assert row.tolist() == pytest.approx([sum(plain_chance(x, model.weights, model.cuts, g) for g in range(j + 1, 4)) for j in range(3)], abs=1e-9)
+    # the fit: each step follows the slope of the mean negative log-likelihood, here by differences
+
+    def loss(x):
+        cuts = [x[len(buckets)]]
+        for step in x[len(buckets) + 1 :]:
+            cuts.append(cuts[-1] + math.exp(step))
+        data = -sum(math.log(plain_chance(f, x, cuts, int(g))) for f, g in zip(features, grades)) / len(texts)
+        return data + settings.shrink / 2 * sum(w * w for w in x[: len(buckets)])
+
+    shares = [min(max(float((grades > j).mean()), 1e-4), 1 - 1e-4) for j in range(3)]
+    cuts = np.maximum.accumulate([-math.log(s / (1 - s)) + 1e-3 * j for j, s in enumerate(shares)])
+    x = [0.0] * len(buckets) + [cuts[0], *[math.log(max(b - a, 1e-3)) for a, b in zip(cuts, cuts[1:])]]
+    mean, power = [0.0] * len(x), [0.0] * len(x)
+    for step in range(1, settings.steps + 1):
+        slope = []
+        for i in range(len(x)):
+            ends = [loss([*x[:i], x[i] + h, *x[i + 1 :]]) for h in (1e-5, -1e-5)]
+            slope.append((ends[0] - ends[1]) / 2e-5)
+        for i, g in enumerate(slope):
+            mean[i] = 0.9 * mean[i] + 0.1 * g
+            power[i] = 0.999 * power[i] + 0.001 * g * g
+            x[i] -= settings.rate * (mean[i] / (1 - 0.9**step)) / (math.sqrt(power[i] / (1 - 0.999**step)) + 1e-8)
+    assert model.weights.tolist() == pytest.approx(x[: len(buckets)], abs=1e-4)
+    assert model.cuts[0] == pytest.approx(x[len(buckets)], abs=1e-4)
+    assert np.log(np.diff(model.cuts)).tolist() == pytest.approx(x[len(buckets) + 1 :], abs=1e-4)
+
+
+def test_toxicity_of_a_very_long_text(insults):
+    texts, labels = insults
+    settings = toxicity.Settings(bits=16)
+    buckets = toxicity.choose(texts, labels > 0, settings)
+    model = toxicity.fit(texts, toxicity.graded(texts, labels > 0, buckets, settings), buckets, settings)
+    long = "abc " * 400_000
+    calm, rude = toxicity.chances([long, long + "zorkil wixxen zorkan zorkil"], model)
+    assert calm[0] < settings.flag_at <= rude[0]
+    assert (toxicity.chances(["zorkil wixxen", long, "abc"], model)[1] == calm).all()
+
+
 def test_toxicity_of_odd_rows(spark, insults):
     texts, labels = insults
     docs = corpus_session(spark).createDataFrame([(i, t) for i, t in enumerate(texts)] + [(7, None), (None, "x")], "doc_id long, text string")
