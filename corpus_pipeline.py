@@ -1,4 +1,8 @@
-"""Corpus pipeline: five stages, each over all that its predecessor kept."""
+"""Corpus pipeline: five stages, each over all that its predecessor kept.
+
+Every stage reads the columns of `documents` alone (others are dropped, whatever their names), takes texts of any length
+whole, treats repeated rows each by itself but for the near-duplicate stage, and gives an empty table for an empty one.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +21,10 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a recognised language: no letter, or a score below LEAST_LANGUAGE_SCORE."""
+    """Drop documents without a recognised language: no letter (null and empty texts too), or a score below LEAST_LANGUAGE_SCORE.
+
+    Documents with a null id count as held in for training; with no labelled text nothing is recognised and all go.
+    """
     docs = corpus_session(spark) and docs.select(*COLUMNS)
     model = language_id.train(docs.where(bucket_of("doc_id", 3) != 1))
     return language_id.predict(docs, model, "text", "__lang", "__score").where(
@@ -25,18 +32,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that are toxic by the model."""
+    """Drop documents that are toxic by the model; null texts count as empty, and without labels of both kinds all stay."""
     model = toxicity.train(docs, corpus_session(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model).where("NOT toxic").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least doc_id of each class of near-duplicates."""
+    """Keep the document of the least doc_id of each class of near-duplicates; ties end in the digest, then the other columns.
+
+    Documents with a null text stay; rows that are equal in all columns are copies.
+    """
     return near_duplicates.one_of_each(corpus_session(spark) and docs.select(*COLUMNS))
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, also with some edits."""
+    """Drop documents that hold a benchmark item, also with some edits; null and empty texts hold none, null items match none."""
     items = corpus_session(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.without_leaks(docs.select(*COLUMNS), items)
 
