@@ -1,11 +1,15 @@
 """Lookups of coordinates in tables of places: the nearest point, and the first rectangle that holds a point.
 
-Both go through grid cells, as joins by equal cell; cells are degrees of ``FINEST`` times a power of ``STEP``.  Equal
+Points are sorted along a Z-order curve and cut into runs of equal length, runs of runs, and so on up to one run of all: a tree
+that follows the points, however crowded they lie.  A lookup goes down this tree with the boxes of the runs and drops at each
+step what cannot be the answer for any point of a run, so the work grows with the points and what is near them.  Equal
 coordinates are looked up once and the answer is joined back to their rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +17,83 @@ from roadweave import fixed_values as fv
 from roadweave.functions.geo import haversine_km
 from roadweave.session import checkpoint_dir
 
+RUN_BITS = 6
+"""A run of the finest level holds at most two to this power of points."""
+FAN_BITS = 3
+"""Two to this power of runs make a run of the next level."""
 FINEST, STEP, LEVELS = 0.01, 4, 7
 WORLD = 120.0
 """A cell so large that a point's own cell and the cells around it are everything."""
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Written once below the shared folder: a position in sorted rows must not change when a task runs again."""
+    path = f"{checkpoint_dir(df.sparkSession)}/places/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _finite(*columns: str) -> Column:
+    """Neither NULL nor NaN nor infinite."""
+    found = F.lit(True)
+    for c in columns:
+        found = found & (F.abs(F.col(c)) < float("inf"))
+    return found
+
+
+def _coordinates(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """The distinct coordinates; -0.0 is 0.0."""
+    points = df.select((F.col(lat).cast("double") + 0.0).alias("_lat"), (F.col(lon).cast("double") + 0.0).alias("_lon"))
+    return points.filter(_finite("_lat", "_lon")).distinct()
+
+
+def _spread(value: Column) -> Column:
+    """The 31 bits of a number, a zero before each."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
+    return value
+
+
+def _in_runs(points: DataFrame, lat: str, lon: str, bits: int) -> tuple[DataFrame, int]:
+    """Points with the number ``_run`` of their run of the finest level, and the number of levels above it."""
+    def steps(column: str, least: float, width: float) -> Column:
+        return F.least(F.greatest((F.col(column) - least) / width, F.lit(0.0)) * 2**31, F.lit(2.0**31 - 1)).cast("long")
+
+    curve = _spread(steps(lat, -90.0, 180.0)).bitwiseOR(F.shiftleft(_spread(steps(lon, -180.0, 360.0)), 1))
+    row = F.monotonically_increasing_id()  # part of the sorted rows, and place in it
+    placed = _stored(points.orderBy(curve, lat, lon).withColumns({"_part": F.shiftright(row, 33), "_at": F.shiftright(row.bitwiseAND(F.lit(2**33 - 1)), bits)}))
+    most = placed.agg(F.max("_part").alias("part"), F.max("_at").alias("at")).first()
+    width = int(most["at"] or 0).bit_length()
+    levels = -(-(int(most["part"] or 0).bit_length() + width) // FAN_BITS)
+    return placed.withColumn("_run", F.shiftleft("_part", width).bitwiseOR(F.col("_at"))).drop("_part", "_at"), levels
+
+
+def _boxes(rows: DataFrame, columns: list[str], levels: int) -> DataFrame:
+    """(level, run): least and greatest value of the columns in the runs of all levels; 0 is the finest."""
+    bounds = [f(c).alias(f"{name}{c}") for c in columns for name, f in (("least", F.min), ("most", F.max))]
+    finest = rows.groupBy("_run").agg(*bounds)
+    return finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).groupBy(
+        "level", F.expr(f"shiftright(_run, {FAN_BITS} * level)").alias("run")).agg(
+        *[f(f"{name}{c}").alias(f"{name}{c}") for c in columns for name, f in (("least", F.min), ("most", F.max))]).checkpoint()
+
+
+def _level(boxes: DataFrame, level: int, prefix: str) -> DataFrame:
+    return boxes.filter(F.col("level") == level).drop("level").toDF(*[f"{prefix}{c}" for c in boxes.columns if c != "level"])
+
+
+def _children(column: str) -> Column:
+    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(2**FAN_BITS - 1)), lambda i: F.shiftleft(column, FAN_BITS) + i))
+
+
+def _numbered(table: DataFrame, order: str) -> DataFrame:
+    """Rows with a number ``_n`` that grows with ``order``."""
+    return _stored(table.orderBy(order).select(F.struct(*table.columns).alias("_row"), F.monotonically_increasing_id().alias("_n")))
+
+
+def _back(df: DataFrame, found: DataFrame, lat: str, lon: str) -> DataFrame:
+    return df.join(found, (df[lat] == found["_lat"]) & (df[lon] == found["_lon"]), "left").drop("_lat", "_lon")
+
+
 def _sizes() -> list[float]:
     return [FINEST * STEP**level for level in range(LEVELS)] + [WORLD]
 
@@ -44,10 +120,6 @@ def _proven_km(size: float) -> Column:
     return F.lit(fv.EARTH_RADIUS_KM) * F.least(side, F.asin(F.sin(side) * F.cos(F.radians("_lat"))))
 
 
-def _back(df: DataFrame, found: DataFrame, lat: str, lon: str) -> DataFrame:
-    return df.join(found, (df[lat] == found["_lat"]) & (df[lon] == found["_lon"]), "left").drop("_lat", "_lon")
-
-
 def nearest_place(df: DataFrame, places: DataFrame, lat: str, lon: str, order: str, output: str = "nearest") -> DataFrame:
     """Add ``output``: struct of the nearest place's columns and its ``km``; of equally near places the least ``order`` wins.
 
@@ -77,27 +149,43 @@ def nearest_place(df: DataFrame, places: DataFrame, lat: str, lon: str, order: s
     return _back(df, answers, lat, lon)
 
 
+def _looks(points: DataFrame, height: int, whole: DataFrame) -> DataFrame:
+    """(_run, _n, sides): the rectangles of which one is the first to hold a point of a run; one that covers the run has no sides."""
+    sides = ["south", "north", "west", "east"]
+    boxes = _boxes(points, ["_lat", "_lon"], height)
+    pairs = whole.select(F.lit(0).cast("long").alias("run"), "_n", *sides, F.lit(None).cast("long").alias("_first"))
+    covers = []
+    for level in range(height, -1, -1):
+        met = pairs.join(_level(boxes, level, ""), "run").filter("south <= most_lat AND north >= least_lat AND west <= most_lon AND east >= least_lon")
+        covering = F.expr("south <= least_lat AND north >= most_lat AND west <= least_lon AND east >= most_lon")
+        met = met.select("run", "_n", *sides, "_first", covering.alias("_covers")).checkpoint()
+        first = met.filter("_covers").groupBy("run").agg(F.min("_n").alias("_own"))
+        covers.append(first.select(F.lit(level).alias("level"), "run", "_own"))
+        cut = met.filter("NOT _covers").join(first, "run", "left").withColumn("_first", F.least("_first", "_own")).filter("_first IS NULL OR _n < _first")
+        pairs = cut.select(_children("run").alias("run") if level else "run", "_n", *sides, "_first")
+    covered = covers[0]
+    for more in covers[1:]:
+        covered = covered.unionByName(more)
+    # the first covering rectangle of a run or of one above it holds every point of the run
+    finest = boxes.filter("level = 0").select(F.col("run").alias("_run"), F.explode(F.sequence(F.lit(0), F.lit(height))).alias("level")).withColumn(
+        "run", F.expr(f"shiftright(_run, {FAN_BITS} * level)"))
+    first = finest.join(covered, ["level", "run"]).groupBy("_run").agg(F.min("_own").alias("_n"))
+    everything = {c: F.lit(float(f"{sign}inf")) for c, sign in zip(sides, "-+-+", strict=True)}
+    return pairs.withColumnRenamed("run", "_run").select("_run", "_n", *sides).unionByName(first.withColumns(everything))
+
+
 def first_rectangle(df: DataFrame, rectangles: DataFrame, lat: str, lon: str, order: str, output: str = "rectangle") -> DataFrame:
     """Add ``output``: struct of the columns of the first rectangle, by ``order``, that holds the point; borders belong to it.
 
-    ``rectangles`` has ``south``, ``north``, ``west``, ``east`` and a unique ``order``.  A rectangle is dealt into the cells it
-    touches at the level whose cells are as wide as half of it or more: nine at most.  A point looks into its cell
-    of every level.  One with a NULL border, or turned around, holds nothing.
+    ``rectangles`` has ``south``, ``north``, ``west``, ``east`` and a unique ``order``.  Rectangles go down the runs of points:
+    the first one that covers a run's box is the answer for its points unless an earlier one holds a part, so only earlier ones
+    that cut the box go on to the runs within.  One with a NULL border, or turned around, holds nothing.
     """
-    sizes = F.array(*[F.lit(s) for s in [*_sizes()[:-1], 360.0]])
-    span = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
-    level = F.array_position(F.transform(sizes, lambda s: s >= span / 2), True).cast("int") - 1
-    whole = rectangles.filter("south <= north AND west <= east").withColumn("_level", level).withColumn("_size", F.get(sizes, F.col("_level")))
-
-    def touched(low, high):
-        return F.sequence(_cell(low, F.col("_size")), _cell(high, F.col("_size")))
-
-    dealt = whole.select("_level", F.struct(*rectangles.columns).alias("_r"), F.explode(touched("west", "east")).alias("_x"), touched("south", "north").alias("_ys"))
-    dealt = dealt.select("_level", "_r", "_x", F.explode("_ys").alias("_y"))
-    points = df.select(F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")).filter(
-        F.col("_lat").isNotNull() & F.col("_lon").isNotNull()).distinct()
-    cells = points.select("_lat", "_lon", F.posexplode(sizes).alias("_level", "_size")).select(
-        "_lat", "_lon", "_level", _cell("_lon", F.col("_size")).alias("_x"), _cell("_lat", F.col("_size")).alias("_y"))
-    held = cells.join(dealt, ["_level", "_x", "_y"]).filter(
-        F.col("_lat").between(F.col("_r.south"), F.col("_r.north")) & F.col("_lon").between(F.col("_r.west"), F.col("_r.east")))
-    return _back(df, held.groupBy("_lat", "_lon").agg(F.min_by("_r", f"_r.{order}").alias(output)), lat, lon)
+    checkpoint_dir(df.sparkSession)
+    sides = ["south", "north", "west", "east"]
+    numbered = _numbered(rectangles.filter(F.col(order).isNotNull()), order)
+    whole = numbered.select("_n", *[F.col(f"_row.{c}").cast("double").alias(c) for c in sides]).filter("south <= north AND west <= east")
+    points, height = _in_runs(_coordinates(df, lat, lon), "_lat", "_lon", RUN_BITS)
+    held = points.join(_looks(points, height, whole), "_run").filter("_lat BETWEEN south AND north AND _lon BETWEEN west AND east")
+    found = held.groupBy("_lat", "_lon").agg(F.min("_n").alias("_n"))
+    return _back(df, found.join(numbered, "_n").select("_lat", "_lon", F.col("_row").alias(output)), lat, lon)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions.geo import district_by_box
 from roadweave import fixed_values as fv
+from roadweave.operators import places as operator
 from roadweave.operators.places import first_rectangle, nearest_place
 from roadweave.session import checkpoint_dir
 from roadweave.streaming import jobs, state
@@ -63,6 +64,28 @@ def test_first_rectangle_equals_all_pairs(spark):
     assert len(made) == len(points)
 
 
+def test_later_rectangles_of_a_covered_run_are_not_looked_at(spark):
+    rng = random.Random(6)
+    boxes = [(i, 0.0 - rng.random(), 5.0 + rng.random(), 0.0 - rng.random(), 5.0 + rng.random()) for i in range(1000)]
+    boxes[0] = (0, 1.0, 2.0, 1.0, 2.0)
+    points = [(i, rng.uniform(-1, 6), rng.uniform(-1, 6)) for i in range(1200)]
+    points_df, boxes_df = spark.createDataFrame(points, POINT), spark.createDataFrame(boxes, BOX)
+    runs, height = operator._in_runs(operator._coordinates(points_df, "lat", "lon"), "_lat", "_lon", operator.RUN_BITS)
+    looks = operator._looks(runs, height, boxes_df.withColumn("_n", F.col("n").cast("long")))
+    assert runs.join(looks, "_run").count() < len(points) * len(boxes) / 4
+    made = {r["id"]: r["rectangle"] for r in first_rectangle(points_df, boxes_df, "lat", "lon", "n").collect()}
+    for i, lat, lon in points:
+        first = next((n for n, s, e, w, o in boxes if s <= lat <= e and w <= lon <= o), None)
+        assert (made[i] and made[i]["n"]) == first
+
+
+def test_rectangles_without_end(spark):
+    inf = math.inf
+    boxes = spark.createDataFrame([(2, -inf, inf, -inf, inf), (1, 0.0, inf, 0.0, 2000.0)], BOX)
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, -1.0, 1.0), (3, None, 1.0), (4, math.nan, 1.0)], POINT)
+    assert {r["id"]: r["rectangle"] and r["rectangle"]["n"] for r in first_rectangle(points, boxes, "lat", "lon", "n").collect()} == {1: 1, 2: 2, 3: None, 4: None}
+
+
 def test_given_rectangles_as_a_table_equal_the_case_form(spark):
     rng = random.Random(4)
     points = spark.createDataFrame([(i, rng.uniform(29.9, 30.2), rng.uniform(31.0, 31.5)) for i in range(500)] + [(501, 30.03, 31.255)], POINT)
