@@ -9,21 +9,24 @@ coordinates are looked up once and the answer is joined back to their rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave import fixed_values as fv
 from roadweave.functions.geo import haversine_km
 from roadweave.session import checkpoint_dir
 
-RUN_BITS = 6
-"""A run of the finest level holds at most two to this power of points."""
+RUN_BITS, PLACE_BITS = 6, 3
+"""A run of the finest level holds at most two to this power of points, or of places."""
 FAN_BITS = 3
 """Two to this power of runs make a run of the next level."""
-FINEST, STEP, LEVELS = 0.01, 4, 7
-WORLD = 120.0
-"""A cell so large that a point's own cell and the cells around it are everything."""
+CHUNK = 100
+"""Places that are compared with the points of a run at once."""
+SLACK, SLACK_ABS = 1e-9, 1e-12
+"""More than the greatest error of a chord and of the formula that decides in the end."""
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -94,58 +97,82 @@ def _back(df: DataFrame, found: DataFrame, lat: str, lon: str) -> DataFrame:
     return df.join(found, (df[lat] == found["_lat"]) & (df[lon] == found["_lon"]), "left").drop("_lat", "_lon")
 
 
-def _sizes() -> list[float]:
-    return [FINEST * STEP**level for level in range(LEVELS)] + [WORLD]
-
-
-def _cell(value: str | Column, size: float | Column) -> Column:
-    return F.floor((F.col(value) if isinstance(value, str) else value) / size)
-
-
-def _around(size: float) -> Column:
-    """The cell of (_lat, _lon) and the eight around it, across the date line too."""
-    columns = int(-(-360 // size))
-    x = [F.pmod(_cell(F.col("_lon") + 180, size) + i, F.lit(columns)) for i in (-1, 0, 1)]
-    if columns * size > 360:  # the last column is narrower, so one more may lie within reach
-        x += [F.pmod(_cell(F.col("_lon") + 180, size) + i, F.lit(columns)) for i in (-2, 2)]
-    y = [_cell("_lat", size) + i for i in (-1, 0, 1)]
-    return F.array_distinct(F.array(*[F.struct(a.alias("x"), b.alias("y")) for a in x for b in y]))
-
-
-def _proven_km(size: float) -> Column:
-    """Every place nearer than this lies in the cells around a point: distance to the meridians and parallels ``size`` degrees away."""
-    if size > 90:
-        return F.lit(float("inf"))
-    side = F.radians(F.lit(size))
-    return F.lit(fv.EARTH_RADIUS_KM) * F.least(side, F.asin(F.sin(side) * F.cos(F.radians("_lat"))))
+def _vector(lat: str, lon: str) -> dict[str, Column]:
+    """Place on the unit sphere: chords there grow with the distance, and know no date line and no pole."""
+    phi, lam = F.radians(F.col(lat)), F.radians(F.col(lon))
+    return {"x": F.cos(phi) * F.cos(lam), "y": F.cos(phi) * F.sin(lam), "z": F.sin(phi)}
+
+
+def _nearer(pairs: DataFrame, of_points: DataFrame, of_places: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of boxes p and q but those where another q is nearer to every point of p; ``_bound`` is how far the nearest is at most."""
+    shortest, longest = F.lit(0.0), F.lit(0.0)
+    for c in "xyz":
+        apart = F.greatest(F.col(f"qleast{c}") - F.col(f"pmost{c}"), F.col(f"pleast{c}") - F.col(f"qmost{c}"), F.lit(0.0))
+        across = F.greatest(F.col(f"qmost{c}") - F.col(f"pleast{c}"), F.col(f"pmost{c}") - F.col(f"qleast{c}"))
+        shortest, longest = shortest + apart * apart, longest + across * across
+    met = pairs.join(of_points, "prun").join(of_places, "qrun").select(
+        "prun", "qrun", *more, "_bound", F.sqrt(shortest).alias("_shortest"), F.sqrt(longest).alias("_longest"))
+    bound = F.min("_longest").over(Window.partitionBy("prun")) * (1 + SLACK) + SLACK_ABS
+    # what holds for a box holds for the boxes in it
+    met = met.filter("_shortest <= _bound").withColumn("_bound", F.least("_bound", bound))
+    return met.filter("_shortest <= _bound").select("prun", "qrun", *more, "_bound")
+
+
+def _closest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each row's points and places, the pairs of a point and its nearest place by chord, or one that rounding keeps apart from it."""
+    def vectors(lat, lon):
+        phi, lam = np.radians(lat), np.radians(lon)
+        return np.stack([np.cos(phi) * np.cos(lam), np.cos(phi) * np.sin(lam), np.sin(phi)], axis=-1)
+
+    names = ["_lat", "_lon", "_n", "qlat", "qlon"]
+    for batch in batches:
+        found = []
+        for lat, lon, n, q_lat, q_lon in batch.itertuples(index=False):
+            chords = np.sqrt(np.square(vectors(lat, lon)[:, None] - vectors(q_lat, q_lon)[None]).sum(axis=-1))
+            of, to = np.nonzero(chords <= chords.min(axis=1, keepdims=True) * (1 + SLACK) + SLACK_ABS)
+            found.append((lat[of], lon[of], n[to], q_lat[to], q_lon[to]))
+        yield pd.DataFrame({name: np.concatenate(parts) if parts else [] for name, parts in zip(names, zip(*found) if found else [()] * 5, strict=True)})
+
+
+def _near(points: DataFrame, height: int, known: DataFrame, q_height: int) -> DataFrame:
+    """(prun, _n, qlat, qlon): the places that may be the nearest of a point of a run."""
+    known = known.withColumns(_vector("qlat", "qlon"))
+    of_points, of_places = _boxes(points.withColumns(_vector("_lat", "_lon")), ["x", "y", "z"], height), _boxes(known, ["x", "y", "z"], q_height)
+    p, q = height, q_height  # from one run of all points and one of all places
+    pairs = points.sparkSession.range(1).select(F.lit(0).cast("long").alias("prun"), F.lit(0).cast("long").alias("qrun"), F.lit(float("inf")).alias("_bound"))
+    while p or q:
+        if q and q >= p - 1:  # runs of points hold more than runs of places do
+            q, pairs = q - 1, pairs.withColumn("qrun", _children("qrun"))
+        else:
+            p, pairs = p - 1, pairs.withColumn("prun", _children("prun"))
+        pairs = _nearer(pairs, _level(of_points, p, "p"), _level(of_places, q, "q")).checkpoint()
+    places_ = known.select(F.col("_run").alias("qrun"), "_n", "qlat", "qlon", *[F.col(c).alias(f"q{e}{c}") for c in "xyz" for e in ("least", "most")])
+    return _nearer(pairs, _level(of_points, 0, "p"), places_, ("_n", "qlat", "qlon"))
 
 
 def nearest_place(df: DataFrame, places: DataFrame, lat: str, lon: str, order: str, output: str = "nearest") -> DataFrame:
     """Add ``output``: struct of the nearest place's columns and its ``km``; of equally near places the least ``order`` wins.
 
-    ``places`` has ``lat``, ``lon`` and a unique ``order``.  Points are compared with the places of the cells around them; where
-    the nearest of these is nearer than the cells reach, it is proven.  Others go on to cells four times as wide, until no
-    point is left; each round's answers are checkpointed.  NULL coordinates, and an empty table of places, give NULL.
+    ``places`` has ``lat``, ``lon`` and a unique ``order``.  Points and places are cut into runs, whose boxes on the sphere go down
+    both trees in pairs: a run of places stays while it may hold the nearest place of a point in the run of points.  Each point is
+    then compared with the few places left for its run.  Coordinates that are NULL or not finite, and an empty table of places, give NULL.
     """
     checkpoint_dir(df.sparkSession)
-    known = places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    left = df.select(F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")).filter(
-        F.col("_lat").isNotNull() & F.col("_lon").isNotNull()).distinct()
-    answers = None
-    for size in _sizes():
-        dealt = known.select(F.struct(*places.columns).alias("_p"), F.struct(
-            F.pmod(_cell(F.col("lon") + 180, size), F.lit(int(-(-360 // size)))).alias("x"), _cell("lat", size).alias("y")).alias("_cell"))
-        pairs = left.withColumn("_cell", F.explode(_around(size))).join(dealt, "_cell")
-        pairs = pairs.withColumn("_km", haversine_km(F.col("_lat"), F.col("_lon"), F.col("_p.lat"), F.col("_p.lon")))
-        best = pairs.groupBy("_lat", "_lon").agg(F.min(F.struct("_km", F.col(f"_p.{order}").alias("_order"))).alias("_b"),
-                                                 F.min_by("_p", F.struct("_km", f"_p.{order}")).alias("_p"))
-        proven = F.col("_b").isNotNull() & (F.col("_b._km") < _proven_km(size))
-        every = left.join(best, ["_lat", "_lon"], "left").withColumn("_proven", F.coalesce(proven, F.lit(False))).checkpoint()
-        done = every.filter("_proven").select("_lat", "_lon", F.struct("_p.*", F.col("_b._km").alias("km")).alias(output))
-        answers = done if answers is None else answers.unionByName(done)
-        left = every.filter("NOT _proven").select("_lat", "_lon")
-        if left.isEmpty():
-            break
+    numbered = _numbered(places, order)
+    known = numbered.select("_n", *[F.col(f"_row.{c}").cast("double").alias(f"q{c}") for c in ("lat", "lon")]).filter(_finite("qlat", "qlon"))
+    points, height = _in_runs(_coordinates(df, lat, lon), "_lat", "_lon", RUN_BITS)
+    known, q_height = _in_runs(known, "qlat", "qlon", PLACE_BITS)
+    near = _near(points, height, known, q_height)
+    chunk = F.floor((F.row_number().over(Window.partitionBy("prun").orderBy("_n")) - 1) / CHUNK)
+    near = near.withColumn("_chunk", chunk).groupBy(F.col("prun").alias("_run"), "_chunk").agg(
+        *[F.collect_list(F.struct("_n", "qlat", "qlon"))[c].alias(c) for c in ("_n", "qlat", "qlon")])
+    runs = points.groupBy("_run").agg(*[F.collect_list(F.struct("_lat", "_lon"))[c].alias(c) for c in ("_lat", "_lon")])
+    compared = runs.join(near, "_run").select("_lat", "_lon", "_n", "qlat", "qlon").mapInPandas(
+        _closest, "_lat double, _lon double, _n bigint, qlat double, qlon double")
+    km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("qlat"), F.col("qlon"))
+    compared = compared.select("_lat", "_lon", F.struct(km.alias("km"), "_n").alias("_best"))
+    best = compared.groupBy("_lat", "_lon").agg(F.min("_best").alias("_best")).select("_lat", "_lon", "_best.km", "_best._n")
+    answers = best.join(numbered, "_n").select("_lat", "_lon", F.struct("_row.*", "km").alias(output))
     return _back(df, answers, lat, lon)
 
 

@@ -49,6 +49,29 @@ def test_nearest_of_no_place(spark):
     assert len(rows) == 1 and rows[0]["nearest"] is None
 
 
+def test_far_points_are_compared_with_few_places(spark):
+    rng = random.Random(5)
+    places = [(i, 29 + rng.random(), 30 + rng.random()) for i in range(1500)]
+    points = [(i, rng.uniform(28, 31), rng.uniform(30, 33)) for i in range(4000)] + [(4000 + i, rng.uniform(28, 31), -179.99) for i in range(1000)]
+    points_df, places_df = spark.createDataFrame(points, POINT), spark.createDataFrame(places, PLACE)
+    runs, height = operator._in_runs(operator._coordinates(points_df, "lat", "lon"), "_lat", "_lon", 2)
+    assert runs.groupBy("_run").count().agg(F.max("count")).first()[0] <= 4
+    known, q_height = operator._in_runs(places_df.selectExpr("cast(n as bigint) _n", "lat qlat", "lon qlon"), "qlat", "qlon", operator.PLACE_BITS)
+    pairs = runs.join(operator._near(runs, height, known, q_height), F.col("_run") == F.col("prun")).count()
+    assert pairs < len(points) * len(places) / 8, pairs
+    made = {r["id"]: r["nearest"]["n"] for r in nearest_place(points_df, places_df, "lat", "lon", "n").collect()}
+    for i, lat, lon in points[::31]:
+        best = min(km(lat, lon, a, b) for _, a, b in places)
+        assert math.isclose(km(lat, lon, *places[made[i]][1:]), best, abs_tol=1e-6)
+
+
+def test_places_and_points_that_are_no_numbers(spark):
+    nan, inf = math.nan, math.inf
+    points = spark.createDataFrame([(1, nan, 1.0), (2, 1.0, inf), (3, 0.0, -0.0)], POINT)
+    made = {r["id"]: r["nearest"] for r in nearest_place(points, spark.createDataFrame([(0, nan, 0.0), (7, 1.0, 1.0)], PLACE), "lat", "lon", "n").collect()}
+    assert made[1] is None and made[2] is None and made[3]["n"] == 7
+
+
 def test_first_rectangle_equals_all_pairs(spark):
     rng = random.Random(3)
     boxes = []
