@@ -138,7 +138,7 @@ select {ts('request_time')} as forecast_made_at, location_name, horizon, {ts('re
   true as known_class, true as speed_within_range, true as confidence_within_range from wm, hz where position > 144""")
 def speed_and_class_forecasts(spark, path):
     """A forecast of every reading with a full day behind it and every horizon, with its target time; classes and numbers within what was seen."""
-    rows = forecast_input(spark, path, ["road_closure"])
+    rows = _stored(forecast_input(spark, path, ["road_closure"]))
     models = congestion.train_forecasts(congestion.with_targets(rows))
     fastest = rows.agg(F.max("current_speed")).scalar()
     return forecast.forecast_table(congestion.predict_forecasts(models, rows)).select(

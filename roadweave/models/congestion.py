@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -21,6 +22,8 @@ from roadweave.operators.lags import with_lags, with_position
 
 # rows ahead for each horizon at the ten-minute cadence of the lags
 LEAD_ROWS = {"20min": 2, "30min": 3, "60min": 6}
+FITS_AT_ONCE = 3
+"""Each keeps its own binned copy of the training rows."""
 
 
 @contextmanager
@@ -105,22 +108,31 @@ def time_split(rows: DataFrame, share: float = 0.5, gap_rows: int = fv.BUFFER_RO
 
 
 def train_forecasts(rows: DataFrame, trees: int = 20, depth: int = 5, seed: int = 42) -> dict:
-    """Per horizon a speed regressor and a class forest over the 32 features."""
+    """Per horizon a speed regressor and a class forest over the 32 features.
+
+    A fit is a long chain of short jobs, so ``FITS_AT_ONCE`` of the six run side by side over the same kept rows.
+    """
     targets = [f"target_{kind}_{horizon}" for horizon in fv.HORIZON_MINUTES for kind in ("speed", "class")]
-    models = {}
     with _kept(_numeric(rows, fv.FORECAST_FEATURES).select(*fv.FORECAST_FEATURES, *targets)) as prepared:
+        prepared.count()  # kept before several fits ask for it
+        wanted = {}
         for horizon in fv.HORIZON_MINUTES:
-            speed, level = f"target_speed_{horizon}", f"target_class_{horizon}"
-            regressor = Pipeline(stages=[
+            speed = f"target_speed_{horizon}"
+            wanted[speed] = Pipeline(stages=[
                 VectorAssembler(inputCols=fv.FORECAST_FEATURES, outputCol="_features"),
                 GBTRegressor(featuresCol="_features", labelCol=speed, predictionCol="_speed",
                              maxIter=trees, maxDepth=depth, seed=seed),
             ])
-            models[horizon] = (
-                regressor.fit(prepared.filter(F.col(speed).isNotNull())),
-                _classifier(fv.FORECAST_FEATURES, level, trees, depth, seed).fit(prepared.filter(F.col(level).isNotNull())),
-            )
-    return models
+        for horizon in fv.HORIZON_MINUTES:  # after the speeds, whose chains are longer
+            level = f"target_class_{horizon}"
+            wanted[level] = _classifier(fv.FORECAST_FEATURES, level, trees, depth, seed)
+
+        def fit(target: str) -> PipelineModel:
+            return wanted[target].fit(prepared.filter(F.col(target).isNotNull()))
+
+        with ThreadPool(FITS_AT_ONCE) as pool:
+            fitted = dict(zip(wanted, pool.map(inheritable_thread_target(rows.sparkSession)(fit), wanted, chunksize=1), strict=True))
+    return {horizon: (fitted[f"target_speed_{horizon}"], fitted[f"target_class_{horizon}"]) for horizon in fv.HORIZON_MINUTES}
 
 
 def predict_forecasts(models: dict, rows: DataFrame) -> DataFrame:
