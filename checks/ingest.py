@@ -219,9 +219,10 @@ def traffic_features(spark, path):
         "reading_id", *fv.CONGESTION_FEATURES, "district", "road_closure_int")
 
 
-def feature_rows(spark, path):
-    readings = t.plain_readings(spark, path)
-    return features.traffic_features(readings, statistics(spark, path), features.class_index(readings, "frc"), t.as_of())
+def feature_rows(spark, path, stats=None):
+    readings = t.spread_readings(spark, path).drop("event_type", "user_id")
+    stats = statistics(spark, path) if stats is None else stats
+    return features.traffic_features(readings, stats, features.class_index(t.plain_readings(spark, path), "frc"), t.as_of())
 
 
 @query("p21_district_lookup", f"""with {READINGS}, {DISTRICTS}

@@ -75,11 +75,17 @@ def forecast_rows(spark, path):
     return found.withColumns({c: rounded(F.col(c), 4) for c in trend}).select("reading_id", "location_name", *fv.FORECAST_FEATURES)
 
 
-def forecast_input(spark, path, extra=None):
-    rows, plain = feature_rows(spark, path), t.readings(spark, path)
+def forecast_input(spark, path, extra=None, rows=None):
+    """``rows``: the stored feature rows, where there are such."""
+    plain = t.readings(spark, path)
     series = plain.select("location_name", F.col("request_time").alias("event_time"))
     return forecast.forecast_rows_from(
-        rows, features.class_index(plain, "frc"), features.class_index(with_message_district(plain), "district"), extra, series)
+        feature_rows(spark, path) if rows is None else rows, features.class_index(plain, "frc"), district_index(plain), extra, series)
+
+
+def district_index(readings):
+    """Of each coordinate once: looking a district up costs more than finding the distinct coordinates."""
+    return features.class_index(with_message_district(readings.select("requested_lat", "requested_lon").distinct()), "district")
 
 
 @query("w05_recent_readings", f"""with {SCORED}, rk as (select *, row_number() over (partition by location_name order by request_time desc, reading_id desc) as recency

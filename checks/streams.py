@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from checks import tables as t
 from checks.ingest import _FRESH, feature_rows, statistics
-from checks.series import _ALERT, _LAG_NAMES, _LAGS, _RECORDS, _WINDOW, _cooldown, forecast_input
+from checks.series import _ALERT, _LAG_NAMES, _LAGS, _RECORDS, _WINDOW, _cooldown, district_index, forecast_input
 from checks.sql import AS_OF, QUALITY, SCORED, STAGING, WEATHER, WINDOWS, level, r, ts
 from roadweave import fixed_values as fv
-from roadweave.functions.geo import with_message_district
 from roadweave.functions.numeric import rounded
 from roadweave.functions.quality import with_quality
 from roadweave.models import congestion, isolation_forest
@@ -188,22 +187,23 @@ def live_pipeline(spark, path):
     What models say is compared with the same models applied to all readings in one batch.
     """
     root, dims, clock = folder(spark), t.dimensions(spark), t.as_of()
-    training = feature_rows(spark, path)
-    plain = t.readings(spark, path)
+    stats, plain = statistics(spark, path), t.readings(spark, path)
+    feature_rows(spark, path, stats).write.parquet(f"{root}/models/training")
+    training = spark.read.parquet(f"{root}/models/training")
     isolation_forest.train(training, "reading_id", trees=20).write.parquet(f"{root}/models/forest")
-    for name, index in (("frc", plan_features.class_index(plain, "frc")), ("district", plan_features.class_index(with_message_district(plain), "district"))):
+    for name, index in (("frc", plan_features.class_index(plain, "frc")), ("district", district_index(plain))):
         index.write.parquet(f"{root}/models/{name}")
-    past = congestion.with_targets(forecast_input(spark, path, ["road_closure"]))
+    past = congestion.with_targets(forecast_input(spark, path, ["road_closure", "position"], training), placed=True)
     fitted = live.Models(
         spark.read.parquet(f"{root}/models/forest"), congestion.train_congestion(training, trees=5, depth=5), congestion.train_forecasts(past, trees=2, depth=3),
-        statistics(spark, path), spark.read.parquet(f"{root}/models/frc"), spark.read.parquet(f"{root}/models/district"))
+        stats, spark.read.parquet(f"{root}/models/frc"), spark.read.parquet(f"{root}/models/district"))
     settings = live.Settings(clock, 3600, sinks={
         "raw_events": lambda df: df.withColumn("request_time", F.try_to_timestamp("request_time")), "fact_traffic": lambda df: fact_rows(df, dims)})
     pipeline = live.Live(root, fitted, settings)
     finished(pipeline.start(t.message_stream(spark, path, 2).drop("arrived_at"), f"{root}/state", once=True))
     pipeline.finish(spark)
 
-    checked = with_quality(t.messages(spark, path).drop("arrived_at"), clock)
+    checked = with_quality(t.spread_messages(spark, path).drop("arrived_at"), clock)
     live.scored(checked.filter("passed").drop("issues", "issues_count", "quality_score", "fatal", "passed"), fitted, clock).write.parquet(f"{root}/batch")
     batch = spark.read.parquet(f"{root}/batch")
     timed = batch.withColumn("request_time", F.try_to_timestamp("request_time")).filter("request_time IS NOT NULL")
@@ -226,7 +226,8 @@ def live_pipeline(spark, path):
         F.concat_ws("|", "location_name", stamp("forecast_made_at"), "horizon").alias("id"),
         F.concat_ws(":", stamp("target_time"), F.size("a").cast("string"), F.when(F.col("a") == F.col("b"), "as in one batch").otherwise("differs")).alias("value"))
     columns = ["alert_id", "triggered_at", "location_name", "alert_type", "message"]
-    expected = alerts.sent_alerts(timed, 3600).select(*columns)
+    alerts.sent_alerts(timed, 3600).select(*columns).write.parquet(f"{root}/expected")
+    expected = spark.read.parquet(f"{root}/expected")
     sent = seen["alerts"].select(*columns)
     apart = sent.exceptAll(expected).unionByName(expected.exceptAll(sent))
     found = {

@@ -31,8 +31,23 @@ def readings(spark: SparkSession, path: str) -> DataFrame:
     return as_readings(spark.read.parquet(f"{path}/events.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt to as many tasks as there are cores, where its files give fewer (a task takes whole row groups)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *df.columns[:3])
+
+
+def spread_readings(spark: SparkSession, path: str) -> DataFrame:
+    return as_readings(spread(spark.read.parquet(f"{path}/events.parquet")))
+
+
 STREAM_BATCHES = 4
-LEAST_FILES, FILE_ROWS = 4, 1_000_000
+LEAST_FILES, LEAST_ROWS, FILE_ROWS = 4, 25_000, 2_000_000
+
+
+def stream_files(rows: int, cores: int) -> int:
+    """Files of a micro-batch of ``rows``: as many for each core, none of few rows, as a file is read by one task."""
+    return max(LEAST_FILES, min(rows // LEAST_ROWS, cores * -(-rows // (cores * FILE_ROWS))))
 
 
 def stream_of(parts: list[DataFrame], folder: str, rows: int) -> DataFrame:
@@ -41,7 +56,7 @@ def stream_of(parts: list[DataFrame], folder: str, rows: int) -> DataFrame:
     ``rows`` is the size of the largest part.  Every part becomes the same number of files, written and read side by side,
     and a micro-batch takes that many; files are taken in the order they were written.
     """
-    files = max(LEAST_FILES, rows // FILE_ROWS)
+    files = stream_files(rows, parts[0].sparkSession.sparkContext.defaultParallelism)
     for part in parts:
         part.repartition(files).write.mode("append").parquet(folder)
     spark = parts[0].sparkSession
@@ -100,6 +115,10 @@ def messages(spark: SparkSession, path: str) -> DataFrame:
     return as_messages(plain_readings(spark, path))
 
 
+def spread_messages(spark: SparkSession, path: str) -> DataFrame:
+    return as_messages(spread_readings(spark, path).drop("event_type", "user_id"))
+
+
 def message_stream(spark: SparkSession, path: str, batches: int = STREAM_BATCHES) -> DataFrame:
     return as_messages(reading_stream(spark, path, batches).drop("event_type", "user_id"))
 

@@ -19,6 +19,7 @@ from roadweave import fixed_values as fv
 from roadweave.functions.lookups import congestion_level
 from roadweave.functions.numeric import rounded
 from roadweave.operators.lags import with_lags, with_position
+from roadweave.operators.sizing import broadcast_if_small
 
 # rows ahead for each horizon at the ten-minute cadence of the lags
 LEAD_ROWS = {"20min": 2, "30min": 3, "60min": 6}
@@ -59,6 +60,10 @@ def _apply(model: PipelineModel, df: DataFrame, output: str) -> DataFrame:
     """Assembler and forest only; the label column is not needed to predict."""
     for stage in model.stages[1:]:
         df = stage.transform(df)
+    return _named(model, df, output)
+
+
+def _named(model: PipelineModel, df: DataFrame, output: str) -> DataFrame:
     return IndexToString(inputCol="_class", outputCol=output, labels=_labels(model)).transform(df)
 
 
@@ -82,27 +87,32 @@ def predict_congestion(model: PipelineModel, features: DataFrame) -> DataFrame:
         congestion_level(F.col("congestion_ratio"), closed).alias("actual_congestion"))
 
 
-def with_targets(readings: DataFrame, ts: str = "event_time") -> DataFrame:
-    """Add ``target_speed_*`` and ``target_class_*``: the road's reading 2, 3 and 6 rows ahead."""
+def with_targets(readings: DataFrame, ts: str = "event_time", placed: bool = False) -> DataFrame:
+    """Add ``target_speed_*`` and ``target_class_*``: the road's reading 2, 3 and 6 rows ahead.
+
+    ``placed`` readings bring the ``position`` that ``with_lags`` gave them, and keep it.
+    """
     level = readings.withColumn(
         "_level", congestion_level(F.col("congestion_ratio"), F.coalesce("road_closure", F.lit(False))))
     ahead = {}
     for horizon, rows in LEAD_ROWS.items():
         ahead[f"target_speed_{horizon}"] = ("current_speed", -rows)
         ahead[f"target_class_{horizon}"] = ("_level", -rows)
-    return with_lags(level, ["location_name"], ts, "reading_id", ahead).drop("_level", "position")
+    found = with_lags(level, ["location_name"], ts, "reading_id", ahead, placed=placed).drop("_level")
+    return found if placed else found.drop("position")
 
 
 def time_split(rows: DataFrame, share: float = 0.5, gap_rows: int = fv.BUFFER_ROWS + max(LEAD_ROWS.values()), ts: str = "event_time",
-               tie: str = "reading_id", keys: tuple[str, ...] = ("location_name",)) -> tuple[DataFrame, DataFrame]:
+               tie: str = "reading_id", keys: tuple[str, ...] = ("location_name",), placed: bool = False) -> tuple[DataFrame, DataFrame]:
     """The earlier ``share`` of each road's rows, to fit on, and the later ones, to judge by.
 
     Between them ``gap_rows`` rows of the road are left out: as many as lags look back and targets look ahead, so that no reading
-    is part of both.
+    is part of both.  ``placed`` rows have their ``position`` already, without gaps but from any number on: they stay where they are.
     """
-    placed = with_position(rows, list(keys), ts, tie)
-    last = placed.groupBy(*keys).agg(F.floor(F.max("position") * share).alias("_cut"))
-    cut = placed.join(last, list(keys))
+    numbered = rows if placed else with_position(rows, list(keys), ts, tie)
+    before = F.min("position") - 1
+    last = numbered.groupBy(*keys).agg((before + F.floor((F.max("position") - before) * share)).alias("_cut"))
+    cut = numbered.join(broadcast_if_small(last) if placed else last, list(keys))
     return (cut.filter("position <= _cut").drop("position", "_cut"),
             cut.filter(F.col("position") > F.col("_cut") + gap_rows).drop("position", "_cut"))
 
@@ -136,14 +146,18 @@ def train_forecasts(rows: DataFrame, trees: int = 20, depth: int = 5, seed: int
 
 
 def predict_forecasts(models: dict, rows: DataFrame) -> DataFrame:
-    """Add ``forecasts``: map horizon -> struct(speed, class, confidence)."""
-    df, entries = _numeric(rows, fv.FORECAST_FEATURES), []
+    """Add ``forecasts``: map horizon -> struct(speed, class, confidence).
+
+    All models read the same features, so a row's vector is put together once, not once a model.
+    """
+    assembler = VectorAssembler(inputCols=fv.FORECAST_FEATURES, outputCol="_features")
+    df, entries = assembler.transform(_numeric(rows, fv.FORECAST_FEATURES)), []
     for horizon, (speed_model, class_model) in models.items():
-        df = speed_model.transform(df).withColumnRenamed("_speed", f"_speed_{horizon}").drop("_features")
+        df = speed_model.stages[-1].transform(df).withColumnRenamed("_speed", f"_speed_{horizon}")
         df = (
-            _apply(class_model, df, f"_class_{horizon}")
+            _named(class_model, class_model.stages[-1].transform(df), f"_class_{horizon}")
             .withColumn(f"_confidence_{horizon}", F.array_max(vector_to_array("_probability")))
-            .drop("_features", "_raw", "_probability", "_class")
+            .drop("_raw", "_probability", "_class")
         )
         entries += [F.lit(horizon), F.struct(
             rounded(F.col(f"_speed_{horizon}"), 1).alias("speed"),

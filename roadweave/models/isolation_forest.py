@@ -9,7 +9,6 @@ are scored in Arrow batches.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -85,13 +84,13 @@ def score(features: DataFrame, forest: DataFrame, columns: list[str] | None = No
           output: str = "anomaly_score") -> DataFrame:
     """Add the decision score: below 0 is an anomaly, the lower the stranger.
 
-    ``forest`` is bounded by the tree count, not by the data, so it is read on the driver.
+    ``forest`` is bounded by the tree count, not by the data, so it is read on the driver.  Only the model's columns
+    go to Python; all others stay where they are.
     """
     columns = columns or fv.ANOMALY_FEATURES
     table = forest.orderBy("tree", "node").toPandas()
     grown = [g.drop(columns="tree").to_numpy() for _, g in table.groupby("tree")]
     sample = mean_path(np.mean([g[0, 5] for g in grown]))
-    schema = features.withColumn(output, F.lit(0.0)).schema
 
     def depths(nodes: np.ndarray, rows: np.ndarray) -> np.ndarray:
         feature, threshold = nodes[:, 1].astype(int), nodes[:, 2]
@@ -106,13 +105,13 @@ def score(features: DataFrame, forest: DataFrame, columns: list[str] | None = No
             inner = feature[at] >= 0
         return leaf_depth[at]
 
-    def score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = batch[columns].astype(float).fillna(0.0).to_numpy()
-            mean_depth = np.mean([depths(nodes, rows) for nodes in grown], axis=0) if len(rows) else np.zeros(0)
-            yield batch.assign(**{output: 0.5 - np.power(2.0, -mean_depth / sample)})
+    @F.pandas_udf("double")
+    def scores(batch: pd.DataFrame) -> pd.Series:
+        rows = batch.astype(float).fillna(0.0).to_numpy()
+        mean_depth = np.mean([depths(nodes, rows) for nodes in grown], axis=0) if len(rows) else np.zeros(0)
+        return pd.Series(0.5 - np.power(2.0, -mean_depth / sample))
 
-    return features.mapInPandas(score_batches, schema)
+    return features.withColumn(output, scores(F.struct(*[F.col(c).cast("double").alias(c) for c in columns])))
 
 
 def is_anomaly(score_column, closed, drop_pct):

@@ -60,10 +60,12 @@ def with_lags(
     slot: str = "day",
     chunk_rows: int = 100_000,
     counted: DataFrame | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """Add ``position`` and one column per ``name -> (column, rows back)``.
 
-    Negative ``rows back`` looks ahead.
+    Negative ``rows back`` looks ahead.  ``placed`` rows have their ``position`` already, without gaps within the key but
+    from any number on; they are not counted and moved again for it.
     """
     back = max([n for _, n in lags.values() if n > 0], default=0)
     ahead = max([-n for _, n in lags.values() if n < 0], default=0)
@@ -78,7 +80,7 @@ def with_lags(
         F.when(inside < ahead, chunk - 1),
     ))
     spread = (
-        with_position(df, keys, ts, tie, slot, counted=counted)
+        (df if placed else with_position(df, keys, ts, tie, slot, counted=counted))
         .withColumns({"_home": chunk, "_homes": homes})
         .withColumn("_chunk", F.explode("_homes"))
     )
