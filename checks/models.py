@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.ingest import feature_rows
@@ -116,20 +114,20 @@ def forecasts_held_out(spark, path):
 
     Speeds: mean absolute error below that of the newest speed.  Classes: right more often than the class most frequent before.
     """
-    rows = congestion.with_targets(_stored(forecast_input(spark, path, ["road_closure"])))
-    earlier, later = map(_stored, congestion.time_split(_stored(rows), share=0.35))
+    placed = _stored(forecast_input(spark, path, ["road_closure", "position"]))
+    earlier, later = congestion.time_split(_stored(congestion.with_targets(placed, placed=True)), share=0.35, placed=True)
     later = later.withColumnRenamed("current_speed", "_newest").withColumn("current_speed", F.col("_newest"))
     told = congestion.predict_forecasts(congestion.train_forecasts(earlier, trees=10, depth=3), later)
+    common = earlier.agg(F.struct(*[F.mode(f"target_class_{horizon}", True).alias(horizon) for horizon in fv.HORIZON_MINUTES])).scalar()
     found = []
-    for horizon in fv.HORIZON_MINUTES:
+    for horizon in fv.HORIZON_MINUTES:  # all in one pass over what is told
         actual, level, said = F.col(f"target_speed_{horizon}"), F.col(f"target_class_{horizon}"), F.col("forecasts")[horizon]
-        common = earlier.select(F.mode(f"target_class_{horizon}", True)).scalar()
-        known = told.filter(actual.isNotNull())
-        found.append(known.agg(
-            (F.avg(F.abs(said["speed"] - actual)) < F.avg(F.abs(F.col("_newest") - actual))).alias("speed_better_than_newest"),
-            (F.count_if(said["class"] == level) > F.count_if(level == common)).alias("class_better_than_most_frequent")).select(
-            F.lit(horizon).alias("horizon"), "speed_better_than_newest", "class_better_than_most_frequent"))
-    return reduce(DataFrame.unionByName, found)
+        found.append(F.struct(
+            F.lit(horizon).alias("horizon"),
+            (F.avg(F.abs(said["speed"] - actual)) < F.avg(F.when(actual.isNotNull(), F.abs(F.col("_newest") - actual)))).alias("speed_better_than_newest"),
+            (F.count_if(actual.isNotNull() & (said["class"] == level)) > F.count_if(actual.isNotNull() & (level == common[horizon]))).alias(
+                "class_better_than_most_frequent")))
+    return told.agg(F.array(*found).alias("found")).select(F.inline("found"))
 
 
 @query("m04_speed_and_class_forecasts", f"""with {SCORED}, hz(horizon, ahead) as (values ('20min', 20), ('30min', 30), ('60min', 60)),
@@ -138,8 +136,8 @@ select {ts('request_time')} as forecast_made_at, location_name, horizon, {ts('re
   true as known_class, true as speed_within_range, true as confidence_within_range from wm, hz where position > 144""")
 def speed_and_class_forecasts(spark, path):
     """A forecast of every reading with a full day behind it and every horizon, with its target time; classes and numbers within what was seen."""
-    rows = _stored(forecast_input(spark, path, ["road_closure"]))
-    models = congestion.train_forecasts(congestion.with_targets(rows))
+    rows = _stored(forecast_input(spark, path, ["road_closure", "position"]))
+    models = congestion.train_forecasts(congestion.with_targets(rows, placed=True))
     fastest = rows.agg(F.max("current_speed")).scalar()
     return forecast.forecast_table(congestion.predict_forecasts(models, rows)).select(
         "forecast_made_at", "location_name", "horizon", "target_time", F.col("predicted_class").isin(fv.LEVELS).alias("known_class"),
