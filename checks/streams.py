@@ -193,7 +193,8 @@ def live_pipeline(spark, path):
     isolation_forest.train(training, "reading_id", trees=20).write.parquet(f"{root}/models/forest")
     for name, index in (("frc", plan_features.class_index(plain, "frc")), ("district", district_index(plain))):
         index.write.parquet(f"{root}/models/{name}")
-    past = congestion.with_targets(forecast_input(spark, path, ["road_closure", "position"], training), placed=True)
+    forecast_input(spark, path, ["road_closure", "position"], training).write.parquet(f"{root}/models/past")
+    past = congestion.with_targets(spark.read.parquet(f"{root}/models/past"), placed=True)
     fitted = live.Models(
         spark.read.parquet(f"{root}/models/forest"), congestion.train_congestion(training, trees=5, depth=5), congestion.train_forecasts(past, trees=2, depth=3),
         stats, spark.read.parquet(f"{root}/models/frc"), spark.read.parquet(f"{root}/models/district"))

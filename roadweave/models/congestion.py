@@ -8,23 +8,22 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave import fixed_values as fv
 from roadweave.functions.lookups import congestion_level
 from roadweave.functions.numeric import rounded
+from roadweave.models import trees as grown
 from roadweave.operators.lags import with_lags, with_position
 from roadweave.operators.sizing import broadcast_if_small
 
 # rows ahead for each horizon at the ten-minute cadence of the lags
 LEAD_ROWS = {"20min": 2, "30min": 3, "60min": 6}
 FITS_AT_ONCE = 3
-"""Each keeps its own binned copy of the training rows."""
+"""Each keeps its own blocks of the binned training rows."""
 
 
 @contextmanager
@@ -41,14 +40,31 @@ def _numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns})
 
 
-def _classifier(features: list[str], label: str, trees: int, depth: int, seed: int) -> Pipeline:
+class _Assembler(VectorAssembler):
+    """Rows to fit on come with their bins and need no vector."""
+
+    def transform(self, dataset: DataFrame, params=None) -> DataFrame:
+        return dataset if grown.BINS in dataset.columns else super().transform(dataset, params)
+
+
+def _binned(rows: DataFrame, features: list[str], targets: list[str]) -> tuple[DataFrame, list]:
+    """``rows`` with the bins of their features, and the cuts between these.
+
+    ``rows`` are read twice: for the cuts, which need the features only, and for the bins.
+    """
+    numeric = _numeric(rows, features)
+    cuts = grown.thresholds(numeric, features)
+    return grown.binned(numeric, features, cuts, targets), cuts
+
+
+def _classifier(features: list[str], cuts: list, label: str, trees: int, depth: int, seed: int) -> Pipeline:
     index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
     return Pipeline(stages=[
         index,
-        VectorAssembler(inputCols=features, outputCol="_features"),
-        RandomForestClassifier(featuresCol="_features", labelCol="_label", predictionCol="_class",
-                               probabilityCol="_probability", rawPredictionCol="_raw",
-                               numTrees=trees, maxDepth=depth, seed=seed),
+        _Assembler(inputCols=features, outputCol="_features"),
+        grown.ClassForest(cuts, featuresCol="_features", labelCol="_label", predictionCol="_class",
+                          probabilityCol="_probability", rawPredictionCol="_raw",
+                          numTrees=trees, maxDepth=depth, seed=seed),
     ])
 
 
@@ -68,12 +84,15 @@ def _named(model: PipelineModel, df: DataFrame, output: str) -> DataFrame:
 
 
 def train_congestion(features: DataFrame, trees: int = 20, depth: int = 8, seed: int = 42) -> PipelineModel:
-    """Forest over the 23 features.  Closed roads follow a rule and are not learned."""
+    """Forest over the 23 features.  Closed roads follow a rule and are not learned.
+
+    ``features`` are read twice, so store them if they are costly to compute.
+    """
     open_roads = features.filter(~F.coalesce("road_closure", F.lit(False)))
     labelled = open_roads.withColumn("actual_congestion", congestion_level(F.col("congestion_ratio"), F.lit(False)))
-    columns = [*fv.CONGESTION_FEATURES, "actual_congestion"]
-    with _kept(_numeric(labelled, fv.CONGESTION_FEATURES).select(*columns)) as rows:
-        return _classifier(fv.CONGESTION_FEATURES, "actual_congestion", trees, depth, seed).fit(rows)
+    binned, cuts = _binned(labelled, fv.CONGESTION_FEATURES, ["actual_congestion"])
+    with _kept(binned) as rows:
+        return _classifier(fv.CONGESTION_FEATURES, cuts, "actual_congestion", trees, depth, seed).fit(rows)
 
 
 def predict_congestion(model: PipelineModel, features: DataFrame) -> DataFrame:
@@ -121,21 +140,23 @@ def train_forecasts(rows: DataFrame, trees: int = 20, depth: int = 5, seed: int
     """Per horizon a speed regressor and a class forest over the 32 features.
 
     A fit is a long chain of short jobs, so ``FITS_AT_ONCE`` of the six run side by side over the same kept rows.
+    ``rows`` are read twice, so store them if their features are costly to compute.
     """
     targets = [f"target_{kind}_{horizon}" for horizon in fv.HORIZON_MINUTES for kind in ("speed", "class")]
-    with _kept(_numeric(rows, fv.FORECAST_FEATURES).select(*fv.FORECAST_FEATURES, *targets)) as prepared:
+    binned, cuts = _binned(rows, fv.FORECAST_FEATURES, targets)
+    with _kept(binned) as prepared:
         prepared.count()  # kept before several fits ask for it
         wanted = {}
         for horizon in fv.HORIZON_MINUTES:
             speed = f"target_speed_{horizon}"
             wanted[speed] = Pipeline(stages=[
-                VectorAssembler(inputCols=fv.FORECAST_FEATURES, outputCol="_features"),
-                GBTRegressor(featuresCol="_features", labelCol=speed, predictionCol="_speed",
-                             maxIter=trees, maxDepth=depth, seed=seed),
+                _Assembler(inputCols=fv.FORECAST_FEATURES, outputCol="_features"),
+                grown.BoostedTrees(cuts, featuresCol="_features", labelCol=speed, predictionCol="_speed",
+                                   maxIter=trees, maxDepth=depth, seed=seed),
             ])
         for horizon in fv.HORIZON_MINUTES:  # after the speeds, whose chains are longer
             level = f"target_class_{horizon}"
-            wanted[level] = _classifier(fv.FORECAST_FEATURES, level, trees, depth, seed)
+            wanted[level] = _classifier(fv.FORECAST_FEATURES, cuts, level, trees, depth, seed)
 
         def fit(target: str) -> PipelineModel:
             return wanted[target].fit(prepared.filter(F.col(target).isNotNull()))
