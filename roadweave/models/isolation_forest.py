@@ -92,23 +92,29 @@ def score(features: DataFrame, forest: DataFrame, columns: list[str] | None = No
     grown = [g.drop(columns="tree").to_numpy() for _, g in table.groupby("tree")]
     sample = mean_path(np.mean([g[0, 5] for g in grown]))
 
-    def depths(nodes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        feature, threshold = nodes[:, 1].astype(int), nodes[:, 2]
-        left, right = nodes[:, 3].astype(int), nodes[:, 4].astype(int)
-        leaf_depth = nodes[:, 6] + mean_path(nodes[:, 5])
-        at = np.zeros(len(rows), dtype=int)
-        inner = feature[at] >= 0
-        while inner.any():
-            here = at[inner]
-            under = rows[inner, feature[here]] < threshold[here]
-            at[inner] = np.where(under, left[here], right[here])
-            inner = feature[at] >= 0
+    def prepared(nodes: np.ndarray) -> tuple:
+        """A tree in which a row that is at a leaf stays there, so that all rows can go down together without exceptions."""
+        feature, own = nodes[:, 1].astype(int), np.arange(len(nodes))
+        inner = feature >= 0
+        # children in pairs: not below the threshold, below it
+        children = np.stack([np.where(inner, nodes[:, 4], own), np.where(inner, nodes[:, 3], own)], axis=1).astype(int).reshape(-1)
+        return np.where(inner, feature, 0), nodes[:, 2], children, nodes[:, 6] + mean_path(nodes[:, 5]), int(nodes[:, 6].max())
+
+    trees = [prepared(nodes) for nodes in grown]
+
+    def depths(tree: tuple, values: np.ndarray, rows: int) -> np.ndarray:
+        """Of each row; ``values`` has one feature after the other."""
+        feature, threshold, children, leaf_depth, levels = tree
+        at, here = np.zeros(rows, dtype=int), np.arange(rows)
+        for _ in range(levels):
+            at = children[2 * at + (values[feature[at] * rows + here] < threshold[at])]
         return leaf_depth[at]
 
     @F.pandas_udf("double")
     def scores(batch: pd.DataFrame) -> pd.Series:
         rows = batch.astype(float).fillna(0.0).to_numpy()
-        mean_depth = np.mean([depths(nodes, rows) for nodes in grown], axis=0) if len(rows) else np.zeros(0)
+        values = np.ascontiguousarray(rows.T).reshape(-1)
+        mean_depth = np.mean([depths(tree, values, len(rows)) for tree in trees], axis=0) if len(rows) else np.zeros(0)
         return pd.Series(0.5 - np.power(2.0, -mean_depth / sample))
 
     return features.withColumn(output, scores(F.struct(*[F.col(c).cast("double").alias(c) for c in columns])))

@@ -39,10 +39,14 @@ PACKED, PIECE = 1 << 16, 32_000
 # bins -------------------------------------------------------------------------------
 
 
-def _condensed(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal values together; of more than ``SUMMARY``, those at equally spaced ranks."""
-    values, inverse = np.unique(values, return_inverse=True)
-    weights = np.bincount(inverse, weights=weights, minlength=len(values))
+def _condensed(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Equal values together; of more than ``SUMMARY``, those at equally spaced ranks.  Without ``weights`` each counts as one."""
+    if weights is None:
+        values, weights = np.unique(values, return_counts=True)
+        weights = weights.astype(float)
+    else:
+        values, inverse = np.unique(values, return_inverse=True)
+        weights = np.bincount(inverse, weights=weights, minlength=len(values))
     if len(values) <= SUMMARY:
         return values, weights
     ends = np.cumsum(weights)
@@ -78,7 +82,7 @@ def thresholds(rows: DataFrame, columns: list[str], bins: int = MOST_BINS) -> li
                 new = _numbers(column)
                 if np.isnan(new).any():
                     raise ValueError(f"{columns[j]} is not a number in some rows")
-                values, weights = _condensed(new, np.ones(len(new)))
+                values, weights = _condensed(new)
                 held[j] = _condensed(np.concatenate([held[j][0], values]), np.concatenate([held[j][1], weights]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held)], pa.binary())], ["held"])
 

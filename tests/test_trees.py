@@ -9,7 +9,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from roadweave import fixed_values as fv
-from roadweave.models import congestion, trees
+from roadweave.models import congestion, isolation_forest, trees
 
 NAMES = ["a", "b", "c"]
 
@@ -110,3 +110,20 @@ def test_fits_read_rows_of_bytes_and_no_vectors(spark, monkeypatch):
     monkeypatch.setattr(congestion.VectorAssembler, "transform", lambda self, df, params=None: pytest.fail("a vector for each row"))
     congestion.train_forecasts(rows, trees=2, depth=2)
     assert len(seen) == 6 and all(trees.BINS in columns and not set(fv.FORECAST_FEATURES) & set(columns) for columns in seen)
+
+
+def test_scores_are_those_of_a_walk_down_each_tree(spark):
+    columns = fv.ANOMALY_FEATURES
+    rows = spark.range(700).select("id", *[F.round(F.rand(i) * 9, 0).alias(c) for i, c in enumerate(columns)]).localCheckpoint()  # values on thresholds, too
+    forest = isolation_forest.train(rows, "id", trees=4, sample_rows=64).localCheckpoint()
+    trees_ = [g.sort_values("node").to_dict("records") for _, g in forest.toPandas().groupby("tree")]
+
+    def depth(nodes, row):
+        node = nodes[0]
+        while node["feature"] >= 0:
+            node = nodes[node["left"] if row[columns[node["feature"]]] < node["threshold"] else node["right"]]
+        return node["depth"] + float(isolation_forest.mean_path(node["size"]))
+
+    sample = float(isolation_forest.mean_path(64))
+    for row in isolation_forest.score(rows, forest).collect():
+        assert abs(row["anomaly_score"] - (0.5 - 2.0 ** (-np.mean([depth(nodes, row) for nodes in trees_]) / sample))) < 1e-12
