@@ -127,3 +127,13 @@ def test_scores_are_those_of_a_walk_down_each_tree(spark):
     sample = float(isolation_forest.mean_path(64))
     for row in isolation_forest.score(rows, forest).collect():
         assert abs(row["anomaly_score"] - (0.5 - 2.0 ** (-np.mean([depth(nodes, row) for nodes in trees_]) / sample))) < 1e-12
+
+
+def test_many_tasks_give_the_same_trees(spark, monkeypatch):
+    rows = _points(spark, 900, 6).withColumn("b", F.round("b", 0)).localCheckpoint()
+    fit = lambda: _fit(rows, lambda cuts: [trees.BoostedTrees(cuts, featuresCol="f", labelCol="y", predictionCol="p", maxIter=2, maxDepth=3)], "y").stages[-1]
+    few, cuts = fit().toDebugString.split("\n", 1)[1], trees.thresholds(rows, NAMES)
+    monkeypatch.setattr(trees, "COLLECTED", 2)  # partial sums are added up in tasks first
+    many = fit().toDebugString.split("\n", 1)[1]
+    numbers = lambda text: [line.rsplit(" ", 1)[0] if "Predict" in line else line for line in text.split("\n")]
+    assert numbers(many) == numbers(few) and all(np.array_equal(a, b) for a, b in zip(cuts, trees.thresholds(rows, NAMES), strict=True))
